@@ -2,15 +2,41 @@
 
 from __future__ import annotations
 
+import re
+from itertools import chain
+
 from checks.panel_sql import with_panel
 
 ORACLES: dict[str, str] = {}
 
+COLUMNS = (
+    "mes tipo_documento identificacion genero rango_edad_probable departamento saldo_capital dias_mora banco "
+    "antiguedad_deuda pago_mes_anterior meses_desde_ultimo_pago sin_pago_previo contacto_mes_actual "
+    "contacto_mes_anterior contacto_ultimos_6meses duracion_llamadas_ultimos_6meses pago"
+).split()
+FEATURES = ["saldo_capital", "dias_mora", "meses_desde_ultimo_pago", "duracion_llamadas_ultimos_6meses"]
+FLAGS = ["pago_mes_anterior", "sin_pago_previo", "contacto_mes_actual", "contacto_mes_anterior", "contacto_ultimos_6meses"]
+CATEGORIES = ["tipo_documento", "genero", "rango_edad_probable", "departamento", "banco"]
+NUMERIC = [
+    "saldo_capital", "dias_mora", "pago_mes_anterior", "meses_desde_ultimo_pago", "sin_pago_previo",
+    "contacto_mes_actual", "contacto_mes_anterior", "contacto_ultimos_6meses", "duracion_llamadas_ultimos_6meses",
+]
+
 
 def oracle(name: str, body: str) -> None:
     ORACLES[name] = with_panel(body)
 
 
+def union(template: str, columns: list[str]) -> str:
+    """The template once per column, ``{c}`` replaced, stacked."""
+    return "\nUNION ALL\n".join(template.replace("{c}", c) for c in columns)
+
+
+def tall(columns: list[str], extra: str = "", cast: str = "DOUBLE") -> str:
+    """``col, value`` rows of the given columns."""
+    return union(f"SELECT '{{c}}' AS col, CAST({{c}} AS {cast}) AS value{extra} FROM clientes", columns)
+
+
 oracle("load_panel", "SELECT * REPLACE (CAST(antiguedad_deuda AS VARCHAR) AS antiguedad_deuda) FROM clientes")
 
 oracle(
@@ -27,3 +53,402 @@ oracle(
 FROM (SELECT mes, departamento, COUNT(DISTINCT identificacion) AS total FROM clientes WHERE pago = 1
       GROUP BY mes, departamento) GROUP BY departamento""",
 )
+
+oracle(
+    "select_by_class",
+    f"SELECT {', '.join(c for c in COLUMNS if c in [*NUMERIC, *CATEGORIES, 'pago'])} FROM clientes",
+)
+
+# Quality
+
+NULLS = " + ".join(f"SUM(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)" for c in COLUMNS)
+PROFILE = f"""SELECT COUNT(*) AS total_rows, CAST(18 AS BIGINT) AS total_columns, CAST({NULLS} AS BIGINT) AS total_missing,
+ (SELECT CAST(COUNT(*) AS BIGINT) FROM clientes) - (SELECT COUNT(*) FROM (SELECT DISTINCT {', '.join(COLUMNS)} FROM clientes))
+   AS total_duplicates FROM clientes"""
+oracle("quality_global", f"SELECT *, ROUND(total_missing / (total_rows * 18.0) * 100, 6) AS pct_missing FROM ({PROFILE})")
+
+COLUMN_QUALITY = union(
+    """SELECT '{c}' AS "column", COUNT(*) - COUNT({c}) AS missing,
+ ROUND((COUNT(*) - COUNT({c})) / CAST(COUNT(*) AS DOUBLE) * 100, 2) AS pct_missing,
+ COUNT(DISTINCT {c}) AS unique_values, COUNT(DISTINCT {c}) <= 1 AS is_constant FROM clientes""",
+    COLUMNS,
+)
+oracle("quality_columns", COLUMN_QUALITY)
+
+oracle(
+    "profile_numeric",
+    union(
+        """SELECT '{c}' AS "column", ROUND(AVG(CAST({c} AS DOUBLE)), 4) AS mean, ROUND(STDDEV_SAMP(CAST({c} AS DOUBLE)), 4) AS std,
+ ROUND(MIN(CAST({c} AS DOUBLE)), 4) AS min, ROUND(QUANTILE_CONT(CAST({c} AS DOUBLE), 0.25), 4) AS q25,
+ ROUND(QUANTILE_CONT(CAST({c} AS DOUBLE), 0.5), 4) AS q50, ROUND(QUANTILE_CONT(CAST({c} AS DOUBLE), 0.75), 4) AS q75,
+ ROUND(MAX(CAST({c} AS DOUBLE)), 4) AS max, BOOL_OR({c} < 0) AS has_negatives, BOOL_OR({c} = 0) AS has_zeros,
+ BOOL_OR(ISINF(CAST({c} AS DOUBLE))) AS has_inf FROM clientes""",
+        [*NUMERIC, "pago"],
+    ),
+)
+
+oracle(
+    "profile_exempt",
+    union(
+        """SELECT '{c}' AS "column", TRUE AS is_exempt,
+ 'Campo identificado como ID o campo exento de análisis' AS exempt_reason,
+ (SELECT COUNT(DISTINCT {c}) FROM clientes) AS unique_values,
+ (SELECT STRING_AGG(CAST(v AS VARCHAR), ', ' ORDER BY row_id) FROM
+   (SELECT row_id, {c} AS v FROM clientes WHERE {c} IS NOT NULL ORDER BY row_id LIMIT 5)) AS sample_values""",
+        ["identificacion", "mes"],
+    ),
+)
+
+TOP = """, f AS (SELECT col, value, COUNT(*) AS n FROM ({tall}) WHERE value IS NOT NULL GROUP BY col, value),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY col ORDER BY n DESC, value) AS pos,
+             SUM(n) OVER (PARTITION BY col) AS total FROM f)"""
+oracle(
+    "profile_categorical",
+    TOP.format(tall=tall(CATEGORIES, cast="VARCHAR"))
+    + """ SELECT col AS "column", CAST(pos AS INT) AS pos, value, n, ROUND(n / total * 100, 6) AS pct FROM r WHERE pos <= 5""",
+)
+oracle(
+    "category_top",
+    TOP.format(tall=tall(CATEGORIES, cast="VARCHAR"))
+    + """ SELECT col AS "column", CAST(pos AS INT) AS pos, value, n FROM r WHERE pos <= 10""",
+)
+oracle(
+    "profile_dates",
+    """SELECT 'antiguedad_deuda' AS "column", CAST(MIN(antiguedad_deuda) AS VARCHAR) AS min_date,
+ CAST(MAX(antiguedad_deuda) AS VARCHAR) AS max_date,
+ CAST(FLOOR((epoch_us(MAX(antiguedad_deuda)) - epoch_us(MIN(antiguedad_deuda))) / 86400000000) AS BIGINT) AS time_span
+FROM clientes""",
+)
+oracle(
+    "quality_rules",
+    f""", q AS ({COLUMN_QUALITY}), p AS ({PROFILE})
+SELECT 'warning' AS severity, 'constant_column' AS rule, "column", CAST(unique_values AS DOUBLE) AS value
+  FROM q WHERE is_constant AND "column" <> 'pago'
+UNION ALL SELECT 'warning', 'high_missing', "column", pct_missing FROM q WHERE pct_missing > 50
+UNION ALL SELECT 'warning', 'empty_column', "column", missing FROM q WHERE unique_values = 0
+UNION ALL SELECT 'error', 'target_constant', "column", unique_values FROM q WHERE is_constant AND "column" = 'pago'
+UNION ALL SELECT 'warning', 'target_missing_values', "column", missing FROM q WHERE missing > 0 AND "column" = 'pago'
+UNION ALL SELECT 'warning', 'duplicate_rows', NULL, total_duplicates FROM p WHERE total_duplicates > 0""",
+)
+oracle(
+    "missing_top",
+    f""", q AS ({COLUMN_QUALITY}) SELECT "column", missing, pct_missing FROM q WHERE missing > 0
+ORDER BY pct_missing DESC, "column" LIMIT 5""",
+)
+oracle(
+    "recategorize",
+    """SELECT row_id, CASE genero WHEN 'HOMBRE' THEN 'M' WHEN 'MUJER' THEN 'F' WHEN ' ' THEN NULL ELSE genero END AS genero
+FROM clientes""",
+)
+oracle(
+    "dedupe",
+    f"""SELECT MIN(row_id) AS row_id, {', '.join(c for c in COLUMNS if c != 'antiguedad_deuda')}
+FROM clientes GROUP BY {', '.join(COLUMNS)}""",
+)
+
+# Distributions
+
+oracle(
+    "target_distribution",
+    "SELECT pago, COUNT(*) AS n, ROUND(COUNT(*) * 100.0 / (SELECT COUNT(*) FROM clientes), 6) AS pct FROM clientes GROUP BY pago",
+)
+oracle(
+    "binary_counts",
+    f""", t AS ({tall(FLAGS, ', pago')}) SELECT col AS "column", pago, value, COUNT(*) AS n FROM t
+WHERE value IS NOT NULL GROUP BY ALL""",
+)
+
+
+def histogram_sql(columns: list[str], bins: str, by: bool) -> str:
+    """Equal-width bins; ``bins`` is an expression over lo, hi, n, iqr of the column."""
+    key = ", pago" if by else ""
+    return f""", t AS ({tall(columns, ', pago')}),
+s AS (SELECT col, MIN(value) AS lo, MAX(value) AS hi, COUNT(value) AS n,
+      QUANTILE_CONT(value, 0.75) - QUANTILE_CONT(value, 0.25) AS iqr FROM t GROUP BY col),
+b AS (SELECT col, lo, hi, CAST({bins} AS INT) AS bins FROM s),
+frame AS (SELECT col, lo, hi, bins, UNNEST(RANGE(bins)) AS bin FROM b),
+grid AS (SELECT * FROM frame {'CROSS JOIN (SELECT DISTINCT pago FROM clientes)' if by else ''}),
+c AS (SELECT col{key}, LEAST(FLOOR((value - lo) / (hi - lo) * bins), bins - 1) AS bin, COUNT(*) AS n
+      FROM t JOIN b USING (col) WHERE value IS NOT NULL GROUP BY ALL)
+SELECT {'grid.pago, ' if by else ''}grid.col AS "column", CAST(grid.bin AS INT) AS bin, ROUND(lo + grid.bin * ((hi - lo) / bins), 4) AS from_value,
+ ROUND(lo + (grid.bin + 1) * ((hi - lo) / bins), 4) AS to_value, CAST(COALESCE(c.n, 0) AS BIGINT) AS n
+FROM grid LEFT JOIN c ON grid.col = c.col AND grid.bin = c.bin {'AND grid.pago = c.pago' if by else ''}"""
+
+
+oracle("histogram", histogram_sql(FEATURES, "20", False))
+oracle(
+    "histogram_auto",
+    histogram_sql(
+        ["saldo_capital", "dias_mora"],
+        "CEIL((hi - lo) / LEAST((hi - lo) / (LOG2(n) + 1), 2 * iqr / POWER(n, 1.0 / 3)))",
+        True,
+    ),
+)
+oracle(
+    "kde",
+    f""", t AS ({tall(['saldo_capital', 'dias_mora'], ', pago')}),
+s AS (SELECT col, pago, COUNT(value) AS n, STDDEV_SAMP(value) * POWER(COUNT(value), -0.2) AS h, MIN(value) AS mn, MAX(value) AS mx
+      FROM t GROUP BY col, pago),
+g AS (SELECT *, mn - 3 * h AS lo, (mx + 3 * h - (mn - 3 * h)) / 199 AS step FROM s),
+f AS (SELECT col, pago, value, COUNT(*) AS w FROM t WHERE value IS NOT NULL GROUP BY ALL),
+p AS (SELECT *, UNNEST(RANGE(200)) AS point FROM g)
+SELECT p.col AS "column", p.pago, CAST(point AS INT) AS point, ROUND(lo + point * step, 4) AS at_value,
+ ROUND(SUM(w * EXP(-0.5 * POWER((lo + point * step - value) / h, 2))) / (n * h * SQRT(2 * PI())) * 1e6, 4) AS density
+FROM p JOIN f ON p.col = f.col AND p.pago = f.pago GROUP BY p.col, p.pago, point, lo, step, n, h""",
+)
+oracle(
+    "month_crosstab",
+    """SELECT mes, CAST(SUBSTR(mes, 1, 4) AS INT) * 12 + CAST(SUBSTR(mes, 6, 2) AS INT) AS pos,
+ COUNT(*) FILTER (pago = 0) AS n_0, COUNT(*) FILTER (pago = 1) AS n_1,
+ ROUND(COUNT(*) FILTER (pago = 0) * 100.0 / COUNT(*), 6) AS pct_0, ROUND(COUNT(*) FILTER (pago = 1) * 100.0 / COUNT(*), 6) AS pct_1
+FROM clientes GROUP BY mes""",
+)
+oracle(
+    "month_rate",
+    """SELECT mes, CAST(SUBSTR(mes, 1, 4) AS INT) * 12 + CAST(SUBSTR(mes, 6, 2) AS INT) AS pos,
+ ROUND(AVG(pago) * 100, 6) AS tasa_pago FROM clientes GROUP BY mes""",
+)
+CROSSTAB = """ SELECT col AS "column", CAST(value AS VARCHAR) AS value, COUNT(*) FILTER (pago = 0) AS n_0,
+ COUNT(*) FILTER (pago = 1) AS n_1, ROUND(COUNT(*) FILTER (pago = 0) * 100.0 / COUNT(*), 6) AS pct_0,
+ ROUND(COUNT(*) FILTER (pago = 1) * 100.0 / COUNT(*), 6) AS pct_1 FROM t WHERE value IS NOT NULL"""
+oracle("crosstab_binary", f", t AS ({tall(FLAGS, ', pago', 'INT')}) {CROSSTAB} GROUP BY col, value")
+oracle(
+    "crosstab_topk",
+    f""", t AS ({tall(CATEGORIES, ', pago', 'VARCHAR')}),
+top AS (SELECT col, value FROM (SELECT col, value, ROW_NUMBER() OVER (PARTITION BY col ORDER BY COUNT(*) DESC, value) AS pos
+        FROM t WHERE value IS NOT NULL GROUP BY col, value) WHERE pos <= 10)
+{CROSSTAB} AND (col, value) IN (SELECT (col, value) FROM top) GROUP BY col, value""",
+)
+
+# Correlation and outliers
+
+
+def pairs(columns: list[str]) -> list[tuple[str, str]]:
+    return [(a, b) for i, a in enumerate(columns) for b in columns[:i]]
+
+
+SCHEMA_ORDER = [c for c in COLUMNS if c in [*NUMERIC, "pago"]]
+NAN_NULL = "CASE WHEN ISNAN({0}) THEN NULL ELSE ROUND({0}, 6) END"
+oracle(
+    "corr_pearson",
+    "\nUNION ALL\n".join(
+        f"SELECT '{a}' AS var_1, '{b}' AS var_2, "
+        + NAN_NULL.format(f"CORR(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))")
+        + " AS r FROM clientes"
+        for a, b in pairs(SCHEMA_ORDER)
+    ),
+)
+oracle(
+    "corr_spearman",
+    "\nUNION ALL\n".join(
+        f"""SELECT '{a}' AS var_1, '{b}' AS var_2, {NAN_NULL.format('CORR(ra, rb)')} AS r FROM (
+ SELECT RANK() OVER (ORDER BY {a}) + (COUNT(*) OVER (PARTITION BY {a}) - 1) / 2.0 AS ra,
+        RANK() OVER (ORDER BY {b}) + (COUNT(*) OVER (PARTITION BY {b}) - 1) / 2.0 AS rb
+ FROM clientes WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
+        for a, b in pairs([*FEATURES, "pago"])
+    ),
+)
+# Discordance needs pairs of distinct cells: the axis with few values is joined on its own values,
+# the other is folded into running counts, so the check stays fast on whole tables.
+oracle(
+    "corr_kendall",
+    ", "
+    + ",\n".join(
+        f"""k{i} AS (SELECT CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y, COUNT(*) AS n FROM clientes
+   WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL),
+u{i} AS (SELECT DISTINCT y FROM k{i}),
+d{i} AS (SELECT u.y AS t, k.x, SUM(CASE WHEN k.y < u.y THEN n ELSE 0 END) AS below, SUM(CASE WHEN k.y > u.y THEN n ELSE 0 END) AS above,
+   SUM(CASE WHEN k.y = u.y THEN n ELSE 0 END) AS same FROM k{i} k CROSS JOIN u{i} u GROUP BY u.y, k.x),
+e{i} AS (SELECT same, SUM(below) OVER w AS lower_before, SUM(above) OVER w AS higher_before FROM d{i}
+   WINDOW w AS (PARTITION BY t ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s{i} AS (SELECT SUM(same * CAST(COALESCE(lower_before, 0) - COALESCE(higher_before, 0) AS DOUBLE)) AS cd FROM e{i}),
+m{i} AS (SELECT SUM(n) * (SUM(n) - 1) / 2.0 AS n0 FROM k{i}),
+tx{i} AS (SELECT SUM(t * (t - 1) / 2.0) AS t FROM (SELECT SUM(n) AS t FROM k{i} GROUP BY x)),
+ty{i} AS (SELECT SUM(t * (t - 1) / 2.0) AS t FROM (SELECT SUM(n) AS t FROM k{i} GROUP BY y))"""
+        for i, (a, b) in enumerate(
+            (a, b) if a == "saldo_capital" else ((b, a) if b == "saldo_capital" else (a, b))
+            for a, b in pairs([*FEATURES, "pago"])
+        )
+    )
+    + "\n"
+    + "\nUNION ALL\n".join(
+        f"""SELECT '{a}' AS var_1, '{b}' AS var_2,
+ CASE WHEN (n0 - tx{i}.t) * (n0 - ty{i}.t) > 0 THEN ROUND(cd / SQRT((n0 - tx{i}.t) * (n0 - ty{i}.t)), 6) END AS r
+FROM s{i}, m{i}, tx{i}, ty{i}"""
+        for i, (a, b) in enumerate(pairs([*FEATURES, "pago"]))
+    ),
+)
+IQR = "QUANTILE_CONT(CAST({c} AS DOUBLE), 0.75) - QUANTILE_CONT(CAST({c} AS DOUBLE), 0.25)"
+FENCES = f"""(SELECT QUANTILE_CONT(CAST({{c}} AS DOUBLE), 0.25) - 1.5 * ({IQR}) AS lo,
+ QUANTILE_CONT(CAST({{c}} AS DOUBLE), 0.75) + 1.5 * ({IQR}) AS hi FROM clientes)"""
+oracle(
+    "outliers_iqr",
+    union(f"SELECT '{{c}}' AS \"column\", row_id FROM clientes, {FENCES} WHERE {{c}} < lo OR {{c}} > hi", [*NUMERIC, "pago"]),
+)
+oracle(
+    "outliers_zscore",
+    union(
+        """SELECT '{c}' AS "column", row_id FROM clientes,
+ (SELECT AVG(CAST({c} AS DOUBLE)) AS m, STDDEV_SAMP(CAST({c} AS DOUBLE)) AS s FROM clientes)
+WHERE s > 0 AND ABS(({c} - m) / s) > 2.5""",
+        [*NUMERIC, "pago"],
+    ),
+)
+oracle(
+    "outlier_counts",
+    union(
+        f"""SELECT '{{c}}' AS "column", COUNT(*) FILTER ({{c}} < lo OR {{c}} > hi) AS outliers,
+ ROUND(COUNT(*) FILTER ({{c}} < lo OR {{c}} > hi) * 100.0 / COUNT({{c}}), 6) AS pct_outliers FROM clientes, {FENCES}""",
+        [*NUMERIC, "pago"],
+    ),
+)
+oracle(
+    "outlier_rows_removed",
+    f"SELECT row_id, saldo_capital FROM clientes, {FENCES.replace('{c}', 'saldo_capital')} WHERE saldo_capital BETWEEN lo AND hi OR saldo_capital IS NULL",
+)
+
+
+def box_sql(by: bool) -> str:
+    key, using = (", pago", "(col, pago)") if by else ("", "(col)")
+    return f""", t AS ({tall(FEATURES, ', pago')}),
+q AS (SELECT col{key}, QUANTILE_CONT(value, 0.25) AS q1, QUANTILE_CONT(value, 0.5) AS median, QUANTILE_CONT(value, 0.75) AS q3
+      FROM t WHERE value IS NOT NULL GROUP BY ALL)
+SELECT col AS "column"{key}, ROUND(q1, 4) AS q1, ROUND(median, 4) AS median, ROUND(q3, 4) AS q3,
+ ROUND(MIN(value) FILTER (value >= q1 - 1.5 * (q3 - q1)), 4) AS whisker_low,
+ ROUND(MAX(value) FILTER (value <= q3 + 1.5 * (q3 - q1)), 4) AS whisker_high,
+ COUNT(*) FILTER (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS fliers
+FROM t JOIN q USING {using} WHERE value IS NOT NULL GROUP BY col{key}, q1, median, q3"""
+
+
+oracle("box_stats", box_sql(False))
+oracle("box_stats_by_class", box_sql(True))
+
+# Relation to the target
+
+oracle(
+    "target_type",
+    "SELECT 'pago' AS target_column, 'int' AS dtype, COUNT(DISTINCT pago) AS unique_values, 'binary' AS kind FROM clientes",
+)
+
+
+def information(numeric: list[str], categorical: list[str], target: str, continuous: bool) -> str:
+    """CTEs that end in ``mi(col, mutual_information)``."""
+    deciles = "[0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]"
+    binned = lambda c: f"""(SELECT LIST_DISTINCT(QUANTILE_CONT(CAST({c} AS DOUBLE), {deciles})) FROM clientes)"""
+    cut = lambda c: f"LEN(LIST_FILTER({binned(c)}, lambda d: CAST({c} AS DOUBLE) > d))"
+    y = cut(target) if continuous else target
+    parts = [
+        f"SELECT '{c}' AS col, CAST({cut(c)} AS VARCHAR) AS x, CAST({y} AS VARCHAR) AS y FROM clientes WHERE {c} IS NOT NULL"
+        for c in numeric
+    ] + [f"SELECT '{c}' AS col, {c} AS x, CAST({y} AS VARCHAR) AS y FROM clientes WHERE {c} IS NOT NULL" for c in categorical]
+    cells = "\nUNION ALL\n".join(f"SELECT col, x, y, COUNT(*) AS n FROM ({p}) GROUP BY ALL" for p in parts)
+    return f""", cells AS ({cells}),
+margins AS (SELECT *, SUM(n) OVER (PARTITION BY col, x) AS nx, SUM(n) OVER (PARTITION BY col, y) AS ny,
+            SUM(n) OVER (PARTITION BY col) AS total FROM cells),
+mi AS (SELECT col, SUM(n / total * LN(n * CAST(total AS DOUBLE) / (CAST(nx AS DOUBLE) * ny))) AS mutual_information
+       FROM margins GROUP BY col)"""
+
+
+def auc_cte(columns: list[str]) -> str:
+    return f""" , auct AS ({tall(columns, ', pago')}),
+ar AS (SELECT col, pago, RANK() OVER (PARTITION BY col ORDER BY value)
+         + (COUNT(*) OVER (PARTITION BY col, value) - 1) / 2.0 AS rank FROM auct WHERE value IS NOT NULL),
+auc AS (SELECT col, (SUM(rank) FILTER (pago = 1) - COUNT(*) FILTER (pago = 1) * (COUNT(*) FILTER (pago = 1) + 1) / 2.0)
+   / (CAST(COUNT(*) FILTER (pago = 1) AS DOUBLE) * COUNT(*) FILTER (pago = 0)) AS auc FROM ar GROUP BY col)"""
+
+
+NUM_VS_BINARY = (
+    information(NUMERIC, [], "pago", False)
+    + auc_cte(NUMERIC)
+    + ", base AS ("
+    + union(
+        """SELECT '{c}' AS col, (COUNT(*) - COUNT({c})) / CAST(COUNT(*) AS DOUBLE) AS missing_rate,
+ COUNT(DISTINCT {c}) = 2 AS is_binary, CORR(CAST({c} AS DOUBLE), CAST(pago AS DOUBLE)) AS correlation,
+ AVG({c}) FILTER (pago = 0) AS mean_0, AVG({c}) FILTER (pago = 1) AS mean_1 FROM clientes""",
+        NUMERIC,
+    )
+    + """)"""
+)
+oracle(
+    "num_vs_binary",
+    NUM_VS_BINARY
+    + """ SELECT base.col AS "column", ROUND(missing_rate, 6) AS missing_rate, is_binary, ROUND(auc, 6) AS auc,
+ ROUND(correlation, 6) AS correlation, ROUND(mutual_information, 6) AS mutual_information, ROUND(mean_0, 4) AS mean_0,
+ ROUND(mean_1, 4) AS mean_1 FROM base JOIN auc USING (col) JOIN mi USING (col)""",
+)
+OTHERS = [*[c for c in NUMERIC if c != "saldo_capital"], "pago"]
+oracle(
+    "num_vs_continuous",
+    information(OTHERS, [], "saldo_capital", True)
+    + ", base AS ("
+    + union(
+        """SELECT '{c}' AS col, ROUND((COUNT(*) - COUNT({c})) / CAST(COUNT(*) AS DOUBLE), 6) AS missing_rate,
+ COUNT(DISTINCT {c}) = 2 AS is_binary, COUNT({c}) AS n, ROUND(CORR(CAST({c} AS DOUBLE), saldo_capital), 6) AS correlation FROM clientes""",
+        OTHERS,
+    )
+    + """) SELECT col AS "column", missing_rate, is_binary, n, correlation, ROUND(mutual_information, 6) AS mutual_information
+FROM base JOIN mi USING (col)""",
+)
+oracle(
+    "anova",
+    f""", t AS ({tall([*NUMERIC, 'pago'], ', banco')}),
+g AS (SELECT col, banco, COUNT(*) AS n, AVG(value) AS m, VAR_POP(value) * COUNT(*) AS ss FROM t WHERE value IS NOT NULL GROUP BY col, banco),
+a AS (SELECT col, SUM(n * m) / SUM(n) AS grand FROM g GROUP BY col)
+SELECT col AS "column", CAST(SUM(n) AS BIGINT) AS n, COUNT(*) AS groups,
+ ROUND((SUM(n * (m - grand) * (m - grand)) / (COUNT(*) - 1)) / (SUM(ss) / (SUM(n) - COUNT(*))), 6) AS anova_f_stat
+FROM g JOIN a USING (col) GROUP BY col""",
+)
+oracle(
+    "group_means",
+    f""", t AS ({tall(FEATURES, ', banco')}) SELECT col AS "column", banco, COUNT(value) AS n, ROUND(AVG(value), 4) AS mean
+FROM t WHERE value IS NOT NULL GROUP BY col, banco""",
+)
+CHI2 = f""", t AS ({tall(CATEGORIES, ', pago', 'VARCHAR')}),
+o AS (SELECT col, value, pago, COUNT(*) AS n FROM t WHERE value IS NOT NULL GROUP BY ALL),
+vr AS (SELECT col, value, SUM(n) AS nv FROM o GROUP BY ALL), vc AS (SELECT col, pago, SUM(n) AS np FROM o GROUP BY ALL),
+tot AS (SELECT col, SUM(n) AS total FROM o GROUP BY col),
+shape AS (SELECT col, COUNT(DISTINCT value) AS r, COUNT(DISTINCT pago) AS k FROM o GROUP BY col),
+full_cells AS (SELECT vr.col, vr.value, vc.pago, nv * np / CAST(total AS DOUBLE) AS e, COALESCE(o.n, 0) AS n, total
+  FROM vr JOIN vc ON vr.col = vc.col JOIN tot ON vr.col = tot.col
+  LEFT JOIN o ON o.col = vr.col AND o.value = vr.value AND o.pago = vc.pago),
+chi AS (SELECT col, CAST(MAX(total) AS BIGINT) AS n,
+  SUM(POWER(ABS(n - e) - CASE WHEN (r - 1) * (k - 1) = 1 THEN LEAST(0.5, ABS(n - e)) ELSE 0 END, 2) / e) AS chi2_statistic,
+  MAX((r - 1) * (k - 1)) AS chi2_dof FROM full_cells JOIN shape USING (col) GROUP BY col)"""
+oracle("chi2", CHI2 + """ SELECT col AS "column", n, ROUND(chi2_statistic, 6) AS chi2_statistic, chi2_dof FROM chi""")
+oracle(
+    "mutual_info",
+    information([*FEATURES, *FLAGS], CATEGORIES, "pago", False)
+    + """ SELECT col AS "column", ROUND(mutual_information, 6) AS mutual_information FROM mi""",
+)
+
+TALL_STATS = {
+    "numeric": ["missing_rate", "is_binary", "auc", "correlation", "mutual_information", "mean_0", "mean_1"],
+    "categorical": ["missing_rate", "unique_categories", "is_binary", "chi2_statistic", "chi2_dof", "mutual_information"],
+}
+oracle(
+    "bivariate_report",
+    NUM_VS_BINARY
+    + CHI2
+    + ", cat AS ("
+    + union(
+        """SELECT '{c}' AS col, (COUNT(*) - COUNT({c})) / CAST(COUNT(*) AS DOUBLE) AS missing_rate,
+ COUNT(DISTINCT {c}) AS unique_categories, COUNT(DISTINCT {c}) = 2 AS is_binary FROM clientes""",
+        CATEGORIES,
+    )
+    + ")"
+    + information([], CATEGORIES, "pago", False).replace("cells AS", "ccells AS").replace("margins AS", "cmargins AS")
+    .replace("FROM cells", "FROM ccells").replace("FROM margins", "FROM cmargins").replace("mi AS", "cmi AS")
+    + ", wide_n AS (SELECT * FROM base JOIN auc USING (col) JOIN mi USING (col))"
+    + ", wide_c AS (SELECT * FROM cat JOIN chi USING (col) JOIN cmi USING (col))"
+    + "\nSELECT * FROM ("
+    + "\nUNION ALL\n".join(
+        chain(
+            (
+                f"""SELECT '{kind}' AS kind, col AS "column", '{s}' AS statistic, ROUND(CAST({s} AS DOUBLE), 4) AS value FROM {table}"""
+                for kind, table in (("numeric", "wide_n"), ("categorical", "wide_c"))
+                for s in TALL_STATS[kind]
+            )
+        )
+    )
+    + ") WHERE value IS NOT NULL",
+)

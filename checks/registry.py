@@ -1,4 +1,7 @@
-"""Every registered query: (session, table folder) -> DataFrame."""
+"""Every registered query: (session, table folder) -> DataFrame.
+
+Doubles are rounded on both sides of a check, because the order of a sum changes its last digits.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +10,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moralens.operators import bivariate, cleaning, correlation, distributions, outliers, quality
+from moralens.operators.columns import classify, select_classes
 from moralens.plans import reports
-from moralens.sources.panel import build_panel, staged_panel
+from moralens.sources.panel import BUSINESS_COLUMNS, EXEMPT, TARGET, build_panel, staged_panel
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+FEATURES = ["saldo_capital", "dias_mora", "meses_desde_ultimo_pago", "duracion_llamadas_ultimos_6meses"]
+CATEGORIES = ["tipo_documento", "genero", "rango_edad_probable", "departamento", "banco"]
+FLAGS = ["pago_mes_anterior", "sin_pago_previo", "contacto_mes_actual", "contacto_mes_anterior", "contacto_ultimos_6meses"]
+
 
 def query(build: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
     """Register a function of the panel under its own name."""
@@ -20,6 +29,13 @@ def query(build: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], Data
     return build
 
 
+def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
+    places = lambda c: special.get(c, digits)
+    return df.select(
+        *[F.round(F.col(c), places(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
+    )
+
+
 def _load_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_panel(spark, sf_dir).withColumn("antiguedad_deuda", F.col("antiguedad_deuda").cast("string"))
 
@@ -27,6 +43,9 @@ def _load_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["load_panel"] = _load_panel
 
 
+# Portfolio reports
+
+
 @query
 def q_top_clients(panel):
     return reports.top_clients(panel)
@@ -35,3 +54,209 @@ def q_top_clients(panel):
 @query
 def q_avg_payers(panel):
     return reports.average_payers(panel)
+
+
+# Columns and quality
+
+
+@query
+def select_by_class(panel):
+    return select_classes(panel, ("numeric", "categorical"), EXEMPT)
+
+
+@query
+def quality_global(panel):
+    return rounded(quality.table_profile(panel.select(*BUSINESS_COLUMNS)))
+
+
+@query
+def quality_columns(panel):
+    return quality.column_quality(panel.select(*BUSINESS_COLUMNS))
+
+
+@query
+def profile_numeric(panel):
+    return rounded(quality.numeric_profile(panel, EXEMPT), 4)
+
+
+@query
+def profile_exempt(panel):
+    return quality.exempt_profile(panel, EXEMPT, "row_id")
+
+
+@query
+def profile_categorical(panel):
+    return rounded(quality.categorical_profile(panel, EXEMPT))
+
+
+@query
+def profile_dates(panel):
+    return quality.date_profile(panel)
+
+
+@query
+def quality_rules(panel):
+    return quality.quality_rules(panel.select(*BUSINESS_COLUMNS))
+
+
+@query
+def missing_top(panel):
+    return quality.missing_top(quality.column_quality(panel.select(*BUSINESS_COLUMNS)), 5)
+
+
+@query
+def recategorize(panel):
+    return cleaning.recategorize(panel).select("row_id", "genero")
+
+
+@query
+def dedupe(panel):
+    return cleaning.drop_duplicates(panel, "row_id").drop("antiguedad_deuda")
+
+
+# Distributions
+
+
+@query
+def target_distribution(panel):
+    return rounded(distributions.target_distribution(panel, TARGET))
+
+
+@query
+def binary_counts(panel):
+    return distributions.binary_counts(panel, TARGET, EXEMPT)
+
+
+@query
+def histogram(panel):
+    return rounded(distributions.histogram(panel, FEATURES, 20), 4)
+
+
+@query
+def histogram_auto(panel):
+    return rounded(distributions.histogram(panel, ["saldo_capital", "dias_mora"], "auto", TARGET), 4)
+
+
+@query
+def kde(panel):
+    found = distributions.density(panel, ["saldo_capital", "dias_mora"], TARGET)
+    scaled = found.withColumn("density", F.col("density") * 1e6)
+    return rounded(scaled, 4)
+
+
+@query
+def category_top(panel):
+    return distributions.category_top(panel, EXEMPT)
+
+
+@query
+def month_crosstab(panel):
+    return rounded(distributions.month_crosstab(panel))
+
+
+@query
+def month_rate(panel):
+    return rounded(distributions.month_rate(panel))
+
+
+@query
+def crosstab_binary(panel):
+    return rounded(distributions.crosstab_binary(panel, TARGET, EXEMPT))
+
+
+@query
+def crosstab_topk(panel):
+    return rounded(distributions.crosstab_topk(panel, CATEGORIES, TARGET, 10))
+
+
+# Correlation and outliers
+
+
+@query
+def corr_pearson(panel):
+    return rounded(correlation.correlation_matrix(panel, classify(panel.schema, EXEMPT).numeric, "pearson"))
+
+
+@query
+def corr_spearman(panel):
+    return rounded(correlation.correlation_matrix(panel, [*FEATURES, TARGET], "spearman"))
+
+
+@query
+def corr_kendall(panel):
+    return rounded(correlation.correlation_matrix(panel, [*FEATURES, TARGET], "kendall"))
+
+
+@query
+def outliers_iqr(panel):
+    return outliers.outlier_rows(panel, "row_id", EXEMPT)
+
+
+@query
+def outliers_zscore(panel):
+    return outliers.outlier_rows(panel, "row_id", EXEMPT, "zscore", 2.5)
+
+
+@query
+def outlier_counts(panel):
+    return rounded(outliers.outlier_counts(panel, EXEMPT))
+
+
+@query
+def outlier_rows_removed(panel):
+    return outliers.without_outliers(panel, "saldo_capital").select("row_id", "saldo_capital")
+
+
+@query
+def box_stats(panel):
+    return rounded(outliers.box_statistics(panel, FEATURES), 4)
+
+
+@query
+def box_stats_by_class(panel):
+    return rounded(outliers.box_statistics(panel, FEATURES, TARGET), 4)
+
+
+# Relation to the target
+
+
+@query
+def target_type(panel):
+    return bivariate.target_type(panel, TARGET)
+
+
+@query
+def num_vs_binary(panel):
+    return rounded(bivariate.numeric_vs_binary(panel, TARGET, EXEMPT), 6, mean_0=4, mean_1=4)
+
+
+@query
+def num_vs_continuous(panel):
+    found = bivariate.numeric_vs_continuous(panel, "saldo_capital", EXEMPT)
+    return rounded(found.drop("correlation_pvalue"))
+
+
+@query
+def anova(panel):
+    return rounded(bivariate.anova(panel, "banco", EXEMPT).drop("anova_p_value"))
+
+
+@query
+def group_means(panel):
+    return rounded(bivariate.group_means(panel, FEATURES, "banco"), 4)
+
+
+@query
+def chi2(panel):
+    return rounded(bivariate.chi_square(panel, TARGET, CATEGORIES).drop("chi2_p_value"))
+
+
+@query
+def mutual_info(panel):
+    return rounded(bivariate.mutual_information(panel, TARGET, [*FEATURES, *FLAGS], CATEGORIES))
+
+
+@query
+def bivariate_report(panel):
+    found = bivariate.bivariate_report(panel, TARGET, EXEMPT)
+    return rounded(found.where(~F.col("statistic").endswith("p_value")), 4)
