@@ -452,3 +452,282 @@ oracle(
     )
     + ") WHERE value IS NOT NULL",
 )
+
+# Preparation
+
+PREP_NUMERIC = ["saldo_capital", "dias_mora", "duracion_llamadas_ultimos_6meses"]
+IMPUTED = ["genero", "rango_edad_probable", "dias_mora", "meses_desde_ultimo_pago", "antiguedad_deuda"]
+# The categories the panel can hold, in sorted order.
+CATEGORY_VALUES = {
+    "tipo_documento": ["C", "E"],
+    "genero": [" ", "F", "HOMBRE", "M", "missing"],
+    "rango_edad_probable": ["25-30", "31-35", "36-40", "66+", "missing"],
+    "banco": ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"],
+}
+WITH_GAPS = [
+    "genero", "rango_edad_probable", "departamento", "dias_mora", "antiguedad_deuda", "meses_desde_ultimo_pago",
+    "contacto_ultimos_6meses", "duracion_llamadas_ultimos_6meses",
+]
+
+
+def flag(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END"
+
+
+oracle("impute_flags", "SELECT row_id, " + ", ".join(f"{flag(c)} AS {c}_imputed" for c in WITH_GAPS) + " FROM clientes")
+oracle(
+    "impute_flag_info",
+    union(
+        """SELECT '{c}_imputed' AS flag, '{c}' AS source_column, COUNT(*) - COUNT({c}) AS missing_count,
+ ROUND((COUNT(*) - COUNT({c})) / CAST(COUNT(*) AS DOUBLE), 6) AS missing_rate, 'missing_mask' AS strategy,
+ 'boolean' AS flag_type FROM clientes""",
+        WITH_GAPS,
+    ),
+)
+
+
+def mode_of(c: str) -> str:
+    return f"(SELECT {c} FROM clientes WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY COUNT(*) DESC, {c} LIMIT 1)"
+
+
+def imputed(numeric: str, constant: bool) -> str:
+    shown = []
+    for c in IMPUTED:
+        if c in NUMERIC:
+            fill = mode_of(c) if numeric == "mode" else numeric.replace("{c}", c)
+            shown.append(f"ROUND(COALESCE(CAST({c} AS DOUBLE), {fill}), 6) AS {c}")
+        else:
+            fill = "'Unknown'" if constant else f"CAST({mode_of(c)} AS VARCHAR)"
+            shown.append(f"COALESCE(CAST({c} AS VARCHAR), {fill}) AS {c}")
+        shown.append(f"{flag(c)} AS {c}_imputed")
+    return f"SELECT row_id, {', '.join(shown)} FROM clientes"
+
+
+oracle("impute_mean", imputed("(SELECT AVG(CAST({c} AS DOUBLE)) FROM clientes)", False))
+oracle("impute_median", imputed("(SELECT QUANTILE_CONT(CAST({c} AS DOUBLE), 0.5) FROM clientes)", False))
+oracle("impute_mode", imputed("mode", False))
+oracle("impute_constant", imputed("0.0", True))
+oracle(
+    "flag_counts",
+    union(
+        """SELECT '{c}_imputed' AS flag, COUNT({c}) AS original, COUNT(*) - COUNT({c}) AS imputed,
+ ROUND((COUNT(*) - COUNT({c})) * 100.0 / COUNT(*), 6) AS pct_imputed FROM clientes""",
+        WITH_GAPS,
+    ),
+)
+
+
+def scaling(source: str) -> str:
+    """CTEs ``fit_<column>(fill, mean, std)`` of the numeric columns, fitted on ``source``."""
+    return ", ".join(
+        f"""med_{c} AS (SELECT QUANTILE_CONT(CAST({c} AS DOUBLE), 0.5) AS fill FROM {source}),
+fit_{c} AS (SELECT MAX(fill) AS fill, AVG(COALESCE({c}, fill)) AS mean,
+  CASE WHEN STDDEV_POP(COALESCE({c}, fill)) > 0 THEN STDDEV_POP(COALESCE({c}, fill)) ELSE 1 END AS std FROM {source}, med_{c})"""
+        for c in PREP_NUMERIC
+    )
+
+
+SCALED = ", ".join(
+    f"ROUND((COALESCE(CAST({c} AS DOUBLE), fit_{c}.fill) - fit_{c}.mean) / fit_{c}.std, 6) AS {c}_scaled, {flag(c)} AS {c}_flag"
+    for c in PREP_NUMERIC
+)
+FITS = ", ".join(f"fit_{c}" for c in PREP_NUMERIC)
+FILLED = ", ".join(f"COALESCE({c}, 0) AS {c}_imputed, {flag(c)} AS {c}_flag" for c in FLAGS)
+ONE_HOT = ", ".join(
+    chain.from_iterable(
+        [
+            *[f"CASE WHEN COALESCE({c}, 'missing') = '{v}' THEN 1 ELSE 0 END AS \"{c}_{v}\"" for v in values],
+            f"{flag(c)} AS {c}_flag",
+        ]
+        for c, values in CATEGORY_VALUES.items()
+    )
+)
+oracle("prep_numeric", f", {scaling('clientes')} SELECT row_id, {SCALED} FROM clientes, {FITS}")
+oracle("prep_binary", f"SELECT row_id, {FILLED} FROM clientes")
+oracle(
+    "prep_categorical",
+    f"""SELECT row_id, COALESCE(genero, 'missing') AS genero_imputed, COALESCE(departamento, 'missing') AS departamento_imputed,
+ {flag('departamento')} AS departamento_flag, {ONE_HOT} FROM clientes""",
+)
+SPLIT = """, hashed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY pago ORDER BY md5('42:' || CAST(row_id AS VARCHAR)), row_id) AS hash_rank,
+  COUNT(*) OVER (PARTITION BY pago) AS class_size FROM clientes),
+split AS (SELECT *, hash_rank <= FLOOR(class_size * 0.2 + 0.5) AS is_test FROM hashed)"""
+oracle(
+    "prep_full",
+    f"""{SPLIT}, train AS (SELECT * FROM split WHERE NOT is_test), {scaling('train')}
+SELECT row_id, CASE WHEN is_test THEN 'test' ELSE 'train' END AS split, {SCALED}, {FILLED}, {ONE_HOT} FROM split, {FITS}""",
+)
+oracle("split_stratified", SPLIT + " SELECT row_id, pago, is_test FROM split")
+oracle(
+    "folds",
+    SPLIT + " SELECT row_id, pago, CAST(FLOOR(5 * (hash_rank - 1) / class_size) AS INT) AS fold FROM split",
+)
+
+# Rebalancing
+
+HASH = "CAST('0x' || SUBSTR(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 15) AS BIGINT)"
+SIZES = ", sizes AS (SELECT COUNT(*) FILTER (pago = 0) AS n0, COUNT(*) FILTER (pago = 1) AS n1 FROM clientes)"
+DRAWS = SIZES + ", draws AS (SELECT UNNEST(RANGE(n0 - n1)) AS j FROM sizes)"
+oracle(
+    "undersample",
+    SPLIT + SIZES + " SELECT row_id, pago, saldo_capital FROM split, sizes WHERE hash_rank <= LEAST(n0, n1)",
+)
+oracle(
+    "oversample",
+    DRAWS
+    + f""", minority AS (SELECT *, ROW_NUMBER() OVER (ORDER BY row_id) - 1 AS idx FROM clientes WHERE pago = 1)
+SELECT row_id, pago, saldo_capital, mes FROM clientes
+UNION ALL SELECT -1 - j, pago, saldo_capital, mes FROM draws, sizes JOIN minority ON idx = {HASH.format(seed=42, key='j')} % n1""",
+)
+SMOTE_FEATURES = ["saldo_capital", "dias_mora", "duracion_llamadas_ultimos_6meses", "contacto_mes_actual"]
+
+
+def neighbours_sql(features: list[str]) -> str:
+    """CTEs ``minority(row_id, idx, features)`` and ``near(row_id, pos, neighbour)``."""
+    shown = ", ".join(f"CAST(COALESCE({c}, 0) AS DOUBLE) AS {c}" for c in features)
+    gap = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in features)
+    return f""", minority AS (SELECT row_id, {shown}, ROW_NUMBER() OVER (ORDER BY row_id) - 1 AS idx FROM clientes WHERE pago = 1),
+near AS (SELECT row_id, pos, neighbour FROM (
+  SELECT a.row_id, b.row_id AS neighbour, ROW_NUMBER() OVER (PARTITION BY a.row_id ORDER BY {gap}, b.row_id) - 1 AS pos
+  FROM minority a JOIN minority b ON a.row_id <> b.row_id) WHERE pos < 5)"""
+
+
+oracle("neighbours", neighbours_sql(SMOTE_FEATURES[1:]) + " SELECT row_id, CAST(pos AS INT) AS pos, neighbour FROM near")
+oracle(
+    "smote",
+    DRAWS
+    + neighbours_sql(SMOTE_FEATURES)
+    + f""", picks AS (SELECT j, {HASH.format(seed='42b', key='j')} % n1 AS idx, {HASH.format(seed='42k', key='j')} % 5 AS pos,
+  {HASH.format(seed='42u', key='j')} / 1152921504606846976.0 AS u FROM draws, sizes)
+SELECT row_id, pago, {', '.join(f'ROUND(CAST(COALESCE({c}, 0) AS DOUBLE), 4) AS {c}' for c in SMOTE_FEATURES)} FROM clientes
+UNION ALL SELECT -1 - j, 1, {', '.join(f'ROUND(m.{c} + u * (o.{c} - m.{c}), 4)' for c in SMOTE_FEATURES)}
+FROM picks JOIN minority m ON m.idx = picks.idx JOIN near ON near.row_id = m.row_id AND near.pos = picks.pos
+JOIN minority o ON o.row_id = near.neighbour""",
+)
+oracle(
+    "class_balance",
+    SIZES
+    + """ SELECT 'original' AS stage, pago AS class, COUNT(*) AS n, ROUND(COUNT(*) * 100.0 / (SELECT n0 + n1 FROM sizes), 6) AS pct
+FROM clientes GROUP BY pago
+UNION ALL SELECT 'undersampling', UNNEST([0, 1]), LEAST(n0, n1), 50.0 FROM sizes
+UNION ALL SELECT 'oversampling', UNNEST([0, 1]), GREATEST(n0, n1), 50.0 FROM sizes""",
+)
+oracle(
+    "class_weights",
+    SIZES
+    + """ SELECT pago AS class, COUNT(*) AS n, ROUND((SELECT n0 + n1 FROM sizes) / (2.0 * COUNT(*)), 6) AS balanced_weight,
+ (SELECT ROUND(CAST(n0 AS DOUBLE) / n1, 6) FROM sizes) AS scale_pos_weight FROM clientes GROUP BY pago""",
+)
+
+# Metrics of two fixed scores
+
+SCORED = SPLIT + """, scored AS (
+SELECT 'contact' AS model, CASE WHEN is_test THEN 'test' ELSE 'train' END AS split, pago AS label,
+  contacto_mes_actual * CAST(0.5 AS DOUBLE) + CAST(CASE WHEN rango_edad_probable IN ('36-40', '66+') THEN 0.25 ELSE 0.0 END AS DOUBLE)
+  + (row_id % 10) * CAST(0.015625 AS DOUBLE) AS score FROM split
+UNION ALL SELECT 'amount', CASE WHEN is_test THEN 'test' ELSE 'train' END, pago,
+  LEAST(saldo_capital / CAST(400000 AS DOUBLE), CAST(1 AS DOUBLE)) FROM split)"""
+METRIC_ROWS = SCORED + """, counted AS (SELECT model, split, score, COUNT(*) AS n, SUM(label) AS p FROM scored GROUP BY ALL),
+ranked AS (SELECT *, SUM(n) OVER w AS k, SUM(p) OVER w AS hits FROM counted WINDOW w AS (PARTITION BY model, split ORDER BY score DESC)),
+wide AS (SELECT model, split, (tp + tn) / total AS accuracy, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision,
+  tp / n1 AS recall, CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)) * (tp / n1) / (tp / (tp + fp) + tp / n1) ELSE 0 END AS f1, roc_auc, pr_auc
+FROM (SELECT model, split, CAST(COUNT(*) AS DOUBLE) AS total, CAST(SUM(label) AS DOUBLE) AS n1,
+   CAST(COUNT(*) FILTER (score > 0.5 AND label = 1) AS DOUBLE) AS tp, CAST(COUNT(*) FILTER (score > 0.5 AND label = 0) AS DOUBLE) AS fp,
+   CAST(COUNT(*) FILTER (score <= 0.5 AND label = 0) AS DOUBLE) AS tn FROM scored GROUP BY model, split)
+JOIN (SELECT model, split, SUM((n - p) * (hits - p / 2.0)) / (SUM(p) * CAST(SUM(n - p) AS DOUBLE)) AS roc_auc,
+   SUM(p * (hits / CAST(k AS DOUBLE))) / SUM(p) AS pr_auc FROM ranked GROUP BY model, split) USING (model, split))"""
+NAMES = ["accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc"]
+ROUNDED = ", ".join(f"ROUND({m}, 6) AS {m}" for m in NAMES)
+COMPARED = (
+    METRIC_ROWS
+    + ", tall AS ("
+    + "\nUNION ALL\n".join(f"SELECT model, split, '{m}' AS metric, {m} AS value FROM wide" for m in NAMES)
+    + """), sides AS (SELECT a.model, a.metric, a.value AS train, b.value AS test, a.value - b.value AS diff,
+  CASE WHEN b.value <> 0 THEN (a.value - b.value) * 100 / b.value ELSE 0 END AS pct_diff
+FROM tall a JOIN tall b ON a.model = b.model AND a.metric = b.metric AND a.split = 'train' AND b.split = 'test')"""
+)
+oracle("metrics", METRIC_ROWS + f" SELECT model, split, {ROUNDED} FROM wide")
+oracle(
+    "confusion",
+    SCORED
+    + """, cells AS (SELECT DISTINCT model, split, UNNEST([0, 0, 1, 1]) AS actual, UNNEST([0, 1, 0, 1]) AS predicted FROM scored)
+SELECT c.model, c.split, c.actual, c.predicted, COUNT(s.label) AS n FROM cells c LEFT JOIN scored s
+ ON c.model = s.model AND c.split = s.split AND c.actual = s.label AND c.predicted = CASE WHEN s.score > 0.5 THEN 1 ELSE 0 END GROUP BY ALL""",
+)
+oracle(
+    "roc_points",
+    METRIC_ROWS
+    + """, t AS (SELECT SUM(p) AS n1, SUM(n - p) AS n0 FROM counted WHERE model = 'amount' AND split = 'test')
+SELECT NULL AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr
+UNION ALL SELECT ROUND(score, 9), ROUND((k - hits) / CAST(n0 AS DOUBLE), 9), ROUND(hits / CAST(n1 AS DOUBLE), 9) FROM ranked, t
+WHERE model = 'amount' AND split = 'test'""",
+)
+RISK = "CASE WHEN pct_diff > 10 THEN 'High' WHEN pct_diff > 5 THEN 'Medium' ELSE 'Low' END"
+SIDES = "ROUND(train, 6) AS {0}, ROUND(test, 6) AS {1}, ROUND(diff, 6) AS {2}, ROUND(pct_diff, 6) AS pct_diff"
+oracle(
+    "overfit_table",
+    COMPARED + f" SELECT model, metric, {SIDES.format('train', 'test', 'diff')}, {RISK} AS risk FROM sides",
+)
+
+
+def published(where: str, method: str, process: str) -> str:
+    return f"""SELECT model AS "Model", UPPER(metric) AS "Metric", {SIDES.format('"Train"', '"Test"', '"Difference"')},
+ '{method}' AS "Method", '{process}' AS "Process" FROM sides {where}"""
+
+
+oracle("comparison_table", COMPARED + published("", "Combinado", "Unbalanced"))
+oracle(
+    "results_union",
+    COMPARED
+    + published("WHERE model = 'contact'", "Combinado", "Unbalanced")
+    + " UNION ALL "
+    + published("WHERE model = 'amount'", "Oversampling", "Balanced"),
+)
+oracle(
+    "leaderboard",
+    METRIC_ROWS
+    + f" SELECT model, split, {ROUNDED}, CAST(ROW_NUMBER() OVER (ORDER BY roc_auc DESC, model) AS INT) AS pos FROM wide WHERE split = 'test'",
+)
+oracle(
+    "best_result",
+    METRIC_ROWS + f" SELECT model, split, {ROUNDED} FROM wide WHERE split = 'test' ORDER BY wide.pr_auc DESC, model LIMIT 1",
+)
+oracle(
+    "metric_pivot",
+    METRIC_ROWS
+    + " SELECT a.model, "
+    + ", ".join(f"ROUND(a.{m}, 6) AS {m}_train, ROUND(b.{m}, 6) AS {m}_test" for m in NAMES)
+    + " FROM wide a JOIN wide b ON a.model = b.model AND a.split = 'train' AND b.split = 'test'",
+)
+oracle(
+    "feature_union",
+    auc_cte([*FEATURES, *FLAGS])
+    + ", g AS ("
+    + union("SELECT '{c}' AS col, COUNT(*) - COUNT({c}) AS missing FROM clientes", [*FEATURES, *FLAGS])
+    + """), both_lists AS (
+SELECT ROW_NUMBER() OVER (ORDER BY ROUND(ABS(auc - 0.5), 9) DESC, col) AS pos, col FROM auc QUALIFY pos <= 5
+UNION ALL SELECT 5 + ROW_NUMBER() OVER (ORDER BY missing DESC, col) AS pos, col FROM g QUALIFY pos <= 10)
+SELECT col AS feature, CAST(MIN(pos) AS INT) AS pos FROM both_lists GROUP BY col""",
+)
+WEIGHTS = {"saldo_capital": 0.001, "dias_mora": -0.25, "contacto_mes_actual": 3.0}
+oracle(
+    "lr_contributions",
+    "\nUNION ALL\n".join(
+        f"""SELECT '{c}' AS feature, CAST({w} AS DOUBLE) AS coefficient, ROUND(AVG(ABS(CAST({w} AS DOUBLE) *
+ ({c} - (SELECT AVG(CAST({c} AS DOUBLE)) FROM clientes)))), 6) AS mean_abs_contribution FROM clientes"""
+        for c, w in WEIGHTS.items()
+    ),
+)
+
+# Sinks give back what was written
+
+ORACLES["sink_json"] = ORACLES["quality_columns"]
+ORACLES["sink_csv"] = ORACLES["month_rate"]
+oracle(
+    "sink_text",
+    f""", q AS ({COLUMN_QUALITY}) SELECT CAST(ROW_NUMBER() OVER (ORDER BY pct_missing DESC, "column") AS VARCHAR) || '. ' || "column" AS line
+FROM q WHERE missing > 0 QUALIFY ROW_NUMBER() OVER (ORDER BY pct_missing DESC, "column") <= 5""",
+)
+oracle("sink_panel", "SELECT row_id, mes, saldo_capital FROM clientes WHERE mes BETWEEN '1996-01' AND '1996-12'")
+oracle("sink_model", f", {scaling('clientes')} SELECT row_id, {SCALED}, {FILLED} FROM clientes, {FITS}")
+ORACLES["load_gate"] = ORACLES["quality_rules"]

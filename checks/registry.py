@@ -5,14 +5,31 @@ Doubles are rounded on both sides of a check, because the order of a sum changes
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from moralens.operators import bivariate, cleaning, correlation, distributions, outliers, quality
+from moralens.operators import (
+    balancing,
+    bivariate,
+    cleaning,
+    correlation,
+    distributions,
+    models,
+    outliers,
+    preparation,
+    quality,
+    selection,
+    splitting,
+)
+from moralens.operators import metrics as metrics_ops
 from moralens.operators.columns import classify, select_classes
-from moralens.plans import reports
+from moralens.operators.neighbours import nearest_neighbours
+from moralens.plans import eda, reports, training
+from moralens.sources import readers, sinks
+from moralens.staging import staging_root
 from moralens.sources.panel import BUSINESS_COLUMNS, EXEMPT, TARGET, build_panel, staged_panel
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -260,3 +277,399 @@ def mutual_info(panel):
 def bivariate_report(panel):
     found = bivariate.bivariate_report(panel, TARGET, EXEMPT)
     return rounded(found.where(~F.col("statistic").endswith("p_value")), 4)
+
+
+# Preparation
+
+PREP_NUMERIC = ["saldo_capital", "dias_mora", "duracion_llamadas_ultimos_6meses"]
+PREP_CATEGORIES = ["tipo_documento", "genero", "rango_edad_probable", "banco"]
+IMPUTED = ["genero", "rango_edad_probable", "dias_mora", "meses_desde_ultimo_pago", "antiguedad_deuda"]
+
+
+def _shown(df: DataFrame, columns: list[str]) -> DataFrame:
+    kinds = dict(df.dtypes)
+    return df.select(
+        "row_id", *[F.col(c).cast("string").alias(c) if kinds[c].startswith("timestamp") else F.col(c) for c in columns]
+    )
+
+
+def _imputed(panel: DataFrame, numeric: str, categorical: str) -> DataFrame:
+    filled, _ = preparation.impute_with_flags(panel, IMPUTED, numeric, categorical)
+    return rounded(_shown(filled, [*IMPUTED, *[f"{c}_imputed" for c in IMPUTED]]))
+
+
+@query
+def impute_flags(panel):
+    flagged, _ = preparation.imputation_flags(panel)
+    return flagged.select("row_id", *[c for c in flagged.columns if c.endswith("_imputed")])
+
+
+@query
+def impute_flag_info(panel):
+    return rounded(preparation.imputation_flags(panel, strategy="missing_mask")[1])
+
+
+@query
+def impute_mean(panel):
+    return _imputed(panel, "mean", "mode")
+
+
+@query
+def impute_median(panel):
+    return _imputed(panel, "median", "mode")
+
+
+@query
+def impute_mode(panel):
+    return _imputed(panel, "mode", "mode")
+
+
+@query
+def impute_constant(panel):
+    return _imputed(panel, "constant", "constant")
+
+
+@query
+def flag_counts(panel):
+    return rounded(distributions.flag_counts(preparation.imputation_flags(panel)[0]))
+
+
+@query
+def prep_numeric(panel):
+    fitted = preparation.NumericImputerWithFlag(inputCols=PREP_NUMERIC, scale=True).fit(panel)
+    return rounded(fitted.transform(panel).select("row_id", *fitted.output_columns()))
+
+
+@query
+def prep_binary(panel):
+    filler = preparation.BinaryImputerWithFlag(inputCols=FLAGS)
+    return filler.transform(panel).select("row_id", *filler.output_columns())
+
+
+@query
+def prep_categorical(panel):
+    filled = preparation.CategoricalImputerWithFlag(inputCols=["genero", "departamento"]).transform(panel)
+    fitted = preparation.OneHotColumns(inputCols=PREP_CATEGORIES).fit(panel)
+    filled = filled.drop("genero_flag")
+    return fitted.transform(filled).select(
+        "row_id", "genero_imputed", "departamento_imputed", "departamento_flag", *fitted.output_columns()
+    )
+
+
+@query
+def prep_full(panel):
+    train, test = splitting.split_data(panel, "row_id", TARGET)
+    a, b, _ = preparation.manual_preprocessing(train, test, PREP_NUMERIC, FLAGS, PREP_CATEGORIES, ("row_id",))
+    both = a.withColumn("split", F.lit("train")).unionByName(b.withColumn("split", F.lit("test")))
+    return rounded(both)
+
+
+# Splits, folds and rebalancing
+
+SMOTE_FEATURES = ["saldo_capital", "dias_mora", "duracion_llamadas_ultimos_6meses", "contacto_mes_actual"]
+
+
+def _filled(panel: DataFrame) -> DataFrame:
+    return panel.select("row_id", TARGET, *[F.coalesce(c, F.lit(0)).alias(c) for c in SMOTE_FEATURES])
+
+
+@query
+def split_stratified(panel):
+    return splitting.mark_test(panel, "row_id", TARGET).select("row_id", TARGET, "is_test")
+
+
+@query
+def folds(panel):
+    return splitting.add_folds(panel, "row_id", TARGET).select("row_id", TARGET, "fold")
+
+
+@query
+def undersample(panel):
+    return balancing.undersample(panel.select("row_id", TARGET, "saldo_capital"), "row_id", TARGET)
+
+
+@query
+def oversample(panel):
+    return balancing.oversample(panel.select("row_id", TARGET, "saldo_capital", "mes"), "row_id", TARGET)
+
+
+@query
+def smote(panel):
+    return rounded(balancing.smote(_filled(panel), "row_id", TARGET, SMOTE_FEATURES), 4)
+
+
+@query
+def neighbours(panel):
+    paying = _filled(panel.where(F.col(TARGET) == 1))
+    return nearest_neighbours(paying, "row_id", SMOTE_FEATURES[1:], 5).drop("x")
+
+
+@query
+def class_balance(panel):
+    shown = panel.select("row_id", TARGET, *SMOTE_FEATURES)
+    parts = {m: balancing.apply_balancing(shown, "row_id", TARGET, SMOTE_FEATURES, m) for m in ("undersampling", "oversampling")}
+    return rounded(distributions.class_balance({"original": panel, **parts}, TARGET))
+
+
+@query
+def class_weights(panel):
+    return rounded(metrics_ops.class_weights(panel, TARGET))
+
+
+# Metrics of two fixed scores
+
+
+def scored_rows(panel: DataFrame) -> DataFrame:
+    older = F.when(F.col("rango_edad_probable").isin("36-40", "66+"), 0.25).otherwise(0.0)
+    contact = F.col("contacto_mes_actual") * 0.5 + older + (F.col("row_id") % 10) * 0.015625
+    amount = F.least(F.col("saldo_capital") / 400000.0, F.lit(1.0))
+    marked = splitting.mark_test(panel, "row_id", TARGET)
+    split = F.when(F.col("is_test"), "test").otherwise("train")
+    both = F.array(
+        F.struct(F.lit("contact").alias("model"), contact.alias("score")),
+        F.struct(F.lit("amount").alias("model"), amount.alias("score")),
+    )
+    return marked.select(split.alias("split"), F.col(TARGET).alias("label"), F.explode(both).alias("s")).select(
+        "s.model", "split", "label", "s.score"
+    )
+
+
+def metric_rows(panel: DataFrame) -> DataFrame:
+    return metrics_ops.binary_metrics(scored_rows(panel), ["model", "split"])
+
+
+def tall_metric_rows(panel: DataFrame) -> DataFrame:
+    return metrics_ops.tall_metrics(metric_rows(panel), ["model", "split"])
+
+
+@query
+def metrics(panel):
+    return rounded(metric_rows(panel))
+
+
+@query
+def confusion(panel):
+    return metrics_ops.confusion_matrix(scored_rows(panel), ["model", "split"], "score", "label")
+
+
+@query
+def roc_points(panel):
+    scored = scored_rows(panel).where((F.col("model") == "amount") & (F.col("split") == "test"))
+    return rounded(metrics_ops.roc_points(scored, "score", "label"), 9)
+
+
+@query
+def overfit_table(panel):
+    return rounded(metrics_ops.train_test_table(tall_metric_rows(panel), ["model"]))
+
+
+@query
+def comparison_table(panel):
+    return rounded(metrics_ops.comparison_table(tall_metric_rows(panel), "Combinado", "Unbalanced"))
+
+
+@query
+def results_union(panel):
+    tall = tall_metric_rows(panel)
+    named = [
+        metrics_ops.comparison_table(tall.where(F.col("model") == model), method, process)
+        for model, method, process in (("contact", "Combinado", "Unbalanced"), ("amount", "Oversampling", "Balanced"))
+    ]
+    return rounded(metrics_ops.stack_results(named))
+
+
+@query
+def leaderboard(panel):
+    return rounded(metrics_ops.leaderboard(metric_rows(panel).where(F.col("split") == "test")))
+
+
+@query
+def best_result(panel):
+    return rounded(metrics_ops.best_result(metric_rows(panel).where(F.col("split") == "test"), "pr_auc"))
+
+
+@query
+def metric_pivot(panel):
+    return rounded(metrics_ops.metric_pivot(tall_metric_rows(panel), ["model"]))
+
+
+@query
+def feature_union(panel):
+    """Two rankings of the numeric columns, by AUC distance and by missing share, joined in order."""
+    numeric = [*FEATURES, *FLAGS]
+    by_auc = bivariate.feature_auc(panel, numeric, TARGET).select(
+        F.row_number().over(Window.orderBy(F.desc(F.round(F.abs(F.col("auc") - 0.5), 9)), "column")).alias("pos"),
+        F.col("column").alias("feature"),
+    )
+    gaps = quality.column_quality(panel.select(*numeric)).select(
+        F.row_number().over(Window.orderBy(F.desc("missing"), "column")).alias("pos"),
+        F.col("column").alias("feature"),
+    )
+    return selection.union_ranked([by_auc, gaps], 5)
+
+
+@query
+def lr_contributions(panel):
+    weights = {"saldo_capital": 0.001, "dias_mora": -0.25, "contacto_mes_actual": 3.0}
+    return rounded(models.linear_contributions(panel, weights))
+
+
+# Sinks, written and read back
+
+
+def _target_path(spark: SparkSession, name: str) -> str:
+    return f"{staging_root(spark).rstrip('/')}/sinks/{uuid.uuid4().hex}/{name}"
+
+
+@query
+def sink_json(panel):
+    found = quality_columns(panel)
+    path = sinks.write_json(found, _target_path(panel.sparkSession, "report.json"))
+    return panel.sparkSession.read.schema(found.schema).json(path)
+
+
+@query
+def sink_csv(panel):
+    found = month_rate(panel)
+    path = sinks.write_csv(found, _target_path(panel.sparkSession, "rates.csv"))
+    return panel.sparkSession.read.schema(found.schema).option("header", True).csv(path)
+
+
+@query
+def sink_text(panel):
+    spark = panel.sparkSession
+    names = [r["column"] for r in missing_top(panel).collect()]
+    path = sinks.write_lines(spark, names, _target_path(spark, "columns.txt"))
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query
+def sink_panel(panel):
+    path = sinks.write_panel(panel, _target_path(panel.sparkSession, "clientes.parquet"))
+    back = panel.sparkSession.read.schema(panel.schema).parquet(path)
+    return back.where(F.col("mes").between("1996-01", "1996-12")).select("row_id", "mes", "saldo_capital")
+
+
+@query
+def sink_model(panel):
+    fitted = preparation.create_preprocessor(PREP_NUMERIC, FLAGS, []).fit(panel)
+    path = sinks.save_model(fitted, _target_path(panel.sparkSession, "preprocessor"))
+    loaded = sinks.load_model(path)
+    return rounded(loaded.transform(panel).select("row_id", *preparation.feature_names(loaded)))
+
+
+@query
+def load_gate(panel):
+    """The panel written out and read back through the quality gate."""
+    path = _target_path(panel.sparkSession, "clientes.parquet")
+    panel.write.parquet(path)
+    return readers.load_data(panel.sparkSession, path, EXEMPT).findings
+
+
+# Models: fits are compared by their properties in the tests, here they must run on the whole panel
+
+_prepared: dict[str, training.Prepared] = {}
+
+
+def prepared(panel: DataFrame) -> training.Prepared:
+    key = panel.inputFiles()[0]
+    if key not in _prepared:
+        _prepared[key] = training.prepare(panel.drop("departamento"), FLAGS)
+    return _prepared[key]
+
+
+def _fitted(panel: DataFrame, model: str) -> DataFrame:
+    data = prepared(panel)
+    grid = {"all": (data.train, data.test, data.features)}
+    return training.fit_grid(grid, TARGET, models.TRIAL, [model], balanced_data=False)[0]
+
+
+@query
+def fit_lr(panel):
+    return _fitted(panel, models.LOGISTIC)
+
+
+@query
+def fit_rf(panel):
+    return _fitted(panel, models.FOREST)
+
+
+@query
+def fit_gbt(panel):
+    return _fitted(panel, models.BOOSTING)
+
+
+@query
+def fit_boosted_deep(panel):
+    return _fitted(panel, models.DEEP_BOOSTING)
+
+
+@query
+def importance(panel):
+    data = prepared(panel)
+    return selection.feature_importance(data.train, TARGET, data.features, models.TRIAL)
+
+
+@query
+def rfe(panel):
+    data = prepared(panel)
+    return selection.recursive_elimination(data.train, TARGET, data.features, models.TRIAL)
+
+
+@query
+def cv_subsets(panel):
+    data = prepared(panel)
+    return selection.evaluate_features(data.train, "row_id", TARGET, data.features, models.TRIAL, k=3)
+
+
+@query
+def select_features(panel):
+    data = prepared(panel)
+    chosen, ranking, scores = selection.select_features(
+        data.train, "row_id", TARGET, data.features, "importance", 10, models.TRIAL, 3
+    )
+    mean, std = selection.cv_summary(scores)
+    return ranking.where(F.col("feature").isin(chosen)).select(
+        "*", F.lit(mean).alias("mean_cv_score"), F.lit(std).alias("std_cv_score")
+    )
+
+
+def _training(panel: DataFrame) -> training.TrainingResult:
+    data = prepared(panel)
+    names = selection.top_features(selection.feature_importance(data.train, TARGET, data.features, models.TRIAL), 10)
+    return training.train_and_evaluate_models(
+        data.train, data.test, TARGET, data.features, names, list(reversed(names)), models.TRIAL
+    )
+
+
+@query
+def train_eval(panel):
+    return _training(panel).comparisons["general"]
+
+
+@query
+def train_balanced(panel):
+    data = prepared(panel)
+    names = [f for f in data.features if f.startswith(("contacto", "duracion", "rango"))]
+    return training.train_balanced_models(
+        data.train, data.test, "row_id", TARGET, names, models.TRIAL
+    ).comparisons["general"]
+
+
+@query
+def eda_report(panel):
+    """All tables of the exploratory report as tall rows ``report, row, statistic, value``."""
+    parts = []
+    for name, table in eda.eda_report(panel, TARGET, EXEMPT).items():
+        labels = [c for c, t in table.dtypes if t == "string"]
+        values = [c for c, t in table.dtypes if t != "string"]
+        typed = table.select(
+            F.concat_ws("/", *labels).alias("row"), *[F.col(c).cast("double").alias(c) for c in values]
+        )
+        tall = typed.unpivot(["row"], values, "statistic", "value").where(F.col("value").isNotNull())
+        parts.append(
+            tall.groupBy("row", "statistic")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+            .select(F.lit(name).alias("report"), "row", "statistic", "n", "total")
+        )
+    return metrics_ops.stack_results(parts)
