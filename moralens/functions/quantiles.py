@@ -18,32 +18,22 @@ ACCURACY = 10_000
 WHOLE_RANGE_BELOW = 100_000
 
 
-def _brackets(df: DataFrame, columns: list[str], probs: list[float], by: str | None, whole_below: int) -> list[tuple]:
-    """(by, column, prob, n, lo, hi) with lo <= quantile <= hi."""
+def _brackets(values: DataFrame, probs: list[float], whole_below: int) -> list[tuple]:
+    """(group, column, prob, n, lo, hi) with lo <= quantile <= hi."""
     margin = 3.0 / ACCURACY
     shares = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
-    keys = [by] if by else []
-    parts = []
-    for c in columns:
-        value = F.col(c).cast("double")
-        parts += [
-            F.count(value).alias(f"n_{c}"),
-            F.min(value).alias(f"lo_{c}"),
-            F.max(value).alias(f"hi_{c}"),
-            F.percentile_approx(value, F.lit(shares), ACCURACY).alias(f"q_{c}"),
-        ]
+    summary = values.groupBy("grp", "column").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("value").alias("lo"),
+        F.max("value").alias("hi"),
+        F.percentile_approx("value", F.lit(shares), ACCURACY).alias("near"),
+    )
     rows = []
-    for summary in df.groupBy(*keys).agg(*parts).collect():
-        for c in columns:
-            n = summary[f"n_{c}"]
-            for i, p in enumerate(probs):
-                if n == 0:
-                    continue
-                if n < whole_below:
-                    low, high = summary[f"lo_{c}"], summary[f"hi_{c}"]
-                else:
-                    low, high = summary[f"q_{c}"][i], summary[f"q_{c}"][i + len(probs)]
-                rows.append((summary[by] if by else 0, c, float(p), n, float(low), float(high)))
+    for s in summary.collect():
+        for i, p in enumerate(probs):
+            whole = s["n"] < whole_below
+            low, high = (s["lo"], s["hi"]) if whole else (s["near"][i], s["near"][i + len(probs)])
+            rows.append((s["grp"], s["column"], float(p), s["n"], float(low), float(high)))
     return rows
 
 
@@ -57,17 +47,14 @@ def exact_quantiles(
     """``[by], column, prob, quantile`` for every non-empty column (and class of ``by``)."""
     spark = df.sparkSession
     source = df.where(F.col(by).isNotNull()) if by else df
-    by_type = dict(df.dtypes)[by] if by else "int"
+    group_type = dict(df.dtypes)[by] if by else "int"
+    values = long_values(
+        source.withColumn("grp", F.col(by) if by else F.lit(0)), columns, ["grp"], "double"
+    ).where(F.col("value").isNotNull())
     brackets = small_table(
         spark,
-        _brackets(source, columns, probs, by, whole_below),
-        f"g {by_type}, k string, prob double, size bigint, lo double, hi double",
-    )
-    group = F.col(by) if by else F.lit(0)
-    values = (
-        long_values(source.withColumn("g", group), columns, ["g"], "double")
-        .where(F.col("value").isNotNull())
-        .withColumnRenamed("g", "grp")
+        _brackets(values, probs, whole_below),
+        f"g {group_type}, k string, prob double, size bigint, lo double, hi double",
     )
     inside = values.join(
         brackets,

@@ -20,6 +20,7 @@ from moralens.operators.columns import (
     numeric_summary,
     require_columns,
 )
+from moralens.staging import stage
 
 MIN_COMPLETE_ROWS = 10
 DECILES = [i / 10 for i in range(1, 10)]
@@ -56,17 +57,18 @@ def categorical_features(df: DataFrame, target: str, exempt: list[str] | None =
 
 
 def _pair_summary(df: DataFrame, columns: list[str], target: str) -> DataFrame:
-    """``column, n, missing_rate, correlation`` over complete pairs, one fused aggregation."""
-    stats = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.count(F.when(F.col(target).isNotNull(), F.col(c))).alias("n"),
-            F.avg(F.col(c).isNull().cast("double")).alias("missing_rate"),
-            correlation(F.col(c), F.col(target)).alias("correlation"),
-        ).alias(c)
-        for c in columns
-    ]
-    return df.agg(*stats).select(F.explode(F.array(*columns)).alias("s")).select("s.*")
+    """``column, n, missing_rate, correlation`` with the target over complete pairs, in one scan."""
+    shown = df.withColumn("_y", F.col(target).cast("double"))
+    value, y = F.col("value"), F.col("_y")
+    return (
+        long_values(shown, columns, ["_y"], "double")
+        .groupBy("column")
+        .agg(
+            F.count(F.when(y.isNotNull(), value)).alias("n"),
+            F.avg(value.isNull().cast("double")).alias("missing_rate"),
+            correlation(value, y).alias("correlation"),
+        )
+    )
 
 
 def auc_of_counts(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -205,7 +207,7 @@ def _with_margins(cells: DataFrame, target: str) -> DataFrame:
 
 def chi_square(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
     """Chi-square test of independence; a 2 x 2 table gets the Yates correction."""
-    cells = contingency(df, columns, target)
+    cells = stage(contingency(df, columns, target), "contingency")
     o, e = F.col("n"), F.col("value_total") * F.col("class_total") / F.col("total")
     # empty cells enter through the identity sum((O-E)^2/E) = sum(O^2/E) - N
     sums = (
@@ -262,7 +264,7 @@ def mutual_information(
     shown = pairs.select(
         y.alias("_y"), *[bins[c].alias(c) for c in numeric], *[F.col(c) for c in categorical]
     )
-    cells = contingency(shown, [*numeric, *categorical], "_y")
+    cells = stage(contingency(shown, [*numeric, *categorical], "_y"), "contingency")
     n, total = F.col("n"), F.col("total").cast("double")
     information = n / total * F.log(n * total / (F.col("value_total") * F.col("class_total")))
     return _with_margins(cells, "_y").groupBy("column").agg(F.sum(information).alias("mutual_information"))

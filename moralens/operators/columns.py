@@ -67,26 +67,29 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
 
 
 def numeric_summary(df: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
-    """``[by], column, n, mean, std, min, max, negatives, zeros, infinite`` in one fused aggregation."""
-    value = lambda c: F.col(c).cast("double")
-    stats = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.count(c).alias("n"),
-            F.avg(value(c)).alias("mean"),
-            F.stddev_samp(value(c)).alias("std"),
-            F.min(value(c)).alias("min"),
-            F.max(value(c)).alias("max"),
-            F.coalesce(F.bool_or(F.col(c) < 0), F.lit(False)).alias("has_negatives"),
-            F.coalesce(F.bool_or(F.col(c) == 0), F.lit(False)).alias("has_zeros"),
-            F.coalesce(F.bool_or(F.abs(value(c)) == float("inf")), F.lit(False)).alias("has_inf"),
-        ).alias(f"s_{c}")
-        for c in columns
-    ]
+    """``[by], column, n, mean, std, min, max`` and sign checks, one row per column (and class).
+
+    The long form keeps the generated code small however many columns there are; every task sends on
+    one partial row per column.
+    """
     keys = [by] if by else []
     source = df.where(F.col(by).isNotNull()) if by else df
-    wide = source.groupBy(*keys).agg(*stats)
-    return wide.select(*keys, F.explode(F.array(*[f"s_{c}" for c in columns])).alias("s")).select(*keys, "s.*")
+    value = F.col("value")
+    found = lambda condition: F.coalesce(F.bool_or(condition), F.lit(False))
+    return (
+        long_values(source, columns, keys, "double")
+        .groupBy(*keys, "column")
+        .agg(
+            F.count(value).alias("n"),
+            F.avg(value).alias("mean"),
+            F.stddev_samp(value).alias("std"),
+            F.min(value).alias("min"),
+            F.max(value).alias("max"),
+            found(value < 0).alias("has_negatives"),
+            found(value == 0).alias("has_zeros"),
+            found(F.abs(value) == float("inf")).alias("has_inf"),
+        )
+    )
 
 
 def correlation(x: Column, y: Column) -> Column:

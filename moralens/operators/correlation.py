@@ -10,8 +10,6 @@ from moralens.functions.ranking import ROWS_PER_BUCKET, bucketed_prefix, prefix_
 from moralens.operators.columns import correlation, long_values, small_table
 from moralens.staging import stage
 
-PAIRS_PER_JOB = 400
-
 
 def column_pairs(columns: list[str]) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(columns) for b in columns[:i]]
@@ -33,28 +31,29 @@ def correlation_matrix(
 
 
 def _pair_correlations(df: DataFrame, pairs: list[tuple[str, str, str, str]]) -> DataFrame:
-    """Tall correlations of (label, label, column, column)."""
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_JOB):
-        chunk = pairs[start : start + PAIRS_PER_JOB]
-        stats = [
-            F.struct(
-                F.lit(a).alias("var_1"),
-                F.lit(b).alias("var_2"),
-                correlation(F.col(x), F.col(y)).alias("r"),
-            ).alias(f"p{i}")
-            for i, (a, b, x, y) in enumerate(chunk)
-        ]
-        wide = df.agg(*stats)
-        parts.append(wide.select(F.explode(F.array(*[f"p{i}" for i in range(len(chunk))])).alias("p")).select("p.*"))
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    return merged
+    """Tall correlations of (label, label, column, column).
+
+    One scan: each row fans out to its complete pairs, which combine at once into one partial row per
+    pair and task. Fanned out, the generated code stays small; a wide aggregate of all pairs does not.
+    """
+    both = lambda i, x, y: F.when(
+        F.col(x).isNotNull() & F.col(y).isNotNull(),
+        F.struct(F.lit(i).alias("pair"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")),
+    )
+    fan = F.array_compact(F.array(*[both(i, x, y) for i, (_, _, x, y) in enumerate(pairs)]))
+    found = (
+        df.select(F.explode(fan).alias("p"))
+        .groupBy("p.pair")
+        .agg(correlation(F.col("p.x"), F.col("p.y")).alias("r"))
+    )
+    labels = small_table(
+        df.sparkSession, [(i, a, b) for i, (a, b, _, _) in enumerate(pairs)], "pair int, var_1 string, var_2 string"
+    )
+    return labels.join(found, "pair", "left").select("var_1", "var_2", "r")
 
 
 def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
-    """All pairs in one map-side-combined aggregation."""
+    """All pairs in one map-side-combined scan."""
     return _pair_correlations(df, [(a, b, a, b) for a, b in column_pairs(columns)])
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from moralens.functions.hashing import digest
 from moralens.operators.columns import small_table
+from moralens.staging import stage
 
 PREFIX_DIGITS = 4
 
@@ -28,34 +29,36 @@ def hash_order(seed: int | str, row_id: str) -> Column:
     return F.struct(digest(seed, F.col(row_id)).alias("h"), F.col(row_id).cast("bigint").alias("id"))
 
 
-def cut_points(
-    df: DataFrame, row_id: str, label: str, seed: int | str, wanted: dict, prefix_digits: int = PREFIX_DIGITS
-) -> dict:
-    """For each class the (digest, row id) of the rows at the 1-based ranks ``wanted[class]``."""
-    spark = df.sparkSession
-    label_type = dict(df.dtypes)[label]
-    keyed = df.where(F.col(label).isNotNull()).select(
+def _keyed(df: DataFrame, row_id: str, label: str, seed: int | str) -> DataFrame:
+    shown = df.where(F.col(label).isNotNull()).select(
         F.col(label).alias("label"), digest(seed, F.col(row_id)).alias("h"), F.col(row_id).cast("bigint").alias("id")
     )
-    keyed = keyed.withColumn("prefix", F.substring("h", 1, prefix_digits))
-    counts = keyed.groupBy("label", "prefix").agg(F.count(F.lit(1)).alias("n"))
-    # at most 16^prefix_digits rows per class reach this window
-    before = Window.partitionBy("label").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return shown.withColumn("prefix", F.substring("h", 1, PREFIX_DIGITS))
+
+
+def _prefix_counts(keyed: DataFrame) -> DataFrame:
+    """Rows per class and leading hash digits: at most 16^4 rows per class."""
+    return stage(keyed.groupBy("label", "prefix").agg(F.count(F.lit(1)).alias("n")), "hash-prefixes")
+
+
+def cut_points(keyed: DataFrame, counts: DataFrame, wanted: dict) -> dict:
+    """For each class the (digest, row id) of the rows at the 1-based hash ranks ``wanted[class]``."""
     ranks = small_table(
-        spark,
+        keyed.sparkSession,
         [(c, int(r)) for c, ranks in wanted.items() for r in sorted(set(ranks)) if r > 0],
-        f"c {label_type}, rank bigint",
+        f"c {dict(keyed.dtypes)['label']}, rank bigint",
     )
+    before = Window.partitionBy("label").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     holding = offsets.join(
         ranks,
         (F.col("label") == F.col("c")) & (F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("n")),
-    ).select("label", "prefix", "before", "rank")
-    inside = keyed.join(F.broadcast(holding.select("label", "prefix", "before").distinct()), ["label", "prefix"])
+    ).select("label", "prefix", "before")
+    inside = keyed.join(F.broadcast(holding.distinct()), ["label", "prefix"])
     within = Window.partitionBy("label", "prefix").orderBy("h", "id")
-    ranked = inside.withColumn("rank", F.col("before") + F.row_number().over(within))
-    found = ranked.join(ranks, (F.col("label") == F.col("c")) & (ranks["rank"] == ranked["rank"]), "left_semi")
-    return {(r["label"], r["rank"]): (r["h"], r["id"]) for r in found.select("label", "rank", "h", "id").collect()}
+    ranked = inside.withColumn("place", F.col("before") + F.row_number().over(within))
+    found = ranked.join(ranks, (F.col("label") == F.col("c")) & (F.col("rank") == F.col("place")), "left_semi")
+    return {(r["label"], r["place"]): (r["h"], r["id"]) for r in found.select("label", "place", "h", "id").collect()}
 
 
 def _at_or_before(order: Column, point: tuple[str, int]) -> Column:
@@ -74,8 +77,11 @@ def assign_parts(
 
     ``boundaries(class size)`` lists increasing ranks; a row at rank r gets the number of boundaries < r.
     """
-    wanted = {c: boundaries(n) for c, n in class_sizes(df, label).items()}
-    points = cut_points(df, row_id, label, seed, wanted)
+    keyed = _keyed(df, row_id, label, seed)
+    counts = _prefix_counts(keyed)
+    sizes = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    wanted = {c: boundaries(sizes[c]) for c in sorted(sizes)}
+    points = cut_points(keyed, counts, wanted)
     order = hash_order(seed, row_id)
     part = F.lit(None).cast("int")
     for c, ranks in wanted.items():

@@ -58,7 +58,8 @@ def fit_grid(
         train, _, features = data[method]
         return fit_model(model, train, label, features, settings, balanced_data, sizes[method])
 
-    fitted = run_parallel([lambda j=j: fit(*j) for j in jobs], settings.parallel_fits)
+    spark = next(iter(data.values()))[0].sparkSession
+    fitted = run_parallel(spark, [lambda j=j: fit(*j) for j in jobs], settings.parallel_fits)
     scored = [
         score(model, rows, label).select(
             F.lit(method).alias("method"), F.lit(name).alias("model"), F.lit(split).alias("split"), "label", "score"
