@@ -1,8 +1,8 @@
 """Exact ranks and cumulative counts without a single-task window.
 
-A global ``OVER (ORDER BY v)`` puts all rows in one task. Here the value axis is cut into
-balanced buckets: totals per bucket give each bucket's offset, and the window only runs inside a
-bucket. The cuts decide the balance, never the result.
+A global ``OVER (ORDER BY v)`` puts all rows in one task. Here the rows are range-partitioned into
+buckets: totals per bucket give each bucket's offset, and the window only runs inside a bucket.
+Where the ranges are cut decides the balance, never the result.
 """
 
 from __future__ import annotations
@@ -15,57 +15,29 @@ from pyspark.sql import functions as F
 from moralens.staging import row_count, stage
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 1024
+MAX_BUCKETS = 10_000
 
 
 def bucketed_prefix(
-    df: DataFrame, groups: list[str], bucket: str, order: list[str], weights: list[str]
+    df: DataFrame, groups: list[str], bucket: str, order: str | Column, weights: list[str]
 ) -> DataFrame:
     """Add ``cum_<w>``: the inclusive running sum of each weight in (bucket, order) inside each group.
 
     ``bucket`` must not decrease along ``order``. Group columns must not be NULL.
     """
-    keys = [*groups, bucket]
+    keys = [bucket, *groups]
     ahead = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         df.groupBy(*keys)
         .agg(*[F.sum(w).alias(f"_t_{w}") for w in weights])
         .select(*keys, *[F.coalesce(F.sum(f"_t_{w}").over(ahead), F.lit(0)).alias(f"_o_{w}") for w in weights])
     )
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     running = df.select("*", *[F.sum(w).over(inside).alias(f"_r_{w}") for w in weights])
     joined = running.join(offsets, keys)
     return joined.select(*df.columns, *[(F.col(f"_r_{w}") + F.col(f"_o_{w}")).alias(f"cum_{w}") for w in weights])
 
 
-def _cut_position(cuts: Column, depth: int, value: Column) -> Column:
-    """Binary search: how many of the 2^depth - 1 sorted cuts are <= value."""
-    steps = F.array(*[F.lit(2**k) for k in range(depth - 1, -1, -1)])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda low, step: F.when(F.get(cuts, low + step - 1) <= value, low + step).otherwise(low),
-    )
-
-
-def value_buckets(
-    staged: DataFrame, groups: list[str], value: str, n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET
-) -> DataFrame:
-    """Add ``_bucket``, a balanced cut of ``value`` inside each group.
-
-    ``groups`` are schema- or class-sized keys, so one array of cuts per group is small.
-    """
-    depth = min(int(math.log2(MAX_BUCKETS)), max(1, math.ceil(math.log2(n_rows / rows_per_bucket + 1))))
-    n_cuts = 2**depth - 1
-    shares = F.array(*[F.lit((i + 1) / (n_cuts + 1)) for i in range(n_cuts)])
-    axis = F.col(value).cast("double")
-    cuts = staged.groupBy(*groups).agg(F.percentile_approx(axis, shares, 10_000).alias("_cuts"))
-    if groups:
-        placed = staged.join(cuts, groups)
-        return placed.select(*staged.columns, _cut_position(F.col("_cuts"), depth, axis).alias("_bucket"))
-    return staged.withColumn("_bucket", _cut_position(F.lit(cuts.first()["_cuts"]), depth, axis))
-
-
 def prefix_counts(
     reduced: DataFrame,
     groups: list[str],
@@ -78,13 +50,15 @@ def prefix_counts(
 
     The input should be reduced already (``groupBy(group, value)``), so a hot value is a single row.
     """
+    along = F.desc(value) if descending else F.asc(value)
     staged = stage(reduced.where(F.col(value).isNotNull()), "ranked")
     n_rows = row_count(staged)
     if n_rows <= rows_per_bucket:
-        bucketed = staged.withColumn("_bucket", F.lit(0))
-    else:
-        bucketed = value_buckets(staged, groups, value, n_rows, rows_per_bucket)
-    if not descending:
-        return bucketed_prefix(bucketed, groups, "_bucket", [value], weights).drop("_bucket")
-    flipped = bucketed.withColumn("_bucket", -F.col("_bucket")).withColumn("_axis", -F.col(value))
-    return bucketed_prefix(flipped, groups, "_bucket", ["_axis"], weights).drop("_bucket", "_axis")
+        # one bucket holds it all: no offsets to add
+        upto = Window.partitionBy(*groups).orderBy(along).rowsBetween(Window.unboundedPreceding, 0)
+        return staged.select("*", *[F.sum(w).over(upto).alias(f"cum_{w}") for w in weights])
+    n_buckets = min(MAX_BUCKETS, math.ceil(4 * n_rows / rows_per_bucket))
+    ranged = staged.repartitionByRange(n_buckets, *groups, along)
+    # written out, so that totals and running sums see the same cut of the ranges
+    bucketed = stage(ranged.withColumn("_bucket", F.spark_partition_id()), "buckets")
+    return bucketed_prefix(bucketed, groups, "_bucket", along, weights).drop("_bucket")

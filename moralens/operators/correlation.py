@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from moralens.functions.joins import lookup
 from moralens.functions.ranking import ROWS_PER_BUCKET, bucketed_prefix, prefix_counts
-from moralens.operators.columns import correlation, long_values, small_table
+from moralens.operators.columns import long_values, small_table
 from moralens.staging import stage
 
 
@@ -36,16 +36,16 @@ def _pair_correlations(df: DataFrame, pairs: list[tuple[str, str, str, str]]) ->
     One scan: each row fans out to its complete pairs, which combine at once into one partial row per
     pair and task. Fanned out, the generated code stays small; a wide aggregate of all pairs does not.
     """
-    both = lambda i, x, y: F.when(
-        F.col(x).isNotNull() & F.col(y).isNotNull(),
-        F.struct(F.lit(i).alias("pair"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")),
-    )
-    fan = F.array_compact(F.array(*[both(i, x, y) for i, (_, _, x, y) in enumerate(pairs)]))
-    found = (
-        df.select(F.explode(fan).alias("p"))
-        .groupBy("p.pair")
-        .agg(correlation(F.col("p.x"), F.col("p.y")).alias("r"))
+    side = lambda c: F.col(c).cast("double")
+    fan = F.array(
+        *[
+            F.struct(F.lit(i).alias("pair"), side(x).alias("x"), side(y).alias("y"))
+            for i, (_, _, x, y) in enumerate(pairs)
+        ]
     )
+    complete = df.select(F.explode(fan).alias("p")).select("p.*").where("x IS NOT NULL AND y IS NOT NULL")
+    spread = F.stddev_pop("x") * F.stddev_pop("y")
+    found = complete.groupBy("pair").agg(F.when(spread > 0, F.covar_pop("x", "y") / spread).alias("r"))
     labels = small_table(
         df.sparkSession, [(i, a, b) for i, (a, b, _, _) in enumerate(pairs)], "pair int, var_1 string, var_2 string"
     )
@@ -130,22 +130,18 @@ def kendall(
         x, y = (a, b) if distinct.get(a, 0) >= distinct.get(b, 0) else (b, a)
         digits = max(1, (max(1, distinct.get(y, 0)) - 1).bit_length())
         pairs.append((i, a, b, x, y, digits))
-    row_pairs = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.col(x).isNotNull() & F.col(y).isNotNull(),
-                    F.struct(F.lit(i).alias("pair"), F.lit(d).alias("digits"), F.col(x).alias("x"), F.col(y).alias("y")),
-                )
-                for i, _, _, x, y, d in pairs
-            ]
-        )
+    row_pairs = F.array(
+        *[
+            F.when(
+                F.col(x).isNotNull() & F.col(y).isNotNull(),
+                F.struct(F.lit(i).alias("pair"), F.lit(d).alias("digits"), F.col(x).alias("x"), F.col(y).alias("y")),
+            )
+            for i, _, _, x, y, d in pairs
+        ]
     )
+    complete = coded.select(F.explode(row_pairs).alias("p")).where(F.col("p").isNotNull())
     cells = stage(
-        coded.select(F.explode(row_pairs).alias("p")).groupBy("p.pair", "p.digits", "p.x", "p.y").agg(
-            F.count(F.lit(1)).alias("n")
-        ),
-        "cells",
+        complete.groupBy("p.pair", "p.digits", "p.x", "p.y").agg(F.count(F.lit(1)).alias("n")), "cells"
     )
     by_digit = cells.select(
         "pair", "x", "y", "n", F.explode(F.sequence(F.lit(0), F.col("digits") - 1)).alias("digit")
@@ -155,7 +151,7 @@ def kendall(
         F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("ones"),
     )
     bucketed = stage(steps.withColumn("bucket", F.floor(F.col("x") / codes_per_bucket)), "steps")
-    running = bucketed_prefix(bucketed, ["pair", "digit", "prefix"], "bucket", ["x"], ["zeros", "ones"])
+    running = bucketed_prefix(bucketed, ["pair", "digit", "prefix"], "bucket", "x", ["zeros", "ones"])
     real = lambda c: F.col(c).cast("double")
     order = running.groupBy("pair").agg(
         F.sum(real("ones") * (real("cum_zeros") - real("zeros"))).alias("concordant"),

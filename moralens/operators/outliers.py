@@ -47,8 +47,8 @@ def outlier_rows(
     """``column, row_id`` of every outlying cell: one scan against literal bounds, no join."""
     columns = [c for c in classify(df.schema, exempt).numeric if c != row_id]
     bounds = outlier_bounds(df, columns, method, threshold)
-    hits = F.array_compact(F.array(*[F.when(_outside(c, bounds), F.lit(c)) for c in bounds]))
-    return df.select(F.explode(hits).alias("column"), row_id)
+    hits = F.array(*[F.when(_outside(c, bounds), F.lit(c)) for c in bounds])
+    return df.select(F.explode(hits).alias("column"), row_id).where(F.col("column").isNotNull())
 
 
 def outlier_counts(
