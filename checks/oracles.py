@@ -184,9 +184,8 @@ oracle(
         True,
     ),
 )
-oracle(
-    "kde",
-    f""", t AS ({tall(['saldo_capital', 'dias_mora'], ', pago')}),
+def kde_sql(columns: list[str]) -> str:
+    return f""", t AS ({tall(columns, ', pago')}),
 s AS (SELECT col, pago, COUNT(value) AS n, STDDEV_SAMP(value) * POWER(COUNT(value), -0.2) AS h, MIN(value) AS mn, MAX(value) AS mx
       FROM t GROUP BY col, pago),
 g AS (SELECT *, mn - 3 * h AS lo, (mx + 3 * h - (mn - 3 * h)) / 199 AS step FROM s),
@@ -194,8 +193,10 @@ f AS (SELECT col, pago, value, COUNT(*) AS w FROM t WHERE value IS NOT NULL GROU
 p AS (SELECT *, UNNEST(RANGE(200)) AS point FROM g)
 SELECT p.col AS "column", p.pago, CAST(point AS INT) AS point, ROUND(lo + point * step, 4) AS at_value,
  ROUND(SUM(w * EXP(-0.5 * POWER((lo + point * step - value) / h, 2))) / (n * h * SQRT(2 * PI())) * 1e6, 4) AS density
-FROM p JOIN f ON p.col = f.col AND p.pago = f.pago GROUP BY p.col, p.pago, point, lo, step, n, h""",
-)
+FROM p JOIN f ON p.col = f.col AND p.pago = f.pago GROUP BY p.col, p.pago, point, lo, step, n, h"""
+
+
+oracle("kde", kde_sql(["saldo_capital", "dias_mora"]))
 oracle(
     "month_crosstab",
     """SELECT mes, CAST(SUBSTR(mes, 1, 4) AS INT) * 12 + CAST(SUBSTR(mes, 6, 2) AS INT) AS pos,
@@ -308,9 +309,9 @@ oracle(
 )
 
 
-def box_sql(by: bool) -> str:
+def box_sql(by: bool, columns: list[str] = FEATURES) -> str:
     key, using = (", pago", "(col, pago)") if by else ("", "(col)")
-    return f""", t AS ({tall(FEATURES, ', pago')}),
+    return f""", t AS ({tall(columns, ', pago')}),
 q AS (SELECT col{key}, QUANTILE_CONT(value, 0.25) AS q1, QUANTILE_CONT(value, 0.5) AS median, QUANTILE_CONT(value, 0.75) AS q3
       FROM t WHERE value IS NOT NULL GROUP BY ALL)
 SELECT col AS "column"{key}, ROUND(q1, 4) AS q1, ROUND(median, 4) AS median, ROUND(q3, 4) AS q3,
@@ -731,3 +732,26 @@ FROM q WHERE missing > 0 QUALIFY ROW_NUMBER() OVER (ORDER BY pct_missing DESC, "
 oracle("sink_panel", "SELECT row_id, mes, saldo_capital FROM clientes WHERE mes BETWEEN '1996-01' AND '1996-12'")
 oracle("sink_model", f", {scaling('clientes')} SELECT row_id, {SCALED}, {FILLED} FROM clientes, {FITS}")
 ORACLES["load_gate"] = ORACLES["quality_rules"]
+
+# The exploratory report: each table's SQL, its numbers summed per label
+
+AUTO_BINS = """CEIL((hi - lo) / CASE WHEN iqr > 0 THEN LEAST((hi - lo) / (LOG2(n) + 1), 2 * iqr / POWER(n, 1.0 / 3))
+ ELSE (hi - lo) / (LOG2(n) + 1) END)"""
+REPORT = {
+    "profile": (ORACLES["quality_global"], "''", "total_rows total_columns total_missing total_duplicates pct_missing"),
+    "missing": (ORACLES["missing_top"].replace("LIMIT 5", "LIMIT 15"), '"column"', "missing pct_missing"),
+    "target": (ORACLES["target_distribution"], "''", "pago n pct"),
+    "binary": (ORACLES["binary_counts"], '"column"', "pago value n"),
+    "histograms": (with_panel(histogram_sql(FEATURES, AUTO_BINS, False)), '"column"', "bin from_value to_value n"),
+    "densities": (with_panel(kde_sql(FEATURES)), '"column"', "pago point at_value density"),
+    "categories": (ORACLES["profile_categorical"].replace("pos <= 5", "pos <= 10"), "\"column\" || '/' || value", "pos n pct"),
+    "correlation": (ORACLES["corr_pearson"], "var_1 || '/' || var_2", "r"),
+    "boxes": (with_panel(box_sql(False, [*NUMERIC, "pago"])), '"column"', "q1 median q3 whisker_low whisker_high fliers"),
+    "outliers": (ORACLES["outlier_counts"], '"column"', "outliers pct_outliers"),
+}
+ORACLES["eda_report"] = "\nUNION ALL\n".join(
+    f"""SELECT '{name}' AS report, {label} AS "row", '{statistic}' AS statistic, COUNT(*) AS n,
+ ROUND(SUM(CAST({statistic} AS DOUBLE)), 2) AS total FROM ({sql}) WHERE {statistic} IS NOT NULL GROUP BY ALL"""
+    for name, (sql, label, statistics) in REPORT.items()
+    for statistic in statistics.split()
+)

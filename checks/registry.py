@@ -656,11 +656,17 @@ def train_balanced(panel):
     ).comparisons["general"]
 
 
+REPORT_DIGITS = {"histograms": 4, "densities": 4, "boxes": 4}
+
+
 @query
 def eda_report(panel):
-    """All tables of the exploratory report as tall rows ``report, row, statistic, value``."""
+    """Every table of the exploratory report, its numbers summed per ``report, row, statistic``."""
     parts = []
     for name, table in eda.eda_report(panel, TARGET, EXEMPT).items():
+        if name == "densities":
+            table = table.withColumn("density", F.col("density") * 1e6)
+        table = rounded(table, REPORT_DIGITS.get(name, 6))
         labels = [c for c, t in table.dtypes if t == "string"]
         values = [c for c, t in table.dtypes if t != "string"]
         typed = table.select(
@@ -672,4 +678,4 @@ def eda_report(panel):
             .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
             .select(F.lit(name).alias("report"), "row", "statistic", "n", "total")
         )
-    return metrics_ops.stack_results(parts)
+    return rounded(metrics_ops.stack_results(parts), 2)

@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_roots: dict[str, str] = {}
+_local_roots: dict[str, tempfile.TemporaryDirectory] = {}
 _staged: dict[str, list[str]] = {}
 
 
@@ -25,8 +25,9 @@ def staging_root(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     app = context.applicationId
     if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="moralens-")
-    return _local_roots[app]
+        # goes away with the process
+        _local_roots[app] = tempfile.TemporaryDirectory(prefix="moralens-", ignore_cleanup_errors=True)
+    return _local_roots[app].name
 
 
 def stage(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
