@@ -2,7 +2,7 @@
 
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
-Every query runs once as warm-up and three more times; the median counts. Results are read to the
+Every query runs once as warm-up and twice more; the median counts. Results are read to the
 last row, so no part of a query can be skipped.
 """
 
@@ -24,7 +24,7 @@ HEADLINE = [
     "impute_median", "prep_full", "split_stratified", "undersample", "oversample", "smote", "metrics", "roc_points",
     "fit_lr", "fit_gbt",
 ]
-REPEATS = 3
+REPEATS = 2
 
 
 def main() -> None:

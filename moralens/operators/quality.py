@@ -75,13 +75,18 @@ summary_statistics = numeric_profile
 def exempt_profile(df: DataFrame, exempt: list[str], row_id: str, sample: int = 5) -> DataFrame:
     """Distinct count and the first non-null values, by row id, of each exempt field."""
     columns = [c for c in exempt if c in df.columns and c != row_id]
-    values = long_values(df, columns, [row_id], "string").where(F.col("value").isNotNull())
-    first = Window.partitionBy("column").orderBy(row_id)
+    # a top-k per column keeps k rows per task; ranking all values would sort them
+    first = [
+        df.where(F.col(c).isNotNull())
+        .orderBy(row_id)
+        .limit(sample)
+        .select(F.lit(c).alias("column"), F.col(row_id).alias("at"), F.col(c).cast("string").alias("value"))
+        for c in columns
+    ]
     heads = (
-        values.withColumn("pos", F.row_number().over(first))
-        .where(F.col("pos") <= sample)
+        reduce(lambda a, b: a.unionByName(b), first)
         .groupBy("column")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("head"))
+        .agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("head"))
         .select("column", F.array_join(F.col("head.value"), ", ").alias("sample_values"))
     )
     distinct = frequencies(df, columns).groupBy("column").agg(F.count("value").alias("unique_values"))

@@ -114,7 +114,7 @@ def train_and_evaluate_models(
     result.best = pick_best(metrics, ["combinado"], models, metric)
     if output:
         save_model(result.best_model, f"{output}/best_model_selected_features")
-        write_csv(result.comparisons["general"], f"{output}/train_test_comparison")
+        write_csv(result.comparisons["general"], f"{output}/train_test_comparison", ("Method", "Model", "Metric"))
         write_csv(metrics, f"{output}/model_results")
         write_lines(train.sparkSession, sets["combinado"], f"{output}/selected_features")
     return result
@@ -145,7 +145,9 @@ def train_balanced_models(
     result.best = pick_best(metrics, methods, models, metric)
     if output:
         save_model(result.best_model, f"{output}/best_model_balanced_{result.best[0]}")
-        write_csv(result.comparisons["general"], f"{output}/balanced_train_test_comparison")
+        write_csv(
+            result.comparisons["general"], f"{output}/balanced_train_test_comparison", ("Method", "Model", "Metric")
+        )
         write_csv(metrics, f"{output}/balanced_modeling_results")
         write_json(balance, f"{output}/balancing_info")
     return result

@@ -7,9 +7,9 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(name: str, cores: str | int | None = None) -> SparkSession:
+def local_session(name: str, cores: str | int | None = None, settings: dict[str, str] | None = None) -> SparkSession:
     cpus = cores or os.environ.get("BENCH_CPUS", "8")
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.driver.memory", "8g")
@@ -18,7 +18,9 @@ def local_session(name: str, cores: str | int | None = None) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    for key, value in (settings or {}).items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

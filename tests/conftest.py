@@ -12,8 +12,13 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("tests", 4)
+def checkpoint_dir(tmp_path_factory):
+    return str(tmp_path_factory.mktemp("checkpoints"))
+
+
+@pytest.fixture(scope="session")
+def spark(checkpoint_dir):
+    session = local_session("tests", 4, {"spark.checkpoint.dir": checkpoint_dir})
     yield session
     session.stop()
 

@@ -3,10 +3,14 @@
 import pytest
 from pyspark.sql import functions as F
 
+from moralens.functions.quantiles import exact_quantiles
 from moralens.functions.ranking import prefix_counts
 from moralens.operators import correlation, distributions, outliers, quality
+from moralens.operators.columns import frequencies
+from moralens.operators.neighbours import distinct_points
 from moralens.plans import reports
 from moralens.sources.panel import EXEMPT
+from moralens.staging import stage, staging_root
 
 
 def plan(df):
@@ -43,3 +47,22 @@ def test_rank_window_runs_inside_buckets(spark):
     text = plan(prefix_counts(df, ["g"], "v", ["n"], rows_per_bucket=100))
     assert "SinglePartition" not in text
     assert "_bucket" in text
+
+
+def test_top_k_is_cut_before_the_shuffle(panel):
+    freq = frequencies(panel, ["genero", "departamento"])
+    assert "WindowGroupLimit" in plan(quality.top_values(freq, 5))
+    assert "WindowGroupLimit" in plan(distinct_points(panel, "row_id", ["contacto_mes_actual", "pago"], 6))
+    assert "TakeOrderedAndProject" in plan(quality.exempt_profile(panel, ["mes"], "row_id"))
+
+
+def test_quantile_search_broadcasts_only_its_brackets(panel):
+    text = plan(exact_quantiles(panel, ["saldo_capital", "dias_mora"], [0.25, 0.75], whole_below=0))
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "SinglePartition" not in text
+
+
+def test_staging_uses_the_named_folder(spark, checkpoint_dir):
+    assert staging_root(spark) == checkpoint_dir
+    staged = stage(spark.range(3).toDF("id"), "three")
+    assert staged.count() == 3
+    assert all(checkpoint_dir in name for name in staged.inputFiles())
