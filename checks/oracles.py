@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from itertools import chain
 
 from checks.panel_sql import with_panel

@@ -10,7 +10,6 @@ import json
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, Transformer
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
@@ -40,11 +39,19 @@ class NumericImputerWithFlag(Estimator, _Columns, DefaultParamsReadable, Default
 
     strategy = Param(Params._dummy(), "strategy", "median, mean or most_frequent", TypeConverters.toString)
     scale = Param(Params._dummy(), "scale", "standardise after filling", TypeConverters.toBoolean)
+    scaleFlags = Param(Params._dummy(), "scaleFlags", "standardise the flags too", TypeConverters.toBoolean)
 
     @keyword_only
-    def __init__(self, *, inputCols: list[str] | None = None, strategy: str = "median", scale: bool = False):
+    def __init__(
+        self,
+        *,
+        inputCols: list[str] | None = None,
+        strategy: str = "median",
+        scale: bool = False,
+        scaleFlags: bool = False,
+    ):
         super().__init__()
-        self._setDefault(strategy="median", scale=False)
+        self._setDefault(strategy="median", scale=False, scaleFlags=False)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> "NumericImputerModel":
@@ -52,20 +59,24 @@ class NumericImputerWithFlag(Estimator, _Columns, DefaultParamsReadable, Default
         require_columns(dataset, columns)
         fills = fill_values(dataset, columns, self.getOrDefault(self.strategy))
         filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(fills[c])) for c in columns}
-        state = {c: [fills[c], 0.0, 1.0] for c in columns}
+        state = {c: [fills[c], 0.0, 1.0, 0.0, 1.0] for c in columns}
         if self.getOrDefault(self.scale):
             moments = dataset.agg(
                 *[F.avg(filled[c]).alias(f"m_{c}") for c in columns],
                 *[F.stddev_pop(filled[c]).alias(f"s_{c}") for c in columns],
+                *[F.avg(flag(c)).alias(f"g_{c}") for c in columns],
             ).first()
-            state = {c: [fills[c], moments[f"m_{c}"], moments[f"s_{c}"] or 1.0] for c in columns}
+            for c in columns:
+                gaps = moments[f"g_{c}"] if self.getOrDefault(self.scaleFlags) else None
+                spread = (gaps * (1 - gaps)) ** 0.5 if gaps is not None else 0.0
+                state[c] = [fills[c], moments[f"m_{c}"], moments[f"s_{c}"] or 1.0, gaps or 0.0, spread or 1.0]
         return NumericImputerModel(inputCols=columns, state=json.dumps(state), scaled=self.getOrDefault(self.scale))
 
 
 class NumericImputerModel(Model, _Columns, DefaultParamsReadable, DefaultParamsWritable):
     """Adds ``{c}_scaled`` (or ``{c}_imputed``) and ``{c}_flag``."""
 
-    state = Param(Params._dummy(), "state", "fill, mean and std per column as JSON", TypeConverters.toString)
+    state = Param(Params._dummy(), "state", "fill, mean and std of values and flags per column as JSON", TypeConverters.toString)
     scaled = Param(Params._dummy(), "scaled", "whether values are standardised", TypeConverters.toBoolean)
 
     @keyword_only
@@ -82,13 +93,14 @@ class NumericImputerModel(Model, _Columns, DefaultParamsReadable, DefaultParamsW
         state = json.loads(self.getOrDefault(self.state))
         added = {}
         for c in self._columns():
-            fill, mean, std = state[c]
+            fill, mean, std, flag_mean, flag_std = state[c]
             value = F.coalesce(F.col(c).cast("double"), F.lit(fill))
             if self.getOrDefault(self.scaled):
                 added[f"{c}_scaled"] = (value - F.lit(mean)) / F.lit(std)
             else:
                 added[f"{c}_imputed"] = value
-            added[f"{c}_flag"] = flag(c)
+            plain = (flag_mean, flag_std) == (0.0, 1.0)
+            added[f"{c}_flag"] = flag(c) if plain else (flag(c) - F.lit(flag_mean)) / F.lit(flag_std)
         return dataset.withColumns(added)
 
 
@@ -139,11 +151,12 @@ class OneHotColumns(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWri
     """Fit the sorted categories of each column, the fill label included when it has gaps."""
 
     fillValue = Param(Params._dummy(), "fillValue", "label of missing values", TypeConverters.toString)
+    encodeFlags = Param(Params._dummy(), "encodeFlags", "one column per state of the flag", TypeConverters.toBoolean)
 
     @keyword_only
-    def __init__(self, *, inputCols: list[str] | None = None, fillValue: str = MISSING):
+    def __init__(self, *, inputCols: list[str] | None = None, fillValue: str = MISSING, encodeFlags: bool = False):
         super().__init__()
-        self._setDefault(fillValue=MISSING)
+        self._setDefault(fillValue=MISSING, encodeFlags=False)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> "OneHotColumnsModel":
@@ -158,24 +171,36 @@ class OneHotColumns(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWri
         if len(found) > MAX_CATEGORIES:
             raise ValueError(f"more than {MAX_CATEGORIES} categories in {columns}: not one-hot columns")
         state = {c: sorted(r["value"] for r in found if r["column"] == c) for c in columns}
-        return OneHotColumnsModel(inputCols=columns, state=json.dumps(state), fillValue=fill)
+        flags = {c: [] for c in columns}
+        if self.getOrDefault(self.encodeFlags):
+            gaps, total = missing_counts(dataset, columns)
+            flags = {c: [s for s, n in ((0, total - gaps[c]), (1, gaps[c])) if n > 0] for c in columns}
+        return OneHotColumnsModel(inputCols=columns, state=json.dumps(state), flags=json.dumps(flags), fillValue=fill)
 
 
 class OneHotColumnsModel(Model, _Columns, DefaultParamsReadable, DefaultParamsWritable):
     """Adds ``{c}_{category}`` 0/1 columns and ``{c}_flag``; unseen categories are all zeros."""
 
     state = Param(Params._dummy(), "state", "categories per column as JSON", TypeConverters.toString)
+    flags = Param(Params._dummy(), "flags", "encoded flag states per column as JSON", TypeConverters.toString)
     fillValue = Param(Params._dummy(), "fillValue", "label of missing values", TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, *, inputCols: list[str] | None = None, state: str = "{}", fillValue: str = MISSING):
+    def __init__(
+        self, *, inputCols: list[str] | None = None, state: str = "{}", flags: str = "{}", fillValue: str = MISSING
+    ):
         super().__init__()
-        self._setDefault(state="{}", fillValue=MISSING)
+        self._setDefault(state="{}", flags="{}", fillValue=MISSING)
         self._set(**self._input_kwargs)
 
+    def _flag_columns(self, column: str) -> dict[str, Column]:
+        states = json.loads(self.getOrDefault(self.flags)).get(column, [])
+        encoded = {f"{column}_flag_{s}": (flag(column) == s).cast("int") for s in states}
+        return encoded or {f"{column}_flag": flag(column)}
+
     def output_columns(self) -> list[str]:
         state = json.loads(self.getOrDefault(self.state))
-        return [n for c in self._columns() for n in (*[f"{c}_{v}" for v in state[c]], f"{c}_flag")]
+        return [n for c in self._columns() for n in (*[f"{c}_{v}" for v in state[c]], *self._flag_columns(c))]
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         state = json.loads(self.getOrDefault(self.state))
@@ -184,7 +209,7 @@ class OneHotColumnsModel(Model, _Columns, DefaultParamsReadable, DefaultParamsWr
             label = F.coalesce(F.col(c).cast("string"), F.lit(self.getOrDefault(self.fillValue)))
             for category in state[c]:
                 added[f"{c}_{category}"] = (label == category).cast("int")
-            added[f"{c}_flag"] = flag(c)
+            added |= self._flag_columns(c)
         return dataset.withColumns(added)
 
 
@@ -193,16 +218,27 @@ def _as_list(columns: list[str] | str | None) -> list[str]:
 
 
 def create_preprocessor(
-    numeric: list[str] | str | None, binary: list[str] | str | None, categorical: list[str] | str | None
+    numeric: list[str] | str | None,
+    binary: list[str] | str | None,
+    categorical: list[str] | str | None,
+    transform_flags: bool = False,
 ) -> Pipeline:
-    """Unfitted pipeline: scaled numerics with flags, filled binaries with flags, one-hot categories with flags."""
+    """Unfitted pipeline: scaled numerics with flags, filled binaries with flags, one-hot categories with flags.
+
+    ``transform_flags`` treats flags like the values beside them: numeric flags are scaled and
+    categorical flags become one 0/1 column per state seen in the fit.
+    """
     stages = []
     if _as_list(numeric):
-        stages.append(NumericImputerWithFlag(inputCols=_as_list(numeric), strategy="median", scale=True))
+        stages.append(
+            NumericImputerWithFlag(
+                inputCols=_as_list(numeric), strategy="median", scale=True, scaleFlags=transform_flags
+            )
+        )
     if _as_list(binary):
         stages.append(BinaryImputerWithFlag(inputCols=_as_list(binary)))
     if _as_list(categorical):
-        stages.append(OneHotColumns(inputCols=_as_list(categorical)))
+        stages.append(OneHotColumns(inputCols=_as_list(categorical), encodeFlags=transform_flags))
     if not stages:
         raise ValueError("no columns given to preprocess")
     return Pipeline(stages=stages)
@@ -229,11 +265,6 @@ def manual_preprocessing(
     return shown(train), shown(test), names
 
 
-def assemble(df: DataFrame, features: list[str], output: str = "features") -> DataFrame:
-    """Feature vector of the named columns, in the given order."""
-    return VectorAssembler(inputCols=features, outputCol=output, handleInvalid="error").transform(df)
-
-
 def imputation_flags(
     df: DataFrame, columns: list[str] | None = None, strategy: str = "indicator", suffix: str = "_imputed"
 ) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from moralens.functions.quantiles import exact_quantiles
 from moralens.operators.columns import classify, frequencies, long_values, numeric_summary
 
+# Fixed value: the reason shown beside an exempt field.
 EXEMPT_REASON = "Campo identificado como ID o campo exento de análisis"
 HIGH_MISSING_PCT = 50
 

@@ -13,7 +13,14 @@ from moralens.operators.balancing import apply_balancing
 from moralens.operators.cleaning import drop_duplicates, recategorize
 from moralens.operators.columns import classify
 from moralens.operators.distributions import class_balance
-from moralens.operators.metrics import binary_metrics, comparison_table, tall_metrics
+from moralens.operators.metrics import (
+    binary_metrics,
+    comparison_table,
+    confusion_matrix,
+    roc_points,
+    tall_metrics,
+    train_test_table,
+)
 from moralens.operators.models import FULL, MODEL_ORDER, ModelSettings, fit_model, run_parallel, score
 from moralens.operators.preparation import create_preprocessor, feature_names
 from moralens.operators.selection import combine_features, feature_importance, in_schema_order, recursive_elimination, top_features
@@ -43,6 +50,27 @@ class TrainingResult:
         return self.models[self.best]
 
 
+@dataclass
+class Evaluation:
+    metrics: DataFrame
+    overfitting: DataFrame
+    confusion: DataFrame
+    roc: DataFrame
+
+
+def evaluate_model(fitted: PipelineModel, train: DataFrame, test: DataFrame, label: str) -> Evaluation:
+    """Metrics and overfitting on both splits, confusion matrix and ROC curve on the test split."""
+    named = lambda rows, split: score(fitted, rows, label).withColumn("split", F.lit(split))
+    on_test = stage(named(test, "test"), "test-scores")
+    found = stage(binary_metrics(named(train, "train").unionByName(on_test), ["split"]), "metrics")
+    return Evaluation(
+        found,
+        train_test_table(tall_metrics(found, ["split"]), []),
+        confusion_matrix(on_test, [], "score", "label"),
+        roc_points(on_test, "score", "label"),
+    )
+
+
 def fit_grid(
     data: dict[str, tuple[DataFrame, DataFrame, list[str]]],
     label: str,

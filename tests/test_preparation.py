@@ -44,6 +44,17 @@ def test_preprocessor_survives_saving(train, test_rows, tmp_path):
     assert loaded.transform(test_rows).collect() == fitted.transform(test_rows).collect()
 
 
+def test_flags_can_be_transformed_too(train, test_rows):
+    fitted = prep.create_preprocessor(["x"], ["f"], ["c"], transform_flags=True).fit(train)
+    assert prep.feature_names(fitted) == [
+        "x_scaled", "x_flag", "f_imputed", "f_flag", "c_a", "c_b", "c_missing", "c_flag_0", "c_flag_1",
+    ]
+    first, second = fitted.transform(test_rows).orderBy("row_id").collect()
+    spread = (0.25 * 0.75) ** 0.5  # one gap in four rows
+    assert first["x_flag"] == pytest.approx(0.75 / spread) and second["x_flag"] == pytest.approx(-0.25 / spread)
+    assert (first["c_flag_0"], first["c_flag_1"]) == (1, 0)
+
+
 def test_preprocessor_errors(train):
     with pytest.raises(ValueError):
         prep.create_preprocessor(None, [], [])
