@@ -31,8 +31,9 @@ from moralens.llm.text import BASE, BASE_INVERSE, bytes_of, mixed, powers, slice
 
 ANCHOR = 24
 LENGTH = 50
-DOCUMENTS_PER_SLICE = 512
-SLICES_PER_BUCKET = 8
+DOCUMENTS_PER_SLICE = 1024
+SLICES_PER_BUCKET = 4
+PART_BYTES = 1 << 21
 LEAST_SLICES = 32
 CODE_BITS = 40  # codes only select candidates; bytes decide
 LAST = np.iinfo(np.int64).max
@@ -188,17 +189,20 @@ def _chunk(table: pa.Table | pa.RecordBatch, name: str) -> pa.Array:
 def _parts(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows of a table in parts of bounded bytes: first row, last row, bytes, row offsets."""
     flat, offsets = bytes_of(_chunk(table, "text"))
-    for start, stop in slices(offsets):
+    for start, stop in slices(offsets, PART_BYTES):
         own = offsets[start : stop + 1]
         yield start, stop, flat[own[0] : own[-1]], own - own[0]
 
 
 def _packed(**arrays: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(a).tobytes() for a in arrays.values())
+    """Arrays one after the other, compressed, behind their length."""
+    raw = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays.values())
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
 
 
-def _cut(blob: bytes, *kinds: tuple[str, int]) -> list[np.ndarray]:
+def _cut(packed: bytes, *kinds: tuple[str, int]) -> list[np.ndarray]:
     """Arrays (type, values per entry) that ``_packed`` has joined."""
+    blob = pa.Codec("zstd").decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True)
     width = sum(np.dtype(kind).itemsize * n for kind, n in kinds)
     entries, at, out = len(blob) // width, 0, []
     for kind, n in kinds:
@@ -326,7 +330,7 @@ def repeated_bytes(documents: DataFrame, length: int = LENGTH) -> DataFrame:
             buckets.append(bucket)
             blobs.append(
                 _packed(
-                    code=codes[own].astype("<u8"),
+                    code=_code_bytes(codes[own]),
                     key=keys[own].astype("<u8"),
                     doc=doc[own].astype("<i8"),
                     near=near[own].astype(np.uint8),
@@ -341,11 +345,12 @@ def repeated_bytes(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def answer_surroundings(table: pa.Table) -> pa.Table:
         """For each slice's surroundings, the least doc_id that has it and the marks of that document."""
-        kinds = (("<u8", 1), ("<u8", 1), ("<i8", 1), ("u1", 1), ("u1", 1), ("u1", before + length))
+        kinds = (("u1", CODE_BITS // 8), ("<u8", 1), ("<i8", 1), ("u1", 1), ("u1", 1), ("u1", before + length))
         cuts = [_cut(b.as_py(), *kinds) for b in _chunk(table, "blob")]
         numbers = _chunk(table, "slice").to_numpy()
         own = np.repeat(numbers, [len(c[0]) for c in cuts])
-        codes, keys, doc, near, far, around = (np.concatenate([c[k] for c in cuts]) for k in range(6))
+        raw, keys, doc, near, far, around = (np.concatenate([c[k] for c in cuts]) for k in range(6))
+        codes = _codes(raw)
         order = np.lexsort((doc, keys, codes))
         c, k = codes[order], keys[order]
         fresh = np.concatenate([[True], (c[1:] != c[:-1]) | (k[1:] != k[:-1])])
