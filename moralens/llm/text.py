@@ -64,14 +64,11 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         start = stop
 
 
-def word_hashes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (runs without spaces) of a slice, and row offsets into them.
+def words_of(text: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (runs without spaces) of some rows, and where each begins and ends.
 
-    ``flat`` and ``offsets`` belong to the slice: ``offsets[0]`` is where its first row begins.
+    ``rows`` are the rows' offsets in ``text``; no word crosses them.
     """
-    begin, end = int(offsets[0]), int(offsets[-1])
-    text = flat[begin:end]
-    rows = offsets - begin
     solid = text != 32
     # a row's first byte starts a word even where the row before ended in one
     starts = solid.copy()
@@ -79,16 +76,26 @@ def word_hashes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     edge = rows[:-1][(rows[:-1] < len(text))]
     starts[edge] = solid[edge]
     begins = np.flatnonzero(starts)
-    ends_mask = np.zeros(len(text) + 1, dtype=bool)
-    ends_mask[:-1] |= ~solid
-    ends_mask[rows] = True
-    stops = np.flatnonzero(ends_mask)
+    breaks = np.zeros(len(text) + 1, dtype=bool)
+    breaks[:-1] |= ~solid
+    breaks[rows] = True
+    stops = np.flatnonzero(breaks)
     ends = stops[np.searchsorted(stops, begins, side="right")]
     with np.errstate(over="ignore"):
         sums = np.zeros(len(text) + 1, dtype=np.uint64)
         np.cumsum((text.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(text)), out=sums[1:])
         hashes = (sums[ends] - sums[begins]) * powers(BASE_INVERSE, len(text))[begins]
-    return mixed(hashes), np.searchsorted(begins, rows)
+    return mixed(hashes), begins, ends
+
+
+def word_hashes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a slice, and row offsets into them.
+
+    ``flat`` and ``offsets`` belong to the batch: ``offsets[0]`` is where the slice's first row begins.
+    """
+    rows = offsets - int(offsets[0])
+    hashes, begins, _ = words_of(flat[int(offsets[0]) : int(offsets[-1])], rows)
+    return hashes, np.searchsorted(begins, rows)
 
 
 def windows_of(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
