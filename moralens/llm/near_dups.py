@@ -5,11 +5,13 @@ falls on a random register, and a register keeps the shingle that came first. An
 its time passes the latest register, so long texts cost little more than one arrival per shingle.
 Two texts agree in a register with the probability of their probability Jaccard similarity.
 
-Registers are banded. Texts of a bucket are not paired with each other: each round compares the
+Registers are banded. The texts of a bucket are not paired with each other: each round compares the
 members of a bucket with a few leaders, and only across components found so far, verified on all
-shingles. A leader that has met everybody leaves its bucket, and a bucket whose members are all of
-one component is done. So a group of thousands of copies costs a few comparisons per copy, yet every
-two texts of a bucket are either compared or already of one class: no link between classes is lost.
+shingles. A leader that has met everybody leaves its bucket, and a bucket whose members are all of one
+component is done. Large buckets that two rounds leave open hold texts that look alike to the bands but
+often are not similar: these are cut into blocks, and every two blocks meet in a task, which counts
+common shingles by inverted lists and sends on no more links than join two components. So no pairs are
+spelt out, yet every two texts of a bucket are compared or already of one class: no link is lost.
 """
 
 from __future__ import annotations
@@ -31,7 +33,10 @@ BANDS = 24
 ROWS = 4  # P(a pair of similarity 0.8 shares no band) = (1 - 0.8^4)^24 = 3e-6
 REGISTERS = BANDS * ROWS
 CODE_BYTES = 5
-MAX_LEADERS = 16  # per bucket and round
+LARGE_BUCKET = 24
+BLOCK_TEXTS = 256
+SLACK = 1e-9
+BAND_ROUNDS = 2
 BITMAP_WORDS = 1 << 17  # 64-bit words: a filter of 2 MB, whatever the data's size
 
 SIGNED = "print binary, bands array<bigint>, shingles binary"
@@ -189,6 +194,91 @@ def _only(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return passed.join(wanted, F.col(key) == F.col(name), "left_semi")
 
 
+def linking_pairs(table: pa.Table, threshold: float) -> pa.Table:
+    """Links (a, b) that join the components of two blocks' texts: a spanning forest of all links."""
+    nodes, components_ = table.column("node").to_pylist(), table.column("component").to_pylist()
+    blobs = [b.as_py() for b in table.column("shingles")]
+    texts = [np.unique(unpacked(b), return_counts=True) for b in blobs]
+    total = np.array([f[1].sum() for f in texts], dtype=float)
+    of = np.repeat(np.arange(len(texts)), [len(f[0]) for f in texts])
+    codes, weights = (np.concatenate([f[k] for f in texts]) for k in range(2))
+    order = np.argsort(codes, kind="stable")
+    codes, weights, of = codes[order], weights[order].astype(float), of[order]
+    parent = {c: c for c in components_}
+
+    def root(c):
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    # two different blocks: only pairs across; texts of the commonest component meet the others' searches
+    block = np.array(table.column("own").to_pylist())
+    one_block = bool((block == block[0]).all())
+    commonest = max(parent, key=components_.count)
+    searching = np.array([c != commonest for c in components_])
+    links = []
+    for i in np.flatnonzero(searching):
+        own, weight = texts[i]
+        low, high = np.searchsorted(codes, own, side="left"), np.searchsorted(codes, own, side="right")
+        sizes = high - low
+        at = np.arange(sizes.sum()) + np.repeat(low - np.cumsum(sizes) + sizes, sizes)
+        mine = np.bincount(of[at], weights=np.repeat(weight, sizes), minlength=len(texts))
+        theirs = np.bincount(of[at], weights=weights[at], minlength=len(texts))
+        # the winner of one text must be common: that share bounds the similarity
+        near = (mine >= threshold * total[i] - SLACK) & (theirs >= threshold * total - SLACK)
+        for j in np.flatnonzero(near & (one_block | (block != block[i]))):
+            x, y = root(components_[i]), root(components_[j])
+            if x != y and probability_jaccard(blobs[i], blobs[j]) >= threshold:
+                parent[x] = y
+                links.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+    kind = table.column("node").type
+    return pa.table({"a": pa.array([x for x, _ in links], kind), "b": pa.array([y for _, y in links], kind)})
+
+
+def block_links(facing: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """Links between components among the texts that share a bucket of ``facing`` (bucket, node, component).
+
+    Texts joined by buckets form a cluster; a cluster of n texts is cut into about n / BLOCK_TEXTS
+    blocks by hash, and every two blocks are a group.
+    """
+    first = facing.groupBy("bucket").agg(F.min("node").alias("b"))
+    clusters = components(facing.join(first, "bucket").select(F.col("node").alias("a"), "b"))
+    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK_TEXTS)).alias("n_blocks"))
+    placed = clusters.join(sizes, "component").select("node", F.col("component").alias("cluster"), "n_blocks")
+    placed = placed.join(facing.select("node", "component").distinct(), "node")
+    own = F.pmod(F.xxhash64("node"), F.col("n_blocks"))
+    met = placed.select(
+        "node", "component", "cluster", own.alias("_own"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)).alias("_other")
+    )
+    pair = [F.least("_own", "_other").alias("low"), F.greatest("_own", "_other").alias("high")]
+    met = met.select("node", "component", "cluster", F.col("_own").alias("own"), *pair)
+    texts = met.join(known, "node")
+
+    def linked(table: pa.Table) -> pa.Table:
+        return linking_pairs(table, threshold)
+
+    kind = known.schema["node"].dataType.simpleString()
+    return texts.groupBy("cluster", "low", "high").applyInArrow(linked, f"a {kind}, b {kind}")
+
+
+def facing_leaders(members: DataFrame, labels: DataFrame | None, leaders: int) -> DataFrame:
+    """Members of the buckets that hold several components, each with its component and the leaders."""
+    if labels is None:
+        placed = members.withColumn("component", F.col("node"))
+    else:
+        placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    slot = F.pmod(F.xxhash64("component"), F.lit(leaders))
+    one = F.struct("node", "component")
+    chosen = placed.groupBy("bucket").agg(
+        F.min("component").alias("low"),
+        F.max("component").alias("high"),
+        F.array_compact(F.array(*[F.min(F.when(slot == k, one)) for k in range(leaders)])).alias("leaders"),
+    )
+    chosen = stage(chosen.where("low < high").select("bucket", "leaders"), "leaders")
+    return stage(placed.join(chosen, "bucket"), "facing")
+
+
 def classes(nodes: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
     """(node, component) of the nodes that are linked to others.
 
@@ -199,48 +289,43 @@ def classes(nodes: DataFrame, shingles: DataFrame, threshold: float) -> DataFram
     members = stage(exploded.join(shared, "bucket"), "members")
     known = stage(_only(shingles, "node", members.select(F.col("node").alias("_wanted")).distinct()), "shingles")
     labels: DataFrame | None = None
-    met: DataFrame | None = None
-    leaders = 1
-    while True:
-        if labels is None:
-            placed = members.withColumn("component", F.col("node"))
-        else:
-            placed = members.join(labels, "node", "left").select(
-                "bucket", "node", F.coalesce("component", "node").alias("component")
-            )
-        slot = F.pmod(F.xxhash64("component"), F.lit(leaders))
-        one = F.struct("node", "component")
-        chosen = placed.groupBy("bucket").agg(
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-            F.array_compact(F.array(*[F.min(F.when(slot == k, one)) for k in range(leaders)])).alias("leaders"),
-        )
-        chosen = stage(chosen.where("low < high").select("bucket", "leaders"), "leaders")
-        if row_count(chosen) == 0:
-            return labels if labels is not None else members.select("node", F.col("node").alias("component")).limit(0)
-        facing = stage(placed.join(chosen, "bucket"), "facing")
-        pairs = (
-            facing.select("node", "component", F.explode("leaders").alias("leader"))
-            .where(F.col("leader.component") != F.col("component"))
-            .select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
-            .distinct()
+    for number in range(BAND_ROUNDS):
+        facing = facing_leaders(members, labels, 2**number)
+        if not row_count(facing):
+            break
+        pairs = facing.select("node", "component", F.explode("leaders").alias("leader")).where(
+            F.col("leader.component") != F.col("component")
         )
-        if met is not None:
-            pairs = pairs.join(met, ["a", "b"], "left_anti")
-        left = known.select(F.col("node").alias("a"), F.col("shingles").alias("_left"))
-        right = known.select(F.col("node").alias("b"), F.col("shingles").alias("_right"))
-        compared = pairs.join(left, "a").join(right, "b").select("a", "b", similarity(F.col("_left"), F.col("_right")).alias("s"))
-        compared = stage(compared, "compared")
-        failed = compared.where(F.col("s") < threshold).select("a", "b")
-        met = failed if met is None else met.unionByName(failed)
-        links = compared.where(F.col("s") >= threshold).select("a", "b")
-        if labels is not None:
-            # the classes so far are stars of links
-            links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        labels = components(links)
+        links = similar_pairs(pairs.select("node", F.col("leader.node").alias("other")), known, threshold)
+        labels = joined_components(labels, links)
         # a leader has met all other classes of its bucket
-        members = stage(facing.where(~F.array_contains("leaders.node", F.col("node"))).select("bucket", "node"), "members")
-        leaders = min(MAX_LEADERS, 2 * leaders)
+        members = facing.where(~F.array_contains("leaders.node", F.col("node"))).select("bucket", "node")
+    else:
+        facing = facing_leaders(members, labels, 1).drop("leaders")
+        sizes = facing.groupBy("bucket").agg(F.count("*").alias("n"))
+        large = stage(facing.join(sizes.where(F.col("n") > LARGE_BUCKET), "bucket").drop("n"), "large")
+        small = facing.join(sizes.where(F.col("n") <= LARGE_BUCKET), "bucket")
+        others = small.select("bucket", F.col("node").alias("other"), F.col("component").alias("_component"))
+        pairs = small.join(others, "bucket").where((F.col("node") < F.col("other")) & (F.col("component") != F.col("_component")))
+        links = similar_pairs(pairs.select("node", "other"), known, threshold)
+        labels = joined_components(labels, links.unionByName(block_links(large, known, threshold)))
+    return labels if labels is not None else members.select("node", F.col("node").alias("component"))
+
+
+def similar_pairs(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """The links (a, b) among candidate pairs (node, other)."""
+    pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    left = known.select(F.col("node").alias("a"), F.col("shingles").alias("_left"))
+    right = known.select(F.col("node").alias("b"), F.col("shingles").alias("_right"))
+    compared = pairs.join(left, "a").join(right, "b").select("a", "b", similarity(F.col("_left"), F.col("_right")).alias("s"))
+    return stage(compared.where(F.col("s") >= threshold).select("a", "b"), "links")
+
+
+def joined_components(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components of the links and of those found so far, which are stars."""
+    if labels is not None:
+        links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return components(links)
 
 
 def near_duplicates(documents: DataFrame, threshold: float = SIMILARITY) -> DataFrame:

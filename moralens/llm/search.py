@@ -29,7 +29,7 @@ from moralens.staging import stage
 
 K1, B = 1.2, 0.75
 TOP = 10
-SHARD_BYTES = 1 << 25
+SHARD_BYTES = 3 << 23
 BLOCK_DOCUMENTS = 64
 QUERY_BLOCK_BYTES = 1 << 25
 DENSE_PART = 16
@@ -43,18 +43,20 @@ INDEX = "shard binary, n_docs bigint, n_words bigint"
 
 def counted_terms(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(term, row, frequency) sorted by term and row, and the words of each row."""
-    terms, rows, lengths = [], [], []
+    parts, lengths = [], []
     for start, stop in slices(offsets):
         hashes, bounds = word_hashes(flat, offsets[start : stop + 1])
-        row = np.repeat(np.arange(start, stop), np.diff(bounds))
-        terms.append(hashes)
-        rows.append(row)
         lengths.append(np.diff(bounds))
-    term, row = np.concatenate(terms), np.concatenate(rows)
-    order = np.lexsort((row, term))
-    term, row = term[order], row[order]
-    fresh = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (row[1:] != row[:-1])])[: len(term)])
-    return term[fresh], row[fresh], np.diff(np.append(fresh, len(term))), np.concatenate(lengths)
+        row = np.repeat(np.arange(start, stop, dtype=np.int32), lengths[-1])
+        order = np.argsort(hashes, kind="stable")  # rows stay in order
+        hashes, row = hashes[order], row[order]
+        fresh = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])])[: len(hashes)])
+        parts.append((hashes[fresh], row[fresh], np.diff(np.append(fresh, len(hashes))).astype(np.int32)))
+    # parts are in row order, and no row is in two
+    term = np.concatenate([p[0] for p in parts])
+    order = np.argsort(term, kind="stable")
+    row, frequency = (np.concatenate([p[k] for p in parts])[order] for k in (1, 2))
+    return term[order], row, frequency, np.concatenate(lengths)
 
 
 def pack_shard(ids: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> tuple[bytes, int]:
@@ -196,11 +198,11 @@ def index_shards(documents: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFr
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size >= shard_bytes:
+            if held and size + batch.nbytes > shard_bytes:
                 yield from packed(held)
                 held, size = [], 0
+            held.append(batch)
+            size += batch.nbytes
         if held:
             yield from packed(held)
 
