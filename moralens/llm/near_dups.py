@@ -33,6 +33,7 @@ BANDS = 24
 ROWS = 4  # P(a pair of similarity 0.8 shares no band) = (1 - 0.8^4)^24 = 3e-6
 REGISTERS = BANDS * ROWS
 CODE_BYTES = 5
+SIGNED_BYTES = 1 << 21  # signed at once
 LARGE_BUCKET = 24
 BLOCK_TEXTS = 256
 SLACK = 1e-9
@@ -122,7 +123,7 @@ def signed_texts(texts: pa.Array) -> pa.StructArray:
     prints: list[bytes] = []
     blobs: list[bytes] = []
     bands: list[np.ndarray] = []
-    for start, stop in slices(offsets):
+    for start, stop in slices(offsets, SIGNED_BYTES):
         hashes, rows = word_hashes(flat, offsets[start : stop + 1])
         codes, bounds = weighted_shingles(hashes, rows)
         bands.append(band_hashes(prob_min_hash(codes, bounds)))
@@ -180,18 +181,31 @@ def similarity(left: Column, right: Column) -> Column:
     return F.arrow_udf(similar, "double")(left, right)
 
 
+def _bitmap_word(key: Column) -> Column:
+    return F.shiftright(F.pmod(F.xxhash64(key), F.lit(BITMAP_WORDS * 64)), 6)
+
+
+def _bitmap_bit(key: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.xxhash64(key).bitwiseAND(F.lit(63)).cast("int"))
+
+
+def _maybe_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``df`` with ``_maybe``: false only where the key is not in ``wanted`` (one column)."""
+    name = F.col(wanted.columns[0])
+    bits = wanted.select(_bitmap_word(name).alias("_word"), _bitmap_bit(name).alias("_bit"))
+    bitmap = bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    tested = df.withColumn("_word", _bitmap_word(F.col(key))).join(F.broadcast(bitmap), "_word", "left")
+    maybe = F.coalesce(F.col("_bits").bitwiseAND(_bitmap_bit(F.col(key))) != 0, F.lit(False))
+    return tested.withColumn("_maybe", maybe).drop("_word", "_bits")
+
+
 def _only(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose key is in ``wanted`` (one column): a bitmap drops most others before the shuffle."""
+    """Rows of ``df`` whose key is in ``wanted`` (one column, distinct): a bitmap drops most others before the shuffle.
+
+    The last join is an inner one, as the planner would move a semi join ahead of the bitmap.
+    """
     name = wanted.columns[0]
-    hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_WORDS * 64))
-    bit = lambda c: F.call_function(
-        "shiftleft", F.lit(1).cast("bigint"), hashed(c).bitwiseAND(F.lit(63)).cast("int")
-    )
-    bits = wanted.select(F.shiftright(hashed(F.col(name)), 6).alias("_word"), bit(F.col(name)).alias("_bit"))
-    bitmap = bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    passed = df.withColumn("_word", F.shiftright(hashed(F.col(key)), 6)).join(F.broadcast(bitmap), "_word")
-    passed = passed.where(F.col("_bits").bitwiseAND(bit(F.col(key))) != 0).drop("_word", "_bits")
-    return passed.join(wanted, F.col(key) == F.col(name), "left_semi")
+    return _maybe_in(df, key, wanted).where("_maybe").drop("_maybe").join(wanted, F.col(key) == F.col(name)).drop(name)
 
 
 def linking_pairs(table: pa.Table, threshold: float) -> pa.Table:
@@ -349,13 +363,19 @@ def first_of_each_class(documents: DataFrame, threshold: float = SIMILARITY) ->
 
     Of repeated rows one stays; rows with a NULL doc_id are all kept, since nothing names them.
     """
-    found = near_duplicates(documents, threshold)
-    kept = found.where(F.col("doc_id") == F.col("class_id")).select(
-        F.col("doc_id").alias("_dup_id"), F.col("text_digest").alias("_dup_digest")
-    )
+    found = near_duplicates(documents, threshold).where(F.col("doc_id").isNotNull())
+    found = found.groupBy("doc_id", "text_digest").agg(F.count("*").alias("_dup_rows"), F.first("class_id").alias("_dup_class"))
+    # most documents are alone and never reach a shuffle
+    special = found.where((F.col("_dup_rows") > 1) | (F.col("doc_id") != F.col("_dup_class")))
+    special = stage(special.withColumnRenamed("doc_id", "_dup_id").withColumnRenamed("text_digest", "_dup_digest"), "special")
     own = [F.col(f"`{c}`") for c in documents.columns]
+    tested = _maybe_in(documents.withColumn("_dup_key", F.col("doc_id")), "_dup_key", special.select("_dup_id"))
     digest = F.md5(F.coalesce("text", F.lit("")))
-    nth = Window.partitionBy("_dup_id", "_dup_digest").orderBy(*[F.col(f"`{c}`") for c in ("source", "lang") if c in documents.columns], F.lit(0))
-    named = documents.where(F.col("doc_id").isNotNull()).withColumn("_dup_id", F.col("doc_id")).withColumn("_dup_digest", digest)
-    single = named.join(kept.distinct(), ["_dup_id", "_dup_digest"]).withColumn("_dup_nth", F.row_number().over(nth))
-    return single.where("_dup_nth = 1").select(*own).unionByName(documents.where(F.col("doc_id").isNull()).select(*own))
+    order = [F.col(f"`{c}`") for c in ("source", "lang") if c in documents.columns]
+    nth = Window.partitionBy("_dup_id", "_dup_digest").orderBy(*order, F.lit(0))
+    matched = tested.where("_maybe").withColumn("_dup_text", digest)
+    matched = matched.join(special, (F.col("_dup_key") == F.col("_dup_id")) & (F.col("_dup_text") == F.col("_dup_digest")), "left")
+    alone = matched.where(F.col("_dup_id").isNull()).select(*own)
+    several = matched.where(F.col("_dup_id") == F.col("_dup_class")).withColumn("_dup_nth", F.row_number().over(nth))
+    kept = several.where("_dup_nth = 1").select(*own)
+    return tested.where("NOT _maybe").select(*own).unionByName(alone).unionByName(kept)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15  # odd, so powers of it have inverses modulo 2^64
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
