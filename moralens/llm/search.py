@@ -83,7 +83,9 @@ class Shard:
     def local_counts(self, terms: np.ndarray) -> np.ndarray:
         """Documents of this shard that have each term."""
         at, there = self.find(terms)
-        return np.where(there, self.sizes[at], 0)
+        out = np.zeros(len(terms), dtype=np.int64)
+        out[there] = self.sizes[at[there]]
+        return out
 
     def find(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.terms):

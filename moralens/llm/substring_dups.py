@@ -242,7 +242,7 @@ def repeated_bytes(documents: DataFrame, length: int = LENGTH) -> DataFrame:
         buckets = bucket_of(codes)
         order = np.argsort(buckets, kind="stable")
         bounds = np.flatnonzero(np.diff(buckets[order], prepend=-1))
-        for start, stop in zip(bounds, np.append(bounds[1:], len(order)), strict=True):
+        for start, stop in zip(bounds, np.append(bounds[1:], len(order))[: len(bounds)], strict=True):
             yield int(buckets[order[start]]), order[start:stop]
 
     def send_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +286,7 @@ def repeated_bytes(documents: DataFrame, length: int = LENGTH) -> DataFrame:
         order = np.lexsort((codes, own))
         codes, own = codes[order], own[order]
         starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))[: len(own)]
-        stops = np.append(starts[1:], len(own))
+        stops = np.append(starts[1:], len(own))[: len(starts)]
         found = [_packed(code=_code_bytes(np.unique(codes[a:b]))) for a, b in zip(starts, stops, strict=True)]
         return pa.table({"slice": pa.array(own[starts].astype(np.int64)), "reply": pa.array(found, pa.binary())})
 

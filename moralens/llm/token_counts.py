@@ -61,7 +61,7 @@ class PieceCounter:
         parts = [word_parts(piece) for piece in pieces]
         different = {part for both in parts for part in both}
         found: dict[str, int] = {}
-        words = [part for part in different if part.isalpha() and max(part) < "\u0250"]
+        words = [part for part in different if is_latin(part)]
         # words of letters alone are one pre-token each, so many of them make one text
         texts: list[list[str]] = [[]]
         size = 0
@@ -100,10 +100,15 @@ def piece_counter(tokenizer_path: str):
     return F.arrow_udf(counted, "bigint")
 
 
+def is_latin(word: str) -> bool:
+    """Letters whose lower case is one letter, whatever stands beside them."""
+    return word.isalpha() and max(word) < "\u0250" and "\u0130" not in word
+
+
 def word_parts(piece: str) -> tuple[str, ...]:
     """A Latin word as its lower-case letters and the marks behind it; anything else as it is."""
     word = piece.rstrip(MARKS)
-    if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:
+    if is_latin(word):
         marks = piece[len(word) :]
         return (word.lower(), marks) if marks else (word.lower(),)
     return (piece,)
