@@ -33,7 +33,7 @@ BANDS = 24
 ROWS = 4  # P(a pair of similarity 0.8 shares no band) = (1 - 0.8^4)^24 = 3e-6
 REGISTERS = BANDS * ROWS
 CODE_BYTES = 5
-SIGNED_BYTES = 1 << 21  # signed at once
+SIGNED_BYTES = 1 << 20  # signed at once
 LARGE_BUCKET = 24
 BLOCK_TEXTS = 256
 SLACK = 1e-9

@@ -12,7 +12,14 @@ from moralens.llm import decontaminate, mixing, near_dups, pii, quality, search,
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Rows and bytes that go to Python at once: texts are long, so the usual 10,000 rows take much memory.
+BATCH_ROWS, BATCH_BYTES = 1_000, 1 << 23
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of ``sf_dir``; the session's Arrow batches are set for tables of long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
