@@ -45,6 +45,19 @@ def row_count(staged: DataFrame) -> int:
     return staged.count()
 
 
+def release(staged: DataFrame) -> None:
+    """Delete one staged table; for intermediate tables that no result depends on any more."""
+    spark = staged.sparkSession
+    kept = _staged.get(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {file.rsplit("/", 1)[0] for file in staged.inputFiles()}:
+        path = next((p for p in kept if folder.endswith(p.split("://")[-1].removeprefix("file:"))), None)
+        if path:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+            kept.remove(path)
+
+
 def clear_staged(spark: SparkSession) -> int:
     """Delete every table this session staged; call it when no result depends on them any more."""
     paths = _staged.pop(spark.sparkContext.applicationId, [])
