@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from moralens.llm.components import components
 from moralens.llm.text import bytes_of, mixed, normalised, slices, windows_of, word_hashes
-from moralens.staging import row_count, stage
+from moralens.staging import release, row_count, stage
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -323,6 +323,8 @@ def classes(nodes: DataFrame, shingles: DataFrame, threshold: float) -> DataFram
         pairs = small.join(others, "bucket").where((F.col("node") < F.col("other")) & (F.col("component") != F.col("_component")))
         links = similar_pairs(pairs.select("node", "other"), known, threshold)
         labels = joined_components(labels, links.unionByName(block_links(large, known, threshold)))
+    if labels is not None:
+        release(known)
     return labels if labels is not None else members.select("node", F.col("node").alias("component"))
 
 
@@ -352,9 +354,12 @@ def near_duplicates(documents: DataFrame, threshold: float = SIMILARITY) -> Data
     signed = stage(signed_documents(documents.select("doc_id", "text")), "signed")
     named = signed.where(F.col("doc_id").isNotNull())
     texts = stage(named.groupBy("print").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "texts")
+    names = stage(signed.select("doc_id", "text_digest", "print"), "names")
     linked = classes(texts.select("node", "bands"), named.select(F.col("doc_id").alias("node"), "shingles"), threshold)
+    # the result needs neither signatures nor shingles, the largest of the tables
+    release(signed)
     of_print = texts.join(linked, "node", "left").select("print", F.coalesce("component", "node").alias("class_id"))
-    placed = signed.select("doc_id", "text_digest", "print").join(of_print, "print", "left")
+    placed = names.join(of_print, "print", "left")
     return placed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "text_digest")
 
 
