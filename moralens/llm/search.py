@@ -29,7 +29,7 @@ from moralens.staging import stage
 
 K1, B = 1.2, 0.75
 TOP = 10
-SHARD_BYTES = 3 << 23
+SHARD_BYTES = 3 << 22
 BLOCK_DOCUMENTS = 64
 QUERY_BLOCK_BYTES = 1 << 25
 DENSE_PART = 16
