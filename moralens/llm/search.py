@@ -29,7 +29,8 @@ from moralens.staging import stage
 
 K1, B = 1.2, 0.75
 TOP = 10
-SHARD_BYTES = 3 << 22
+SHARD_BYTES = 1 << 23
+TRIED_SHARDS = 3
 BLOCK_DOCUMENTS = 64
 QUERY_BLOCK_BYTES = 1 << 25
 DENSE_PART = 16
@@ -290,10 +291,11 @@ def top_documents(documents: DataFrame, queries: DataFrame, top: int = TOP, shar
         weights = inverse_frequency(_term_counts(index, terms), n_docs)
         mean = n_words / max(n_docs, 1)
         block = (names, bounds, terms, which.astype(np.int32), weights)
-        # about one shard for each query first: its k-th best is a floor for all shards
+        # a few shards for each query first: the k-th best of what they find is a floor for all shards
         shared = spark.sparkContext.broadcast((*block, np.zeros(len(names))))
         tried = index.select("shard").mapInArrow(_searcher(shared, mean, top, n_shards), FOUND).groupBy("query_id")
-        reached = tried.agg(F.count("*").alias("n"), F.min("score").alias("s")).where(F.col("n") == top).collect()
+        best = F.sort_array(F.collect_list("score"), asc=False)  # a few times ``top`` values
+        reached = tried.agg(F.try_element_at(best, F.lit(top)).alias("s")).where("s IS NOT NULL").collect()
         known = {row["query_id"]: row["s"] for row in reached}
         floors = np.array([known.get(int(name), 0.0) for name in names])
         shared = spark.sparkContext.broadcast((*block, floors))
@@ -306,9 +308,9 @@ def top_documents(documents: DataFrame, queries: DataFrame, top: int = TOP, shar
 
 
 def _searcher(shared, mean_length: float, top: int, one_in: int = 1):
-    """Searches every shard for the block's queries, or for a hashed one of ``one_in`` of them.
+    """Searches every shard for the block's queries, or for about ``TRIED_SHARDS`` of ``one_in`` of them, by hash.
 
-    With ``one_in`` a query may fall on no shard or on several: then it gets no floor.
+    A query that falls on no shard this way gets no floor.
     """
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +323,7 @@ def _searcher(shared, mean_length: float, top: int, one_in: int = 1):
                 numbers = np.arange(len(names))
                 if one_in > 1:
                     mark = mixed(mixed(names.astype(np.uint64)) + np.uint64(len(shard.docs)))
-                    numbers = numbers[mark % np.uint64(one_in) == 0]
+                    numbers = numbers[mark % np.uint64(one_in) < TRIED_SHARDS]
                 queries, ids, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
                 for first in range(0, len(numbers), QUERIES_AT_ONCE):
                     some = numbers[first : first + QUERIES_AT_ONCE]
