@@ -30,12 +30,17 @@ def staging_root(spark: SparkSession) -> str:
     return _local_roots[app].name
 
 
-def stage(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+#: Writer settings for rows of megabytes: the size of a row group is looked at after every row, so neither
+#: the writer nor a reader's batch holds more than a few rows (the usual first look is after 100 rows).
+LARGE_ROWS = {"parquet.block.size": str(1 << 24), "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
+
+
+def stage(df: DataFrame, label: str, partition_by: tuple[str, ...] = (), options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the staging root and return a reader of it."""
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     path = f"{staging_root(spark).rstrip('/')}/moralens/{app}/{label}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.partitionBy(*partition_by).options(**(options or {})).parquet(path)
     _staged.setdefault(app, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
