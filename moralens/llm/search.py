@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moralens.llm.text import bytes_of, mixed, normalised, slices, word_hashes
-from moralens.staging import stage
+from moralens.staging import LARGE_ROWS, stage
 
 K1, B = 1.2, 0.75
 TOP = 10
@@ -273,7 +273,7 @@ def top_documents(documents: DataFrame, queries: DataFrame, top: int = TOP, shar
     neither searched nor found, repeated rows of the same id are ranked as rows of their own.
     """
     spark = documents.sparkSession
-    index = stage(index_shards(documents, shard_bytes), "index")
+    index = stage(index_shards(documents, shard_bytes), "index", options=LARGE_ROWS)
     sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("n_docs", "n_words")]
     n_docs, n_words, n_shards = index.agg(*sums, F.count("*")).first()
     asked = stage(query_terms(queries), "queries")
