@@ -30,7 +30,8 @@ from moralens.staging import LARGE_ROWS, stage
 K1, B = 1.2, 0.75
 TOP = 10
 SHARD_BYTES = 1 << 23
-TRIED_SHARDS = 3
+FIRST_SHARDS = 4  # that a query goes through in the first round
+ROUND_GROWTH = 8  # of the shards behind a floor from round to round
 BLOCK_DOCUMENTS = 64
 QUERY_BLOCK_BYTES = 1 << 25
 DENSE_PART = 16
@@ -291,26 +292,49 @@ def top_documents(documents: DataFrame, queries: DataFrame, top: int = TOP, shar
         weights = inverse_frequency(_term_counts(index, terms), n_docs)
         mean = n_words / max(n_docs, 1)
         block = (names, bounds, terms, which.astype(np.int32), weights)
-        # a few shards for each query first: the k-th best of what they find is a floor for all shards
-        shared = spark.sparkContext.broadcast((*block, np.zeros(len(names))))
-        tried = index.select("shard").mapInArrow(_searcher(shared, mean, top, n_shards), FOUND).groupBy("query_id")
-        best = F.sort_array(F.collect_list("score"), asc=False)  # a few times ``top`` values
-        reached = tried.agg(F.try_element_at(best, F.lit(top)).alias("s")).where("s IS NOT NULL").collect()
-        known = {row["query_id"]: row["s"] for row in reached}
-        floors = np.array([known.get(int(name), 0.0) for name in names])
-        shared = spark.sparkContext.broadcast((*block, floors))
-        best = index.select("shard").mapInArrow(_searcher(shared, mean, top), FOUND)
+        best = None
+        floors = np.zeros(len(names))
+        for since, upto in rounds(n_shards):
+            shared = spark.sparkContext.broadcast((*block, floors))
+            hits = index.select("shard").mapInArrow(_searcher(shared, mean, top, since, upto, n_shards), FOUND)
+            best = best_of(hits if best is None else best.unionByName(hits), top)
+            if upto < n_shards:
+                # the k-th best so far is a floor for the shards to come
+                best = stage(best, "best")
+                reached = best.where(F.col("rank") == top).select("query_id", "score").collect()
+                known = {row["query_id"]: row["score"] for row in reached}
+                floors = np.array([known.get(int(name), 0.0) for name in names])
+                best = best.drop("rank")
         found = best if found is None else found.unionByName(best)
     if found is None:
         return asked.select("query_id", F.lit(0).cast("bigint").alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    return found
+
+
+def best_of(found: DataFrame, top: int) -> DataFrame:
+    """The ``top`` best rows of every query with their rank; ties go to the smaller doc_id."""
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)
 
 
-def _searcher(shared, mean_length: float, top: int, one_in: int = 1):
-    """Searches every shard for the block's queries, or for about ``TRIED_SHARDS`` of ``one_in`` of them, by hash.
+def rounds(n_shards: int) -> list[tuple[int, int]]:
+    """The runs of shard numbers that the rounds go through: a few first, then ``ROUND_GROWTH`` times as many.
+
+    A shard sends on what reaches the floor, about ``top`` rows for all shards that the floor comes
+    from. So a query sends rows with the logarithm of the number of shards, not one ``top`` from each.
+    """
+    ends = [FIRST_SHARDS]
+    while ends[-1] * 2 < n_shards:
+        ends.append(ends[-1] * ROUND_GROWTH)
+    ends[-1] = max(n_shards, 1)
+    return list(zip([0, *ends[:-1]], ends, strict=True))
+
+
+def _searcher(shared, mean_length: float, top: int, since: int, upto: int, n_shards: int):
+    """Searches the shards for the block's queries.
 
-    A query that falls on no shard this way gets no floor.
+    Each query numbers the shards in an order of its own, by hash, and goes through those from
+    ``since`` to ``upto``; two shards may get the same number, but each has one for every query.
     """
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,10 +344,9 @@ def _searcher(shared, mean_length: float, top: int, one_in: int = 1):
                 shard = Shard(blob.as_py())
                 shard.prepare(mean_length)
                 at, there = shard.find(terms)
-                numbers = np.arange(len(names))
-                if one_in > 1:
-                    mark = mixed(mixed(names.astype(np.uint64)) + np.uint64(len(shard.docs)))
-                    numbers = numbers[mark % np.uint64(one_in) < TRIED_SHARDS]
+                own_number = mixed(shard.ids[:1].astype(np.uint64) + np.uint64(len(shard.docs)))
+                number = mixed(mixed(names.astype(np.uint64)) + own_number) % np.uint64(max(n_shards, 1))
+                numbers = np.flatnonzero((number >= since) & (number < upto))
                 queries, ids, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
                 for first in range(0, len(numbers), QUERIES_AT_ONCE):
                     some = numbers[first : first + QUERIES_AT_ONCE]

@@ -107,6 +107,14 @@ def test_search(spark, docs):
     assert sorted((r.query_id, r.doc_id, r["rank"]) for r in found) == sorted(plain.bm25(docs, queries))
 
 
+def test_search_rounds_cover_every_shard_once():
+    for n in (0, 1, 4, 7, 8, 9, 63, 64, 65, 5000):
+        runs = search.rounds(n)
+        assert runs[0][0] == 0 and runs[-1][1] == max(n, 1)
+        assert all(a[1] == b[0] < b[1] for a, b in zip(runs, runs[1:], strict=False))
+    assert len(search.rounds(100)) == 3
+
+
 def test_search_of_short_queries_over_many_shards(spark, docs):
     frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
     rng = random.Random(2)
@@ -114,6 +122,9 @@ def test_search_of_short_queries_over_many_shards(spark, docs):
     asked = spark.createDataFrame(queries, "query_id bigint, text string")
     found = search.top_documents(frame, asked, top=3, shard_bytes=30_000).collect()
     assert sorted((r.query_id, r.doc_id, r["rank"]) for r in found) == sorted(plain.bm25(docs, queries, 3))
+    # a shard for every few documents: several rounds, floors from the ones before
+    found = search.top_documents(frame, asked, top=3, shard_bytes=1_000).collect()
+    assert sorted((r.query_id, r.doc_id, r["rank"]) for r in found) == sorted(plain.bm25(docs, queries, 3))
 
 
 def test_quality_on_held_out_rows(spark):
