@@ -35,19 +35,24 @@ def classify(schema: T.StructType, exempt: list[str] | None = None) -> ColumnCla
     return ColumnClasses(numeric, categorical, date, kept)
 
 
+def quoted(name: str) -> str:
+    """A column name as Spark reads it whole, whatever dots or backticks it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def select_classes(
     df: DataFrame, kinds: tuple[str, ...] = ("numeric",), exempt: list[str] | None = None
 ) -> DataFrame:
     """Keep the columns of the given classes, without exempt fields, in schema order."""
     classes = classify(df.schema, exempt)
     wanted = {name for kind in kinds for name in getattr(classes, kind)}
-    return df.select(*[c for c in df.columns if c in wanted])
+    return df.select(*[quoted(c) for c in df.columns if c in wanted])
 
 
 def long_values(df: DataFrame, columns: list[str], ids: list[str], as_type: str) -> DataFrame:
     """One row per (row, column): ``ids``, ``column``, ``value``."""
-    typed = df.select(*ids, *[F.col(c).cast(as_type).alias(f"v_{c}") for c in columns])
-    long = typed.unpivot(ids, [f"v_{c}" for c in columns], "column", "value")
+    typed = df.select(*ids, *[F.col(quoted(c)).cast(as_type).alias(f"v_{c}") for c in columns])
+    long = typed.unpivot(ids, [quoted(f"v_{c}") for c in columns], "column", "value")
     return long.withColumn("column", F.substring("column", 3, 1000))
 
 

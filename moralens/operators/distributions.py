@@ -15,6 +15,7 @@ from moralens.operators.columns import (
     frequencies,
     long_values,
     numeric_summary,
+    quoted,
     require_columns,
     small_table,
 )
@@ -175,8 +176,8 @@ def crosstab(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     return table.select(
         "column",
         "value",
-        *[f"n_{c}" for c in classes],
-        *[(F.col(f"n_{c}") / F.col("total") * 100).alias(f"pct_{c}") for c in classes],
+        *[quoted(f"n_{c}") for c in classes],
+        *[(F.col(quoted(f"n_{c}")) / F.col("total") * 100).alias(f"pct_{c}") for c in classes],
     )
 
 
@@ -218,12 +219,12 @@ def month_crosstab(df: DataFrame, target: str = "pago", month: str = "mes") -> D
     classes = classes_of(df, target)
     pairs = df.where(F.col(target).isNotNull() & F.col(month).isNotNull())
     counts = pairs.groupBy(month).agg(*[F.count_if(F.col(target) == c).alias(f"n_{c}") for c in classes])
-    total = sum(F.col(f"n_{c}") for c in classes)
+    total = sum(F.col(quoted(f"n_{c}")) for c in classes)
     return counts.select(
         month_label(F.col(month)).alias(month),
         month_position(F.col(month)).alias("pos"),
-        *[f"n_{c}" for c in classes],
-        *[(F.col(f"n_{c}") / total * 100).alias(f"pct_{c}") for c in classes],
+        *[quoted(f"n_{c}") for c in classes],
+        *[(F.col(quoted(f"n_{c}")) / total * 100).alias(f"pct_{c}") for c in classes],
     ).orderBy("pos", month)
 
 

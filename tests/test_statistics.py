@@ -183,3 +183,13 @@ def test_too_few_complete_rows(spark):
     df = spark.createDataFrame([(i, float(i), i % 2) for i in range(8)], "row_id bigint, x double, pago int")
     row = bivariate.numeric_vs_binary(df, "pago", ["row_id"]).first()
     assert row["auc"] is None and row["correlation"] is None and row["missing_rate"] == 0
+
+
+def test_crosstab_of_names_with_dots(spark):
+    rows = [("x", "D.C.", "1"), ("x", "D.C.", "2"), ("x", "Cali", "1"), ("y", "Cali", "1")]
+    df = spark.createDataFrame(rows, "`a.b` string, clase string, mes string")
+    table = {r["value"]: r.asDict() for r in distributions.crosstab(df, ["a.b"], "clase").collect()}
+    assert (table["x"]["column"], table["x"]["n_D.C."], table["x"]["n_Cali"]) == ("a.b", 2, 1)
+    assert table["y"]["pct_D.C."] == 0
+    months = distributions.month_crosstab(df, "clase").collect()
+    assert [r["n_D.C."] for r in months] == [1, 1]
