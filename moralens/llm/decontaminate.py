@@ -195,19 +195,27 @@ def contaminated_pairs(documents: DataFrame, benchmark: DataFrame, coverage: flo
     Repeated documents and repeated items (same id and words) give one row; rows that share an id but
     not the text give the larger coverage. NULL ids are kept as NULL.
     """
+    best = F.max(F.struct("coverage", "tiled_words", "item_words")).alias("_best")
+    return tilings(documents, benchmark, ["doc_id"], coverage).groupBy("doc_id", "item_id").agg(best).select(
+        "doc_id", "item_id", "_best.item_words", "_best.tiled_words", "_best.coverage"
+    )
+
+
+def tilings(documents: DataFrame, benchmark: DataFrame, names: list[str], coverage: float) -> DataFrame:
+    """One row per document row and item whose coverage reaches the threshold, with the columns ``names`` of the document."""
     items = benchmark.select("item_id", seeding(F.col("text")).alias("_s"))
     items = items.select("item_id", "_s.words", "_s.seeds").where(F.size("seeds") > 0)
     items = stage(items.distinct().withColumn("_item", F.monotonically_increasing_id()), "items")
     seeds = items.select("_item", F.explode("seeds").alias("seed"))
     bitmap = seed_bitmap(seeds)
-    hits = documents.select("doc_id", seeding(F.col("text"), bitmap).alias("_s")).select("doc_id", "_s.*")
+    hits = documents.select(*names, seeding(F.col("text"), bitmap).alias("_s")).select(*names, "_s.*")
     hits = stage(hits.where(F.size("seeds") > 0).withColumn("_row", F.monotonically_increasing_id()), "seeded")
     pairs = hits.select("_row", F.explode("seeds").alias("seed")).join(seeds, "seed").select("_row", "_item").distinct()
-    tiled = (
-        pairs.join(hits.select("_row", "doc_id", "words", "places"), "_row")
+    return (
+        pairs.join(hits.select("_row", *names, "words", "places"), "_row")
         .join(items.select("_item", "item_id", F.col("words").alias("item")), "_item")
         .select(
-            "doc_id",
+            *names,
             "item_id",
             F.size("item").cast("bigint").alias("item_words"),
             tiling(F.col("words"), F.col("places"), F.col("item")).alias("tiled_words"),
@@ -215,13 +223,16 @@ def contaminated_pairs(documents: DataFrame, benchmark: DataFrame, coverage: flo
         .withColumn("coverage", F.col("tiled_words") / F.col("item_words"))
         .where(F.col("coverage") >= coverage)
     )
-    best = F.max(F.struct("coverage", "tiled_words", "item_words")).alias("_best")
-    return tiled.groupBy("doc_id", "item_id").agg(best).select(
-        "doc_id", "item_id", "_best.item_words", "_best.tiled_words", "_best.coverage"
-    )
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The documents, with their own columns, that no item contaminates; NULL ids match NULL ids."""
-    dirty = contaminated_pairs(documents, benchmark, coverage).select(F.col("doc_id").alias("_dirty_id")).distinct()
-    return documents.join(dirty, F.col("doc_id").eqNullSafe(F.col("_dirty_id")), "left_anti")
+    """The rows, with their own columns, whose text no item contaminates.
+
+    A row is named by its id, NULL or not, and a digest of its text: other texts under the id stay.
+    """
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    named = documents.select(F.col("doc_id").alias("_dirty_id"), digest.alias("_dirty_text"), "text")
+    names = ["_dirty_id", "_dirty_text"]
+    dirty = tilings(named, benchmark, names, coverage).select(*names).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_dirty_id")) & (digest == F.col("_dirty_text"))
+    return documents.join(dirty, same, "left_anti")

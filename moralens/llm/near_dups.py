@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from moralens.llm.components import components
 from moralens.llm.text import bytes_of, mixed, normalised, slices, windows_of, word_hashes
@@ -363,18 +364,28 @@ def near_duplicates(documents: DataFrame, threshold: float = SIMILARITY) -> Data
     return placed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "text_digest")
 
 
+def row_name(documents: DataFrame) -> Column:
+    """The doc_id; where it is NULL, a name made of the text: a number from 2^62 on, or a string behind all others."""
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    if isinstance(documents.schema["doc_id"].dataType, IntegralType):
+        number = F.xxhash64(digest).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+        return F.coalesce(F.col("doc_id").cast("bigint"), number)
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("\U0010ffff"), digest))
+
+
 def first_of_each_class(documents: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """One document of each class, that with the least doc_id, with its own columns.
 
-    Of repeated rows one stays; rows with a NULL doc_id are all kept, since nothing names them.
+    Of repeated rows one stays. Rows with a NULL doc_id are named by their text and come after all others.
     """
-    found = near_duplicates(documents, threshold).where(F.col("doc_id").isNotNull())
+    name = row_name(documents)
+    found = near_duplicates(documents.select(name.alias("doc_id"), "text"), threshold)
     found = found.groupBy("doc_id", "text_digest").agg(F.count("*").alias("_dup_rows"), F.first("class_id").alias("_dup_class"))
     # most documents are alone and never reach a shuffle
     special = found.where((F.col("_dup_rows") > 1) | (F.col("doc_id") != F.col("_dup_class")))
     special = stage(special.withColumnRenamed("doc_id", "_dup_id").withColumnRenamed("text_digest", "_dup_digest"), "special")
     own = [F.col(f"`{c}`") for c in documents.columns]
-    tested = _maybe_in(documents.withColumn("_dup_key", F.col("doc_id")), "_dup_key", special.select("_dup_id"))
+    tested = _maybe_in(documents.withColumn("_dup_key", name), "_dup_key", special.select("_dup_id"))
     digest = F.md5(F.coalesce("text", F.lit("")))
     order = [F.col(f"`{c}`") for c in ("source", "lang") if c in documents.columns]
     nth = Window.partitionBy("_dup_id", "_dup_digest").orderBy(*order, F.lit(0))

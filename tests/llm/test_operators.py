@@ -167,6 +167,39 @@ def test_odd_rows(spark, odd):
     assert {r.query_id for r in search.top_documents(odd, queries).collect()} == {1, 4, 6}
 
 
+def test_stages_judge_rows_that_share_an_id_by_their_text(spark):
+    passage = "over the lazy dog again and again today"
+    rows = [
+        (None, f"a dirty text {passage}"),
+        (None, "a clean text that nothing names at all"),
+        (None, None),
+        (7, f"another dirty one with {passage}"),
+        (7, "a clean text under the same number as the dirty one"),
+    ]
+    bench = spark.createDataFrame([(1, passage)], "item_id bigint, text string")
+    for kind in ("bigint", "string"):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+        clean = decontaminate.clean_documents(docs, bench).collect()
+        assert sorted(str(r.text) for r in clean) == sorted(str(rows[k][1]) for k in (1, 2, 4))
+
+
+def test_first_of_each_class_without_ids(spark):
+    base = [f"w{k}" for k in range(120)]
+    rows = [
+        (None, "a text that has no number"), (None, "a text that has no number"), (None, "a text of its own, alone"),
+        (None, " ".join(base)), (5, " ".join([*base[:60], "x", *base[60:]])),
+        (None, " ".join(f"v{w}" for w in base)), (None, " ".join([*[f"v{w}" for w in base], "y"])),
+    ]
+    for kind in ("bigint", "string"):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+        kept = near_dups.first_of_each_class(docs)
+        assert kept.dtypes == docs.dtypes
+        kept = [(r.doc_id, r.text) for r in kept.collect()]
+        assert [i for i, _ in kept if i is not None] == ([5] if kind == "bigint" else ["5"])
+        texts = [t for i, t in kept if i is None]
+        assert len(texts) == len(set(texts)) == 3 and {rows[0][1], rows[2][1]} < set(texts) and rows[3][1] not in texts
+
+
 def test_mixture(spark, odd):
     mixed = mixing.mixture(odd).collect()
     assert len(mixed) == odd.count()
