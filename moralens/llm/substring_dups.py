@@ -11,6 +11,9 @@ equal windows have equal anchors at equal offsets. So a few hundredths of the po
    more to the left; all intervals advance together, breadth first, and common prefixes follow from
    the interval's. A step's intervals of at least ``length`` common bytes are the classes of equal
    windows; intervals of one member are not extended, and nothing beyond ``length`` is derived.
+   An anchor that very many places share (a common phrase with different text beside it) is not
+   gathered: each slice sends its different windows over it by their hashes, once with the least
+   doc_id, and they spread over all buckets, so no task holds more than one entry per slice of any.
 3. Slices get the marks of their surroundings back and cut the bytes.
 
 Rows between the steps are packed arrays, so Spark shuffles few, small rows. No text is sent between
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +40,8 @@ SLICES_PER_BUCKET = 4
 PART_BYTES = 1 << 21
 LEAST_SLICES = 32
 CODE_BITS = 40  # codes only select candidates; bytes decide
+HOT_ENTRIES = 1 << 16  # anchors of more entries go by windows
+FEW = 8  # occurrences in one part of a slice that count as one entry
 LAST = np.iinfo(np.int64).max
 
 
@@ -126,6 +132,12 @@ def prefix_sums(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, powers(BASE_INVERSE, len(text) + 1)
 
 
+def window_keys(sums: np.ndarray, inverse: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
+    """64-bit keys of the ``length`` bytes from ``begin`` on."""
+    with np.errstate(over="ignore"):
+        return mixed((sums[begin + length] - sums[begin]) * inverse[begin])
+
+
 def equal_windows(group: np.ndarray, near: np.ndarray, far: np.ndarray, owner: np.ndarray, around: np.ndarray, length: int) -> np.ndarray:
     """For each surrounding, a bit for each window offset at which a smaller owner has the same window.
 
@@ -212,6 +224,24 @@ def _cut(packed: bytes, *kinds: tuple[str, int]) -> list[np.ndarray]:
     return out
 
 
+def _occurrences(counts: np.ndarray) -> np.ndarray:
+    """Counts in a byte's upper seven bits: zero for less than FEW, else the number of binary digits."""
+    return np.where(counts < FEW, 0, np.frexp(counts.astype(float))[1]).astype(np.uint8) << np.uint8(1)
+
+
+def _entries(seen: np.ndarray) -> np.ndarray:
+    """What counts of ``_occurrences`` stand for, at most; fewer than FEW are one."""
+    return np.int64(1) << (seen >> np.uint8(1)).astype(np.int64)
+
+
+def _joined(blobs: list, *kinds: tuple[str, int]) -> list[np.ndarray]:
+    """The arrays of several packed rows, one after the other."""
+    cuts = [_cut(b, *kinds) for b in blobs]
+    if cuts:
+        return [np.concatenate([c[k] for c in cuts]) for k in range(len(kinds))]
+    return [np.zeros((0, n) if n > 1 else 0, dtype=kind) for kind, n in kinds]
+
+
 def _code_bytes(codes: np.ndarray) -> np.ndarray:
     return codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : CODE_BITS // 8]
 
@@ -246,7 +276,7 @@ def repeated_bytes(documents: DataFrame, length: int = LENGTH) -> DataFrame:
             yield int(buckets[order[start]]), order[start:stop]
 
     def send_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Anchor codes of each slice, and whether two documents of this part share them."""
+        """Anchor codes of each slice, whether two documents of this part share them, and how often they occur."""
         for batch in batches:
             ids, numbers = _ids(batch.column("doc_id")), batch.column("slice").to_numpy()
             buckets, blobs = [], []
@@ -259,7 +289,7 @@ def repeated_bytes(documents: DataFrame, length: int = LENGTH) -> DataFrame:
                 if not len(codes):
                     continue
                 last = np.append(fresh[1:], len(codes)) - 1
-                codes, own, twice = codes[fresh], own[fresh], doc[fresh] != doc[last]
+                codes, own, twice = codes[fresh], own[fresh], (doc[fresh] != doc[last]) | _occurrences(last - fresh + 1)
                 order = np.argsort(own, kind="stable")
                 codes, own, twice = codes[order], own[order], twice[order]
                 for bucket, chosen in by_bucket(codes):
@@ -272,7 +302,7 @@ def repeated_bytes(documents: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     def answer_codes(table: pa.Table) -> pa.Table:
-        """Per slice, the codes that occur in another part or slice, or twice in one."""
+        """Per slice, the codes that occur in another part or slice, or twice in one, and whether they are hot."""
         cuts = [_cut(b.as_py(), ("<u4", 1), ("u1", CODE_BITS // 8), ("u1", 1)) for b in _chunk(table, "blob")]
         own, raw, twice = (np.concatenate([c[k] for c in cuts]) for k in range(3))
         codes = _codes(raw)
@@ -281,13 +311,17 @@ def repeated_bytes(documents: DataFrame, length: int = LENGTH) -> DataFrame:
         starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
         sizes = np.diff(np.append(starts, len(codes)))
         # entries of one slice from different parts count too: they are different rows
-        shared = np.repeat((sizes > 1) | (np.maximum.reduceat(twice, starts) > 0), sizes)
-        codes, own = codes[shared], own[shared]
+        shared = np.repeat((sizes > 1) | (np.maximum.reduceat(twice & np.uint8(1), starts) > 0), sizes)
+        hot = np.repeat(np.add.reduceat(_entries(twice), starts) > HOT_ENTRIES, sizes)
+        codes, own, hot = codes[shared], own[shared], hot[shared]
         order = np.lexsort((codes, own))
-        codes, own = codes[order], own[order]
+        codes, own, hot = codes[order], own[order], hot[order]
         starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))[: len(own)]
         stops = np.append(starts[1:], len(own))[: len(starts)]
-        found = [_packed(code=_code_bytes(np.unique(codes[a:b]))) for a, b in zip(starts, stops, strict=True)]
+        found = []
+        for a, b in zip(starts, stops, strict=True):
+            once, at = np.unique(codes[a:b], return_index=True)
+            found.append(_packed(code=_code_bytes(once), hot=hot[a:b][at].astype(np.uint8)))
         return pa.table({"slice": pa.array(own[starts].astype(np.int64)), "reply": pa.array(found, pa.binary())})
 
     def chosen_surroundings(anchors: Anchors, wanted: np.ndarray):
@@ -300,15 +334,41 @@ def repeated_bytes(documents: DataFrame, length: int = LENGTH) -> DataFrame:
         keys = surrounding_keys(sums, inverse, anchors.at[chosen], near, far, length)
         return chosen, codes[chosen], keys, near, far
 
+    def hot_windows(anchors: Anchors, chosen: np.ndarray, codes: np.ndarray, near: np.ndarray, far: np.ndarray):
+        """For each window offset, which of the chosen anchors have it, where it begins, and its key."""
+        if not len(chosen):
+            return
+        sums, inverse = prefix_sums(anchors.text)
+        for offset in range(before + 1):
+            here = np.flatnonzero((near <= offset) & (offset <= far))
+            begin = anchors.at[chosen[here]] - offset
+            yield here, begin, window_keys(sums, inverse, begin, length)
+
+    def least_of(codes: np.ndarray, keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each different (code, key) once, with its least doc_id."""
+        order = np.lexsort((doc, keys, codes))
+        codes, keys, doc = codes[order], keys[order], doc[order]
+        fresh = np.concatenate([[True], (codes[1:] != codes[:-1]) | (keys[1:] != keys[:-1])])[: len(codes)]
+        return codes[fresh], keys[fresh], doc[fresh]
+
     def send_surroundings(texts: pa.Table, replies: pa.Table) -> pa.Table:
-        wanted = [_codes(_cut(b.as_py(), ("u1", CODE_BITS // 8))[0]) for b in _chunk(replies, "reply")]
-        wanted = np.sort(np.concatenate(wanted)) if wanted else np.zeros(0, dtype=np.uint64)
+        raw, hot = _joined(_chunk(replies, "reply").to_pylist(), ("u1", CODE_BITS // 8), ("u1", 1))
+        wanted = _codes(raw)
+        order = np.argsort(wanted)
+        wanted, hot = wanted[order], hot[order] != 0
         ids = _ids(_chunk(texts, "doc_id"))
         found: list[tuple[np.ndarray, ...]] = []
+        spread: list[tuple[np.ndarray, ...]] = []
         for start, stop, text, rows in _parts(texts):
             anchors = Anchors(text, rows, length)
             chosen, codes, keys, near, far = chosen_surroundings(anchors, wanted)
             doc = ids[start:stop][anchors.row[chosen]]
+            if hot.any() and len(chosen):
+                often = hot[np.searchsorted(wanted, codes)]
+                own = [(codes[often][here], key, doc[often][here]) for here, _, key in hot_windows(anchors, *(a[often] for a in (chosen, codes, near, far)))]
+                if own:
+                    spread.append(least_of(*(np.concatenate([o[k] for o in own]) for k in range(3))))
+                chosen, codes, keys, near, far, doc = (a[~often] for a in (chosen, codes, keys, near, far, doc))
             order = np.lexsort((doc, keys, codes))
             codes, keys, doc, near, far = codes[order], keys[order], doc[order], near[order], far[order]
             at = anchors.at[chosen[order]]
@@ -319,7 +379,8 @@ def repeated_bytes(documents: DataFrame, length: int = LENGTH) -> DataFrame:
             around = np.where(inside, text[np.where(inside, at[:, None] + place, 0)] if len(at) else 0, 0).astype(np.uint8)
             found.append((codes, keys, doc, near, far, around))
         if not found:
-            return pa.table({"bucket": pa.array([], pa.int64()), "slice": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
+            none = {"bucket": pa.array([], pa.int64()), "slice": pa.array([], pa.int64())}
+            return pa.table({**none, "windows": pa.array([], pa.bool_()), "blob": pa.array([], pa.binary())})
         codes, keys, doc, near, far, around = (np.concatenate([f[k] for f in found]) for k in range(6))
         order = np.lexsort((doc, keys, codes))
         fresh = np.concatenate([[True], (codes[order][1:] != codes[order][:-1]) | (keys[order][1:] != keys[order][:-1])])
@@ -338,12 +399,54 @@ def repeated_bytes(documents: DataFrame, length: int = LENGTH) -> DataFrame:
                     around=around[own],
                 )
             )
+        n_around = len(blobs)
+        if spread:
+            codes, keys, doc = least_of(*(np.concatenate([f[k] for f in spread]) for k in range(3)))
+            for bucket, own in by_bucket(codes ^ keys):
+                buckets.append(bucket)
+                blobs.append(_packed(code=_code_bytes(codes[own]), key=keys[own].astype("<u8"), doc=doc[own].astype("<i8")))
         number = _chunk(texts, "slice")[0].as_py()
         return pa.table(
-            {"bucket": pa.array(buckets, pa.int64()), "slice": pa.array([number] * len(buckets), pa.int64()), "blob": pa.array(blobs, pa.binary())}
+            {
+                "bucket": pa.array(buckets, pa.int64()),
+                "slice": pa.array([number] * len(buckets), pa.int64()),
+                "windows": pa.array([k >= n_around for k in range(len(blobs))], pa.bool_()),
+                "blob": pa.array(blobs, pa.binary()),
+            }
         )
 
-    def answer_surroundings(table: pa.Table) -> pa.Table:
+    def answer_windows(table: pa.Table) -> tuple[list[int], list[bytes]]:
+        """For each slice's windows over hot anchors, the least doc_id that has it."""
+        numbers, blobs = _chunk(table, "slice").to_numpy(), _chunk(table, "blob").to_pylist()
+        raw, keys, doc = _joined(blobs, ("u1", CODE_BITS // 8), ("<u8", 1), ("<i8", 1))
+        width = CODE_BITS // 8 + 16
+        own = np.repeat(numbers, [int.from_bytes(b[:8], "little") // width for b in blobs])
+        codes = _codes(raw)
+        order = np.lexsort((doc, keys, codes))
+        codes, keys, doc, own = codes[order], keys[order], doc[order], own[order]
+        fresh = np.concatenate([[True], (codes[1:] != codes[:-1]) | (keys[1:] != keys[:-1])])
+        least = doc[fresh][np.cumsum(fresh) - 1]
+        order = np.argsort(own, kind="stable")
+        codes, keys, least, own = codes[order], keys[order], least[order], own[order]
+        starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        found = []
+        for a, b in zip(starts, np.append(starts[1:], len(own)), strict=True):
+            found.append(_packed(code=_code_bytes(codes[a:b]), key=keys[a:b].astype("<u8"), least=least[a:b].astype("<i8")))
+        return own[starts].tolist(), found
+
+    def answer_bucket(table: pa.Table) -> pa.Table:
+        by_windows = _chunk(table, "windows")
+        around = table.filter(pc.invert(by_windows))
+        numbers, found = answer_surroundings(around) if around.num_rows else ([], [])
+        n_around = len(found)
+        hot = table.filter(by_windows)
+        if hot.num_rows:
+            more, replies = answer_windows(hot)
+            numbers, found = numbers + more, found + replies
+        flags = pa.array([k >= n_around for k in range(len(found))], pa.bool_())
+        return pa.table({"slice": pa.array(numbers, pa.int64()), "windows": flags, "reply": pa.array(found, pa.binary())})
+
+    def answer_surroundings(table: pa.Table) -> tuple[list[int], list[bytes]]:
         """For each slice's surroundings, the least doc_id that has it and the marks of that document."""
         kinds = (("u1", CODE_BITS // 8), ("<u8", 1), ("<i8", 1), ("u1", 1), ("u1", 1), ("u1", before + length))
         cuts = [_cut(b.as_py(), *kinds) for b in _chunk(table, "blob")]
@@ -373,18 +476,21 @@ def repeated_bytes(documents: DataFrame, length: int = LENGTH) -> DataFrame:
                     code=_code_bytes(c[a:b]), key=k[a:b].astype("<u8"), least=least[a:b].astype("<i8"), marks=marked[a:b].astype("<u8")
                 )
             )
-        return pa.table({"slice": pa.array(own[starts].astype(np.int64)), "reply": pa.array(found, pa.binary())})
+        return own[starts].tolist(), found
 
     def cut_bytes(texts: pa.Table, replies: pa.Table) -> pa.Table:
-        kinds = (("u1", CODE_BITS // 8), ("<u8", 1), ("<i8", 1), ("<u8", 1))
-        cuts = [_cut(b.as_py(), *kinds) for b in _chunk(replies, "reply")]
-        if cuts:
-            raw, keys, least, marks = (np.concatenate([c[k] for c in cuts]) for k in range(4))
-        else:
-            raw, keys, least, marks = (np.zeros(shape, kind) for shape, kind in (((0, CODE_BITS // 8), "u1"), (0, "u8"), (0, "i8"), (0, "u8")))
-        wanted, known = np.unique(_codes(raw)), mixed(_codes(raw) ^ keys)
+        by_windows = _chunk(replies, "windows")
+        cool = _chunk(replies.filter(pc.invert(by_windows)), "reply").to_pylist()
+        raw, keys, least, marks = _joined(cool, ("u1", CODE_BITS // 8), ("<u8", 1), ("<i8", 1), ("<u8", 1))
+        known = mixed(_codes(raw) ^ keys)
         order = np.argsort(known, kind="stable")
         known, least, marks = known[order], least[order], marks[order]
+        hot = _chunk(replies.filter(by_windows), "reply").to_pylist()
+        hot_raw, hot_keys, hot_least = _joined(hot, ("u1", CODE_BITS // 8), ("<u8", 1), ("<i8", 1))
+        hot_codes, hot_names = np.unique(_codes(hot_raw)), mixed(_codes(hot_raw) ^ hot_keys)
+        order = np.argsort(hot_names, kind="stable")
+        hot_names, hot_least = hot_names[order], hot_least[order]
+        wanted = np.unique(np.concatenate([_codes(raw), hot_codes]))
         ids = _ids(_chunk(texts, "doc_id"))
         n_bytes, n_removed, n_spans, digests = [], [], [], []
         for start, stop, text, rows in _parts(texts):
@@ -403,6 +509,14 @@ def repeated_bytes(documents: DataFrame, length: int = LENGTH) -> DataFrame:
                     begin = place[here & ((doc > least[at]) | ((doc == least[at]) & own_mark))] - offset
                     np.add.at(depth, begin, 1)
                     np.add.at(depth, begin + length, -1)
+            often = np.isin(codes, hot_codes)
+            doc = ids[start:stop][anchors.row[chosen]][often]
+            for here, begin, key in hot_windows(anchors, *(a[often] for a in (chosen, codes, near, far))):
+                name = mixed(codes[often][here] ^ key)
+                at = np.minimum(np.searchsorted(hot_names, name), len(hot_names) - 1)
+                begin = begin[(hot_names[at] == name) & (doc[here] > hot_least[at])]
+                np.add.at(depth, begin, 1)
+                np.add.at(depth, begin + length, -1)
             gone = np.cumsum(depth[:-1]) > 0
             first = gone.copy()
             first[1:] &= ~gone[:-1]
@@ -427,16 +541,17 @@ def repeated_bytes(documents: DataFrame, length: int = LENGTH) -> DataFrame:
             }
         )
 
-    sliced = documents.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(n_slices)).alias("slice"), "text")
+    # ids are compared by value, so rows that share an id, or have none, need not share a slice
+    sliced = documents.select("doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_slices)).alias("slice"), "text")
     kind = documents.schema["doc_id"].dataType.simpleString()
     codes = sliced.mapInArrow(send_codes, "bucket bigint, blob binary")
     shared = codes.groupBy("bucket").applyInArrow(answer_codes, "slice bigint, reply binary")
     around = (
         sliced.groupBy("slice")
         .cogroup(shared.groupBy("slice"))
-        .applyInArrow(send_surroundings, "bucket bigint, slice bigint, blob binary")
+        .applyInArrow(send_surroundings, "bucket bigint, slice bigint, windows boolean, blob binary")
     )
-    marks = around.groupBy("bucket").applyInArrow(answer_surroundings, "slice bigint, reply binary")
+    marks = around.groupBy("bucket").applyInArrow(answer_bucket, "slice bigint, windows boolean, reply binary")
     return (
         sliced.groupBy("slice")
         .cogroup(marks.groupBy("slice"))

@@ -58,6 +58,39 @@ def test_repeated_bytes_of_periodic_texts(spark):
     assert {r[0]: tuple(r)[1:] for r in found} == plain.repeated_bytes(rows)
 
 
+@pytest.mark.parametrize("hot", [0, 12])
+def test_repeated_bytes_of_hot_anchors(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring_dups, "HOT_ENTRIES", hot)
+
+    def gathered(group, *rest, whole=substring_dups.equal_windows, limit=hot * substring_dups.FEW):
+        if len(group):
+            assert max((group == g).sum() for g in set(group)) <= limit
+        return whole(group, *rest)
+
+    monkeypatch.setattr(substring_dups, "equal_windows", gathered)
+    rng = random.Random(8)
+    line = "licensed to the holder named here, all rights reserved: "
+    rows = []
+    for i in range(150):
+        name = lambda: "".join(rng.choices("abcd", k=rng.randrange(3, 40)))
+        rows.append((i, rng.choice([line, line[:30], line[10:], "ab" * 30]).join(name() for _ in range(rng.randrange(1, 5)))))
+    found = substring_dups.repeated_bytes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r[0]: tuple(r)[1:] for r in found} == plain.repeated_bytes(rows)
+
+
+def test_repeated_bytes_spreads_rows_without_ids(spark, monkeypatch):
+    def parts(table, cut=substring_dups._parts):
+        assert table.num_rows < 100
+        return cut(table)
+
+    monkeypatch.setattr(substring_dups, "_parts", parts)
+    shared = "a passage of more than fifty bytes that every one of the rows has in it"
+    rows = [(None, f"{k} {shared}") for k in range(400)] + [(1, f"first {shared}"), (2, shared)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(16)
+    found = [tuple(r) for r in substring_dups.repeated_bytes(docs).collect()]
+    assert len(found) == 402 and {(i, n > 0) for i, _, n, _, _ in found} == {(None, True), (1, False), (2, True)}
+
+
 def test_near_duplicates(spark, docs):
     found = QUERIES["op5_near_duplicates"](spark, SMALL).collect()
     assert {r.doc_id: r.class_id for r in found} == plain.near_classes(docs)
