@@ -574,14 +574,14 @@ _prepared: dict[str, training.Prepared] = {}
 def prepared(panel: DataFrame) -> training.Prepared:
     key = panel.inputFiles()[0]
     if key not in _prepared:
-        _prepared[key] = training.prepare(panel.drop("departamento"), FLAGS)
+        _prepared[key] = training.prepare(panel, FLAGS)
     return _prepared[key]
 
 
 def _fitted(panel: DataFrame, model: str) -> DataFrame:
     data = prepared(panel)
     grid = {"all": (data.train, data.test, data.features)}
-    return training.fit_grid(grid, TARGET, models.TRIAL, [model], balanced_data=False)[0]
+    return training.fit_grid(grid, TARGET, models.FULL, [model], balanced_data=False)[0]
 
 
 @query
@@ -607,26 +607,26 @@ def fit_boosted_deep(panel):
 @query
 def importance(panel):
     data = prepared(panel)
-    return selection.feature_importance(data.train, TARGET, data.features, models.TRIAL)
+    return selection.feature_importance(data.train, TARGET, data.features, models.FULL)
 
 
 @query
 def rfe(panel):
     data = prepared(panel)
-    return selection.recursive_elimination(data.train, TARGET, data.features, models.TRIAL)
+    return selection.recursive_elimination(data.train, TARGET, data.features, models.FULL)
 
 
 @query
 def cv_subsets(panel):
     data = prepared(panel)
-    return selection.evaluate_features(data.train, "row_id", TARGET, data.features, models.TRIAL, k=3)
+    return selection.evaluate_features(data.train, "row_id", TARGET, data.features, models.FULL, selection.FOLDS)
 
 
 @query
 def select_features(panel):
     data = prepared(panel)
     chosen, ranking, scores = selection.select_features(
-        data.train, "row_id", TARGET, data.features, "importance", 10, models.TRIAL, 3
+        data.train, "row_id", TARGET, data.features, "importance", 10, models.FULL, selection.FOLDS
     )
     mean, std = selection.cv_summary(scores)
     return ranking.where(F.col("feature").isin(chosen)).select(
@@ -634,25 +634,27 @@ def select_features(panel):
     )
 
 
-def _training(panel: DataFrame) -> training.TrainingResult:
-    data = prepared(panel)
-    names = selection.top_features(selection.feature_importance(data.train, TARGET, data.features, models.TRIAL), 10)
-    return training.train_and_evaluate_models(
-        data.train, data.test, TARGET, data.features, names, list(reversed(names)), models.TRIAL
-    )
+def _rankings(data: training.Prepared) -> tuple[list[str], list[str]]:
+    """The best features by importance and by elimination, as the whole run picks them."""
+    by_importance = selection.feature_importance(data.train, TARGET, data.features, models.FULL)
+    by_elimination = selection.recursive_elimination(data.train, TARGET, data.features, models.FULL)
+    return selection.top_features(by_importance, 20), selection.top_features(by_elimination, 20)
 
 
 @query
 def train_eval(panel):
-    return _training(panel).comparisons["general"]
+    data = prepared(panel)
+    return training.train_and_evaluate_models(
+        data.train, data.test, TARGET, data.features, *_rankings(data), models.FULL
+    ).comparisons["general"]
 
 
 @query
 def train_balanced(panel):
     data = prepared(panel)
-    names = [f for f in data.features if f.startswith(("contacto", "duracion", "rango"))]
+    names = selection.in_schema_order(selection.combine_features(*_rankings(data)), data.features)
     return training.train_balanced_models(
-        data.train, data.test, "row_id", TARGET, names, models.TRIAL
+        data.train, data.test, "row_id", TARGET, names, models.FULL
     ).comparisons["general"]
 
 
