@@ -1,9 +1,9 @@
 """Personal data by anchor expansion.
 
 An Aho-Corasick automaton finds the anchors of a text: at-signs, plus signs, schemes and identifier
-cues; digit runs anchor addresses and cards. From each anchor a local parser expands to the left and
-right as far as its grammar allows and validates the result. Every parser is linear in the text, so
-a text without spaces costs no more than prose.
+cues. From each anchor a local parser expands to the left and right as far as its grammar allows and
+validates the result. Every parser is linear in the text, so a text without spaces costs no more than
+prose. Addresses (ip) and cards are found by plain patterns over the whole text.
 
 The base kinds equal the leftmost non-overlapping matches of their published patterns. A filter on
 the JVM lets only texts with a cue reach Python.
