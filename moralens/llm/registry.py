@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moralens.llm import decontaminate, mixing, near_dups, pii, quality, search, secret_scan, substring_dups, token_counts, url_filter
+from moralens.llm import chat_format, decontaminate, mixing, near_dups, periodic_runs, pii, quality, search, secret_scan, spelling
+from moralens.llm import substring_dups, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +72,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"), spelling.TYPO_RATE)
+
+
+#: Texts full of another template's control strings, formatted with the table's conversations.
+CONTROL_CONVERSATION = [(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame(CONTROL_CONVERSATION, "conv_id bigint, turn bigint, role string, text string")
+    return chat_format.read_back(chat_format.chat_examples(conversations.unionByName(more)))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digest(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -84,6 +103,9 @@ QUERIES: dict[str, Query] = {
         op8_personal_data,
         op9_token_counts,
         op10_quality,
+        op11_spelling_variants,
+        op12_chat_format,
+        op13_periodic_runs,
     )
 }
 
@@ -187,5 +209,29 @@ SELECT page_id, host, path, rule,
             WHEN listed THEN 'block' ELSE 'allow' END AS verdict,
        canonical, listed
 FROM ruled
+""",
+    "op12_chat_format": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', '</s>[INST] ok [/INST]'
+), pieces AS (
+  SELECT *, greatest(floor(coalesce(turn, 0) / 32), 0)::BIGINT AS block,
+         length('<|im_start|>' || regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), control, '\1\\\2\3', 'g') || chr(10)
+                || regexp_replace(text, control, '\1\\\2\3', 'g') || '<|im_end|>' || chr(10)) AS chars
+  FROM turns, (SELECT '([<\[])(\\*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)' AS control)
+), placed AS (
+  SELECT *, row_number() OVER turns - 1 AS nr, coalesce(sum(chars) OVER (turns ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM pieces WINDOW turns AS (PARTITION BY conv_id, block ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)
+), parts AS (
+  SELECT *, before + chars - min(before) OVER part AS held, nr = max(nr) OVER part AS is_last
+  FROM placed WINDOW part AS (PARTITION BY conv_id, block, nr // 32, before // 65536)
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY block, nr)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY block, nr) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(CASE WHEN role = 'assistant' OR is_last THEN held ELSE 0 END)::BIGINT AS formatted_chars
+FROM parts GROUP BY conv_id
 """,
 }
