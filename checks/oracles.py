@@ -164,29 +164,30 @@ def histogram_sql(columns: list[str], bins: str, by: bool) -> str:
     return f""", t AS ({tall(columns, ', pago')}),
 s AS (SELECT col, MIN(value) AS lo, MAX(value) AS hi, COUNT(value) AS n,
       QUANTILE_CONT(value, 0.75) - QUANTILE_CONT(value, 0.25) AS iqr FROM t GROUP BY col),
-b AS (SELECT col, lo, hi, CAST({bins} AS INT) AS bins FROM s),
+b AS (SELECT col, lo, hi, CAST({bins} AS BIGINT) AS bins FROM s),
 frame AS (SELECT col, lo, hi, bins, UNNEST(RANGE(bins)) AS bin FROM b),
 grid AS (SELECT * FROM frame {'CROSS JOIN (SELECT DISTINCT pago FROM clientes)' if by else ''}),
 c AS (SELECT col{key}, LEAST(FLOOR((value - lo) / (hi - lo) * bins), bins - 1) AS bin, COUNT(*) AS n
       FROM t JOIN b USING (col) WHERE value IS NOT NULL GROUP BY ALL)
-SELECT {'grid.pago, ' if by else ''}grid.col AS "column", CAST(grid.bin AS INT) AS bin, ROUND(lo + grid.bin * ((hi - lo) / bins), 4) AS from_value,
+SELECT {'grid.pago, ' if by else ''}grid.col AS "column", CAST(grid.bin AS BIGINT) AS bin, ROUND(lo + grid.bin * ((hi - lo) / bins), 4) AS from_value,
  ROUND(lo + (grid.bin + 1) * ((hi - lo) / bins), 4) AS to_value, CAST(COALESCE(c.n, 0) AS BIGINT) AS n
 FROM grid LEFT JOIN c ON grid.col = c.col AND grid.bin = c.bin {'AND grid.pago = c.pago' if by else ''}"""
 
 
-oracle("histogram", histogram_sql(FEATURES, "20", False))
+oracle("histogram", histogram_sql([*NUMERIC, "pago"], "20", False))
 oracle(
     "histogram_auto",
     histogram_sql(
-        ["saldo_capital", "dias_mora"],
-        "CEIL((hi - lo) / LEAST((hi - lo) / (LOG2(n) + 1), 2 * iqr / POWER(n, 1.0 / 3)))",
+        NUMERIC,
+        """CEIL((hi - lo) / CASE WHEN iqr > 0 THEN LEAST((hi - lo) / (LOG2(n) + 1), 2 * iqr / POWER(n, 1.0 / 3))
+ ELSE (hi - lo) / (LOG2(n) + 1) END)""",
         True,
     ),
 )
 def kde_sql(columns: list[str]) -> str:
     return f""", t AS ({tall(columns, ', pago')}),
 s AS (SELECT col, pago, COUNT(value) AS n, STDDEV_SAMP(value) * POWER(COUNT(value), -0.2) AS h, MIN(value) AS mn, MAX(value) AS mx
-      FROM t GROUP BY col, pago),
+      FROM t GROUP BY col, pago HAVING COUNT(value) > 1 AND STDDEV_SAMP(value) > 0),
 g AS (SELECT *, mn - 3 * h AS lo, (mx + 3 * h - (mn - 3 * h)) / 199 AS step FROM s),
 f AS (SELECT col, pago, value, COUNT(*) AS w FROM t WHERE value IS NOT NULL GROUP BY ALL),
 p AS (SELECT *, UNNEST(RANGE(200)) AS point FROM g)
@@ -195,7 +196,7 @@ SELECT p.col AS "column", p.pago, CAST(point AS INT) AS point, ROUND(lo + point
 FROM p JOIN f ON p.col = f.col AND p.pago = f.pago GROUP BY p.col, p.pago, point, lo, step, n, h"""
 
 
-oracle("kde", kde_sql(["saldo_capital", "dias_mora"]))
+oracle("kde", kde_sql(NUMERIC))
 oracle(
     "month_crosstab",
     """SELECT mes, CAST(SUBSTR(mes, 1, 4) AS INT) * 12 + CAST(SUBSTR(mes, 6, 2) AS INT) AS pos,
@@ -245,7 +246,7 @@ oracle(
  SELECT RANK() OVER (ORDER BY {a}) + (COUNT(*) OVER (PARTITION BY {a}) - 1) / 2.0 AS ra,
         RANK() OVER (ORDER BY {b}) + (COUNT(*) OVER (PARTITION BY {b}) - 1) / 2.0 AS rb
  FROM clientes WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
-        for a, b in pairs([*FEATURES, "pago"])
+        for a, b in pairs(SCHEMA_ORDER)
     ),
 )
 # Discordance needs pairs of distinct cells: the axis with few values is joined on its own values,
@@ -267,7 +268,7 @@ tx{i} AS (SELECT SUM(t * (t - 1) / 2.0) AS t FROM (SELECT SUM(n) AS t FROM k{i}
 ty{i} AS (SELECT SUM(t * (t - 1) / 2.0) AS t FROM (SELECT SUM(n) AS t FROM k{i} GROUP BY y))"""
         for i, (a, b) in enumerate(
             (a, b) if a == "saldo_capital" else ((b, a) if b == "saldo_capital" else (a, b))
-            for a, b in pairs([*FEATURES, "pago"])
+            for a, b in pairs(SCHEMA_ORDER)
         )
     )
     + "\n"
@@ -275,7 +276,7 @@ ty{i} AS (SELECT SUM(t * (t - 1) / 2.0) AS t FROM (SELECT SUM(n) AS t FROM k{i}
         f"""SELECT '{a}' AS var_1, '{b}' AS var_2,
  CASE WHEN (n0 - tx{i}.t) * (n0 - ty{i}.t) > 0 THEN ROUND(cd / SQRT((n0 - tx{i}.t) * (n0 - ty{i}.t)), 6) END AS r
 FROM s{i}, m{i}, tx{i}, ty{i}"""
-        for i, (a, b) in enumerate(pairs([*FEATURES, "pago"]))
+        for i, (a, b) in enumerate(pairs(SCHEMA_ORDER))
     ),
 )
 IQR = "QUANTILE_CONT(CAST({c} AS DOUBLE), 0.75) - QUANTILE_CONT(CAST({c} AS DOUBLE), 0.25)"
@@ -323,6 +324,49 @@ FROM t JOIN q USING {using} WHERE value IS NOT NULL GROUP BY col{key}, q1, media
 oracle("box_stats", box_sql(False))
 oracle("box_stats_by_class", box_sql(True))
 
+# Tail probabilities, by Simpson's rule over the densities
+
+
+def integral(density: str, low: str, high: str, steps: int = 2000) -> str:
+    """The integral of an SQL expression in ``v``."""
+    at = f"(({low}) + (({high}) - ({low})) * i / {steps}.0)"
+    weight = f"CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return (
+        f"((({high}) - ({low})) / {3 * steps}.0 * list_sum(list_transform(range(0, {steps} + 1), "
+        f"lambda i: {weight} * ({density.replace('{v}', at)}))))"
+    )
+
+
+def beta_share(x: str, a: str, b: str) -> str:
+    """Regularised incomplete beta function; its variable is exp(-v^2), which leaves no pole at either end."""
+    density = (
+        f"CASE WHEN {{v}} < 1e-9 THEN CASE WHEN ({b}) = 0.5 THEN 2.0 ELSE 0.0 END ELSE "
+        f"2 * {{v}} * exp(-({a}) * {{v}} * {{v}}) * power(1 - exp(-{{v}} * {{v}}), ({b}) - 1) END"
+    )
+    low = f"sqrt(-ln({x}))"
+    whole = integral(density, low, f"sqrt(-ln({x}) + 60.0 / ({a}))")
+    return f"CASE WHEN ({x}) >= 1 THEN 1.0 ELSE exp(lgamma(({a}) + ({b})) - lgamma({a}) - lgamma({b})) * {whole} END"
+
+
+def t_tail(r: str, n: str) -> str:
+    """Two-sided p-value of a correlation over n pairs."""
+    return f"CASE WHEN ({r}) * ({r}) >= 1 THEN 0.0 ELSE {beta_share(f'1 - ({r}) * ({r})', f'(({n}) - 2) / 2.0', '0.5')} END"
+
+
+def f_tail(f: str, between: str, within: str) -> str:
+    return beta_share(f"({within}) / (({within}) + ({between}) * ({f}))", f"({within}) / 2.0", f"({between}) / 2.0")
+
+
+def chi2_tail(statistic: str, dof: str) -> str:
+    half, a = f"(({statistic}) / 2)", f"(({dof}) / 2.0)"
+    density = (
+        f"CASE WHEN {{v}} = 0 THEN CASE WHEN {a} = 0.5 THEN 2 * exp(-lgamma({a})) ELSE 0.0 END ELSE "
+        f"2 * exp((2 * {a} - 1) * ln({{v}}) - {{v}} * {{v}} - lgamma({a})) END"
+    )
+    whole = integral(density, f"sqrt({half})", f"sqrt({half} + {a} + 60 + 12 * sqrt({a}))")
+    return f"CASE WHEN ({dof}) <= 0 THEN 1.0 ELSE {whole} END"
+
+
 # Relation to the target
 
 oracle(
@@ -383,20 +427,21 @@ oracle(
     + ", base AS ("
     + union(
         """SELECT '{c}' AS col, ROUND((COUNT(*) - COUNT({c})) / CAST(COUNT(*) AS DOUBLE), 6) AS missing_rate,
- COUNT(DISTINCT {c}) = 2 AS is_binary, COUNT({c}) AS n, ROUND(CORR(CAST({c} AS DOUBLE), saldo_capital), 6) AS correlation FROM clientes""",
+ COUNT(DISTINCT {c}) = 2 AS is_binary, COUNT({c}) AS n, ROUND(CORR(CAST({c} AS DOUBLE), saldo_capital), 6) AS correlation,
+ CORR(CAST({c} AS DOUBLE), saldo_capital) AS r FROM clientes""",
         OTHERS,
     )
-    + """) SELECT col AS "column", missing_rate, is_binary, n, correlation, ROUND(mutual_information, 6) AS mutual_information
-FROM base JOIN mi USING (col)""",
+    + f""") SELECT col AS "column", missing_rate, is_binary, n, correlation, ROUND({t_tail('r', 'n')}, 6) AS correlation_pvalue,
+ ROUND(mutual_information, 6) AS mutual_information FROM base JOIN mi USING (col)""",
 )
 oracle(
     "anova",
     f""", t AS ({tall([*NUMERIC, 'pago'], ', banco')}),
 g AS (SELECT col, banco, COUNT(*) AS n, AVG(value) AS m, VAR_POP(value) * COUNT(*) AS ss FROM t WHERE value IS NOT NULL GROUP BY col, banco),
-a AS (SELECT col, SUM(n * m) / SUM(n) AS grand FROM g GROUP BY col)
-SELECT col AS "column", CAST(SUM(n) AS BIGINT) AS n, COUNT(*) AS groups,
- ROUND((SUM(n * (m - grand) * (m - grand)) / (COUNT(*) - 1)) / (SUM(ss) / (SUM(n) - COUNT(*))), 6) AS anova_f_stat
-FROM g JOIN a USING (col) GROUP BY col""",
+a AS (SELECT col, SUM(n * m) / SUM(n) AS grand FROM g GROUP BY col),
+f AS (SELECT col, CAST(SUM(n) AS BIGINT) AS n, COUNT(*) AS groups,
+ (SUM(n * (m - grand) * (m - grand)) / (COUNT(*) - 1)) / (SUM(ss) / (SUM(n) - COUNT(*))) AS f FROM g JOIN a USING (col) GROUP BY col)
+SELECT col AS "column", n, groups, ROUND(f, 6) AS anova_f_stat, ROUND({f_tail('f', 'groups - 1', 'n - groups')}, 6) AS anova_p_value FROM f""",
 )
 oracle(
     "group_means",
@@ -414,7 +459,8 @@ full_cells AS (SELECT vr.col, vr.value, vc.pago, nv * np / CAST(total AS DOUBLE)
 chi AS (SELECT col, CAST(MAX(total) AS BIGINT) AS n,
   SUM(POWER(ABS(n - e) - CASE WHEN (r - 1) * (k - 1) = 1 THEN LEAST(0.5, ABS(n - e)) ELSE 0 END, 2) / e) AS chi2_statistic,
   MAX((r - 1) * (k - 1)) AS chi2_dof FROM full_cells JOIN shape USING (col) GROUP BY col)"""
-oracle("chi2", CHI2 + """ SELECT col AS "column", n, ROUND(chi2_statistic, 6) AS chi2_statistic, chi2_dof FROM chi""")
+oracle("chi2", CHI2 + """ SELECT col AS "column", n, ROUND(chi2_statistic, 6) AS chi2_statistic, chi2_dof,
+ ROUND({}, 6) AS chi2_p_value FROM chi""".format(chi2_tail("chi2_statistic", "chi2_dof")))
 oracle(
     "mutual_info",
     information([*FEATURES, *FLAGS], CATEGORIES, "pago", False)
@@ -423,7 +469,7 @@ oracle(
 
 TALL_STATS = {
     "numeric": ["missing_rate", "is_binary", "auc", "correlation", "mutual_information", "mean_0", "mean_1"],
-    "categorical": ["missing_rate", "unique_categories", "is_binary", "chi2_statistic", "chi2_dof", "mutual_information"],
+    "categorical": ["missing_rate", "unique_categories", "is_binary", "chi2_statistic", "chi2_dof", "chi2_p_value", "mutual_information"],
 }
 oracle(
     "bivariate_report",
@@ -439,7 +485,7 @@ oracle(
     + information([], CATEGORIES, "pago", False).replace("cells AS", "ccells AS").replace("margins AS", "cmargins AS")
     .replace("FROM cells", "FROM ccells").replace("FROM margins", "FROM cmargins").replace("mi AS", "cmi AS")
     + ", wide_n AS (SELECT * FROM base JOIN auc USING (col) JOIN mi USING (col))"
-    + ", wide_c AS (SELECT * FROM cat JOIN chi USING (col) JOIN cmi USING (col))"
+    + f", wide_c AS (SELECT *, {chi2_tail('chi2_statistic', 'chi2_dof')} AS chi2_p_value FROM cat JOIN chi USING (col) JOIN cmi USING (col))"
     + "\nSELECT * FROM ("
     + "\nUNION ALL\n".join(
         chain(
@@ -447,7 +493,8 @@ oracle(
                 f"""SELECT '{kind}' AS kind, col AS "column", '{s}' AS statistic, ROUND(CAST({s} AS DOUBLE), 4) AS value FROM {table}"""
                 for kind, table in (("numeric", "wide_n"), ("categorical", "wide_c"))
                 for s in TALL_STATS[kind]
-            )
+            ),
+            ["SELECT 'categorical' AS kind, col AS \"column\", 'n|' || value || '|' || pago AS statistic, CAST(n AS DOUBLE) AS value FROM o"],
         )
     )
     + ") WHERE value IS NOT NULL",
@@ -455,13 +502,14 @@ oracle(
 
 # Preparation
 
-PREP_NUMERIC = ["saldo_capital", "dias_mora", "duracion_llamadas_ultimos_6meses"]
+PREP_NUMERIC = FEATURES
 IMPUTED = ["genero", "rango_edad_probable", "dias_mora", "meses_desde_ultimo_pago", "antiguedad_deuda"]
 # The categories the panel can hold, in sorted order.
 CATEGORY_VALUES = {
     "tipo_documento": ["C", "E"],
     "genero": [" ", "F", "HOMBRE", "M", "missing"],
     "rango_edad_probable": ["25-30", "31-35", "36-40", "66+", "missing"],
+    "departamento": sorted([*[f"NATION_{i}" for i in range(25) if i != 7], "missing"]),  # 7 is the gap
     "banco": ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"],
 }
 WITH_GAPS = [
@@ -547,7 +595,15 @@ oracle("prep_binary", f"SELECT row_id, {FILLED} FROM clientes")
 oracle(
     "prep_categorical",
     f"""SELECT row_id, COALESCE(genero, 'missing') AS genero_imputed, COALESCE(departamento, 'missing') AS departamento_imputed,
- {flag('departamento')} AS departamento_flag, {ONE_HOT} FROM clientes""",
+ {ONE_HOT} FROM clientes""",
+)
+# Categories numbered by column, then value; a row lists the numbers of its own
+oracle(
+    "prep_sparse",
+    f""", t AS ({' UNION ALL '.join(f"SELECT row_id, {i} AS place, '{c}' AS col, COALESCE({c}, 'missing') AS value FROM clientes" for i, c in enumerate(CATEGORIES))}),
+d AS (SELECT col, value, ROW_NUMBER() OVER (ORDER BY place, value) - 1 AS pos FROM (SELECT DISTINCT place, col, value FROM t))
+SELECT row_id, (SELECT CAST(COUNT(*) AS INT) FROM d) AS size, STRING_AGG(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS indices
+FROM t JOIN d USING (col, value) GROUP BY row_id""",
 )
 SPLIT = """, hashed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY pago ORDER BY md5('42:' || CAST(row_id AS VARCHAR)), row_id) AS hash_rank,
   COUNT(*) OVER (PARTITION BY pago) AS class_size FROM clientes),
@@ -592,7 +648,7 @@ near AS (SELECT row_id, pos, neighbour FROM (
   FROM minority a JOIN minority b ON a.row_id <> b.row_id) WHERE pos < 5)"""
 
 
-oracle("neighbours", neighbours_sql(SMOTE_FEATURES[1:]) + " SELECT row_id, CAST(pos AS INT) AS pos, neighbour FROM near")
+oracle("neighbours", neighbours_sql(SMOTE_FEATURES) + " SELECT row_id, CAST(pos AS INT) AS pos, neighbour FROM near")
 oracle(
     "smote",
     DRAWS
@@ -729,7 +785,7 @@ oracle(
 FROM q WHERE missing > 0 QUALIFY ROW_NUMBER() OVER (ORDER BY pct_missing DESC, "column") <= 5""",
 )
 oracle("sink_panel", "SELECT row_id, mes, saldo_capital FROM clientes WHERE mes BETWEEN '1996-01' AND '1996-12'")
-oracle("sink_model", f", {scaling('clientes')} SELECT row_id, {SCALED}, {FILLED} FROM clientes, {FITS}")
+oracle("sink_model", f", {scaling('clientes')} SELECT row_id, {SCALED}, {FILLED}, {ONE_HOT} FROM clientes, {FITS}")
 ORACLES["load_gate"] = ORACLES["quality_rules"]
 
 # The exploratory report: each table's SQL, its numbers summed per label

@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,15 +19,19 @@ from moralens.operators import (
     correlation,
     distributions,
     models,
+    newton,
     outliers,
     preparation,
     quality,
     selection,
+    sparse_encoding,
     splitting,
 )
 from moralens.operators import metrics as metrics_ops
+from moralens.operators import tree_contributions as tree_contributions_ops
 from moralens.operators.columns import classify, select_classes
 from moralens.operators.neighbours import nearest_neighbours
+from moralens.operators.training_matrix import training_matrix
 from moralens.plans import eda, reports, training
 from moralens.sources import readers, sinks
 from moralens.staging import staging_root
@@ -144,19 +149,23 @@ def binary_counts(panel):
     return distributions.binary_counts(panel, TARGET, EXEMPT)
 
 
+def numeric_columns(panel: DataFrame) -> list[str]:
+    return classify(panel.schema, EXEMPT).numeric
+
+
 @query
 def histogram(panel):
-    return rounded(distributions.histogram(panel, FEATURES, 20), 4)
+    return rounded(distributions.histogram(panel, numeric_columns(panel), 20), 4)
 
 
 @query
 def histogram_auto(panel):
-    return rounded(distributions.histogram(panel, ["saldo_capital", "dias_mora"], "auto", TARGET), 4)
+    return rounded(distributions.histogram(panel, [c for c in numeric_columns(panel) if c != TARGET], "auto", TARGET), 4)
 
 
 @query
 def kde(panel):
-    found = distributions.density(panel, ["saldo_capital", "dias_mora"], TARGET)
+    found = distributions.density(panel, [c for c in numeric_columns(panel) if c != TARGET], TARGET)
     scaled = found.withColumn("density", F.col("density") * 1e6)
     return rounded(scaled, 4)
 
@@ -196,12 +205,12 @@ def corr_pearson(panel):
 
 @query
 def corr_spearman(panel):
-    return rounded(correlation.correlation_matrix(panel, [*FEATURES, TARGET], "spearman"))
+    return rounded(correlation.correlation_matrix(panel, numeric_columns(panel), "spearman"))
 
 
 @query
 def corr_kendall(panel):
-    return rounded(correlation.correlation_matrix(panel, [*FEATURES, TARGET], "kendall"))
+    return rounded(correlation.correlation_matrix(panel, numeric_columns(panel), "kendall"))
 
 
 @query
@@ -250,12 +259,12 @@ def num_vs_binary(panel):
 @query
 def num_vs_continuous(panel):
     found = bivariate.numeric_vs_continuous(panel, "saldo_capital", EXEMPT)
-    return rounded(found.drop("correlation_pvalue"))
+    return rounded(found)
 
 
 @query
 def anova(panel):
-    return rounded(bivariate.anova(panel, "banco", EXEMPT).drop("anova_p_value"))
+    return rounded(bivariate.anova(panel, "banco", EXEMPT))
 
 
 @query
@@ -265,7 +274,7 @@ def group_means(panel):
 
 @query
 def chi2(panel):
-    return rounded(bivariate.chi_square(panel, TARGET, CATEGORIES).drop("chi2_p_value"))
+    return rounded(bivariate.chi_square(panel, TARGET, CATEGORIES))
 
 
 @query
@@ -275,14 +284,13 @@ def mutual_info(panel):
 
 @query
 def bivariate_report(panel):
-    found = bivariate.bivariate_report(panel, TARGET, EXEMPT)
-    return rounded(found.where(~F.col("statistic").endswith("p_value")), 4)
+    return rounded(bivariate.bivariate_report(panel, TARGET, EXEMPT), 4)
 
 
 # Preparation
 
-PREP_NUMERIC = ["saldo_capital", "dias_mora", "duracion_llamadas_ultimos_6meses"]
-PREP_CATEGORIES = ["tipo_documento", "genero", "rango_edad_probable", "banco"]
+PREP_NUMERIC = FEATURES
+PREP_CATEGORIES = CATEGORIES
 IMPUTED = ["genero", "rango_edad_probable", "dias_mora", "meses_desde_ultimo_pago", "antiguedad_deuda"]
 
 
@@ -350,12 +358,27 @@ def prep_binary(panel):
 def prep_categorical(panel):
     filled = preparation.CategoricalImputerWithFlag(inputCols=["genero", "departamento"]).transform(panel)
     fitted = preparation.OneHotColumns(inputCols=PREP_CATEGORIES).fit(panel)
-    filled = filled.drop("genero_flag")
+    filled = filled.drop("genero_flag", "departamento_flag")
     return fitted.transform(filled).select(
-        "row_id", "genero_imputed", "departamento_imputed", "departamento_flag", *fitted.output_columns()
+        "row_id", "genero_imputed", "departamento_imputed", *fitted.output_columns()
     )
 
 
+@query
+def prep_sparse(panel):
+    """The same categories as one sparse vector per row."""
+    encoder = sparse_encoding.fit_categories(panel, PREP_CATEGORIES)
+    vectors = encoder.transform(panel, "row_id")
+    indices = vector_indices(F.col("categories"))
+    return vectors.select("row_id", F.lit(encoder.size).alias("size"), F.array_join(indices.cast("array<string>"), ",").alias("indices"))
+
+
+def vector_indices(vector):
+    """Places of the ones of a 0/1 vector."""
+    dense = vector_to_array(vector)
+    return F.filter(F.transform(dense, lambda v, i: F.when(v > 0, i)), lambda i: i.isNotNull())
+
+
 @query
 def prep_full(panel):
     train, test = splitting.split_data(panel, "row_id", TARGET)
@@ -401,7 +424,7 @@ def smote(panel):
 @query
 def neighbours(panel):
     paying = _filled(panel.where(F.col(TARGET) == 1))
-    return nearest_neighbours(paying, "row_id", SMOTE_FEATURES[1:], 5).drop("x")
+    return nearest_neighbours(paying, "row_id", SMOTE_FEATURES, 5).drop("x")
 
 
 @query
@@ -552,7 +575,7 @@ def sink_panel(panel):
 
 @query
 def sink_model(panel):
-    fitted = preparation.create_preprocessor(PREP_NUMERIC, FLAGS, []).fit(panel)
+    fitted = preparation.create_preprocessor(PREP_NUMERIC, FLAGS, PREP_CATEGORIES).fit(panel)
     path = sinks.save_model(fitted, _target_path(panel.sparkSession, "preprocessor"))
     loaded = sinks.load_model(path)
     return rounded(loaded.transform(panel).select("row_id", *preparation.feature_names(loaded)))
@@ -586,7 +609,23 @@ def _fitted(panel: DataFrame, model: str) -> DataFrame:
 
 @query
 def fit_lr(panel):
-    return _fitted(panel, models.LOGISTIC)
+    return rounded(_fitted(panel, models.LOGISTIC), 4)
+
+
+@query
+def lr_coefficients(panel):
+    """The optimum of the same fit by Newton steps; the twin finds it in SQL."""
+    data = prepared(panel)
+    return rounded(newton.newton_logistic(data.train, TARGET, data.features).table(panel.sparkSession), 4)
+
+
+@query
+def tree_contributions(panel):
+    """What each feature adds to the boosted model's score of the test rows."""
+    data = prepared(panel)
+    fitted = models.fit_model(models.BOOSTING, data.train, TARGET, data.features, models.FULL)
+    added = tree_contributions_ops.tree_contributions(fitted, data.test, "row_id", data.features)
+    return tree_contributions_ops.mean_contributions(added, data.features)
 
 
 @query
@@ -636,8 +675,9 @@ def select_features(panel):
 
 def _rankings(data: training.Prepared) -> tuple[list[str], list[str]]:
     """The best features by importance and by elimination, as the whole run picks them."""
-    by_importance = selection.feature_importance(data.train, TARGET, data.features, models.FULL)
-    by_elimination = selection.recursive_elimination(data.train, TARGET, data.features, models.FULL)
+    matrix = training_matrix(data.train, TARGET, data.features)
+    by_importance = selection.feature_importance(matrix, TARGET, data.features, models.FULL)
+    by_elimination = selection.recursive_elimination(matrix, TARGET, data.features, models.FULL)
     return selection.top_features(by_importance, 20), selection.top_features(by_elimination, 20)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from moralens.operators.columns import (
     long_values,
     numeric_summary,
     require_columns,
+    small_table,
 )
 from moralens.staging import stage
 
@@ -99,33 +101,120 @@ def feature_auc(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     return auc_of_counts(counts, ["column"], "value")
 
 
-def numeric_vs_binary(df: DataFrame, target: str, exempt: list[str] | None = None) -> DataFrame:
-    """Missing rate, two-valuedness, AUC, Pearson r, class means and mutual information per column."""
-    columns = numeric_features(df, target, exempt)
-    classes = classes_of(df, target)
-    two_valued = binary_columns(df, columns)
-    means = (
-        numeric_summary(df, columns, target)
-        .groupBy("column")
-        .agg(*[F.max(F.when(F.col(target) == c, F.col("mean"))).alias(f"mean_{c}") for c in classes])
+def class_frequencies(df: DataFrame, columns: list[str], target: str) -> DataFrame:
+    """Staged ``column, _y, value, n``, NULLs included: all that the statistics against classes need.
+
+    Hot values and classes combine before the one shuffle; everything else works on this reduced table.
+    """
+    return stage(frequencies(df.withColumn("_y", F.col(target)), columns, ["_y"], "double"), "class-frequencies")
+
+
+def _class_summary(counted: DataFrame, classes: list) -> dict[str, dict]:
+    """Per column: rows, gaps, complete pairs, different values, and the mean per class (index) and over the pairs."""
+    value, n, y = F.col("value"), F.col("n"), F.col("_y")
+    there = value.isNotNull() & y.isNotNull()
+    mean = lambda which: F.sum(F.when(which, n * value)) / F.sum(F.when(which, n))
+    found = counted.groupBy("column").agg(
+        F.sum("n").alias("rows"),
+        F.sum(F.when(value.isNull(), n).otherwise(0)).alias("gaps"),
+        F.sum(F.when(there, n).otherwise(0)).alias("pairs"),
+        F.sum(F.when(there & (y == classes[-1]), n).otherwise(0)).alias("positives"),
+        F.count_distinct(value).alias("different"),
+        mean(there).alias("mean"),
+        *[mean(there & (y == c)).alias(f"mean_{i}") for i, c in enumerate(classes)],
     )
-    mutual = mutual_information(df, target, columns, [])
-    enough = F.col("n") > MIN_COMPLETE_ROWS
-    joined = (
-        _pair_summary(df, columns, target)
-        .join(feature_auc(df, columns, target), "column", "left")
-        .join(means, "column", "left")
-        .join(mutual, "column", "left")
+    return {r["column"]: r.asDict() for r in found.collect()}
+
+
+def _class_correlations(counted: DataFrame, summary: dict[str, dict], last) -> dict[str, float | None]:
+    """Pearson r of each column with the indicator of the largest class, from sums around the means."""
+    spark = counted.sparkSession
+    centres = [(c, float(s["mean"]), s["positives"] / s["pairs"]) for c, s in summary.items() if s["pairs"]]
+    means = small_table(spark, centres, "column string, mx double, my double")
+    met = counted.where(F.col("value").isNotNull() & F.col("_y").isNotNull()).join(means, "column")
+    x, y, n = F.col("value") - F.col("mx"), (F.col("_y") == last).cast("double") - F.col("my"), F.col("n")
+    sums = met.groupBy("column").agg(F.sum(n * x * y).alias("xy"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"))
+    out: dict[str, float | None] = {}
+    for r in sums.collect():
+        spread = math.sqrt(r["xx"]) * math.sqrt(r["yy"])
+        out[r["column"]] = r["xy"] / spread if spread > 0 else None
+    return out
+
+
+def _areas_and_deciles(counted: DataFrame, summary: dict[str, dict], last) -> dict[str, tuple[float | None, list[float]]]:
+    """Per column the tie-exact AUC and the different deciles, both from one running count of the distinct values."""
+    pairs = counted.where(F.col("value").isNotNull() & F.col("_y").isNotNull())
+    values = pairs.groupBy("column", "value").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("_y") == last, F.col("n")).otherwise(0)).alias("positives")
     )
-    return joined.select(
-        "column",
-        "missing_rate",
-        F.col("column").isin(two_valued).alias("is_binary"),
-        *[
-            F.when(enough, F.col(c)).alias(c)
-            for c in ["auc", "correlation", "mutual_information", *[f"mean_{c}" for c in classes]]
-        ],
+    sizes = small_table(counted.sparkSession, [(c, s["pairs"]) for c, s in summary.items()], "column string, pairs bigint")
+    ranked = prefix_counts(values, ["column"], "value", ["n"]).join(sizes, "column")
+    rank = F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2
+    place = lambda p: F.lit(p) * (F.col("pairs") - 1)
+    at = lambda r: F.min(F.when(F.col("cum_n") > r, F.col("value")))
+    ends = [e for i, p in enumerate(DECILES) for e in (at(F.floor(place(p))).alias(f"low_{i}"), at(F.ceil(place(p))).alias(f"high_{i}"))]
+    found = ranked.groupBy("column").agg(
+        F.sum(F.col("positives") * rank).alias("rank_sum"), F.sum("positives").cast("double").alias("n1"), F.count("*").alias("distinct"), *ends
     )
+    out = {}
+    for r in found.collect():
+        n1, pairs_ = r["n1"], summary[r["column"]]["pairs"]
+        n0 = pairs_ - n1
+        area = (r["rank_sum"] - n1 * (n1 + 1) / 2) / (n1 * n0) if n1 and n0 and r["distinct"] > 1 else None
+        cuts = set()
+        for i, p in enumerate(DECILES):
+            low, high, share = r[f"low_{i}"], r[f"high_{i}"], p * (pairs_ - 1) % 1
+            cuts.add(low if low == high else low + (high - low) * share)
+        out[r["column"]] = (area, sorted(cuts))
+    return out
+
+
+def _class_information(counted: DataFrame, cuts: dict[str, list[float]]) -> dict[str, float]:
+    """Plug-in mutual information (nats) of each column, cut at ``cuts``, with the classes."""
+    bounds = small_table(counted.sparkSession, list(cuts.items()), "column string, cuts array<double>")
+    pairs = counted.where(F.col("value").isNotNull() & F.col("_y").isNotNull()).join(bounds, "column")
+    bin_of = F.size(F.filter("cuts", lambda c: c < F.col("value")))
+    # ten bins of each class and column
+    cells = pairs.groupBy("column", bin_of.alias("bin"), "_y").agg(F.sum("n").alias("n")).collect()
+    of: dict[str, list] = {}
+    for r in cells:
+        of.setdefault(r["column"], []).append((r["bin"], r["_y"], r["n"]))
+    out = {}
+    for column, own in of.items():
+        rows, classes = Counter(), Counter()
+        for b, y, n in own:
+            rows[b] += n
+            classes[y] += n
+        total = sum(rows.values())
+        out[column] = math.fsum(n / total * math.log(n * total / (rows[b] * classes[y])) for b, y, n in own)
+    return out
+
+
+def numeric_vs_binary(df: DataFrame, target: str, exempt: list[str] | None = None) -> DataFrame:
+    """Missing rate, two-valuedness, AUC, Pearson r, class means and mutual information per column.
+
+    The larger class counts as 1, whatever the target's type. All figures come from one table of
+    frequencies per (column, class, value).
+    """
+    columns = numeric_features(df, target, exempt)
+    classes = classes_of(df, target)
+    names = ["auc", "correlation", "mutual_information", *[f"mean_{c}" for c in classes]]
+    schema = ", ".join(["column string, missing_rate double, is_binary boolean", *[f"`{n}` double" for n in names]])
+    if not columns or not classes:
+        empty = [(c, None, None, *[None] * len(names)) for c in columns]
+        return df.sparkSession.createDataFrame(empty, schema)
+    counted = class_frequencies(df, columns, target)
+    summary = _class_summary(counted, classes)
+    correlations = _class_correlations(counted, summary, classes[-1])
+    ranked = _areas_and_deciles(counted, summary, classes[-1])
+    information = _class_information(counted, {c: cuts for c, (_, cuts) in ranked.items()})
+    rows = []
+    for c, s in summary.items():
+        found = [None] * len(names)
+        if s["pairs"] > MIN_COMPLETE_ROWS:
+            found = [ranked[c][0], correlations.get(c), information.get(c), *[s[f"mean_{i}"] for i in range(len(classes))]]
+        rows.append((c, s["gaps"] / s["rows"], s["different"] == 2, *found))
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def numeric_vs_continuous(df: DataFrame, target: str, exempt: list[str] | None = None) -> DataFrame:
@@ -309,6 +398,11 @@ def bivariate_report(df: DataFrame, target: str, exempt: list[str] | None = None
         add(base, "categorical")
         add(chi_square(df, target, categorical).drop("n"), "categorical")
         add(mutual_information(df, target, [], categorical, kind == "numeric"), "categorical")
+        if kind != "numeric":
+            # the contingency tables themselves, a row per cell
+            cell = F.concat_ws("|", F.lit("n"), "value", F.col(target).cast("string"))
+            cells = contingency(df, categorical, target).select("column", cell.alias("statistic"), F.col("n").cast("double").alias("value"))
+            parts.append(cells.select(F.lit("categorical").alias("kind"), "column", "statistic", "value"))
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part)

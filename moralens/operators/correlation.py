@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moralens.functions.joins import lookup
@@ -30,13 +30,13 @@ def correlation_matrix(
     raise ValueError(f"unknown correlation method '{method}': use 'pearson', 'spearman' or 'kendall'")
 
 
-def _pair_correlations(df: DataFrame, pairs: list[tuple[str, str, str, str]]) -> DataFrame:
-    """Tall correlations of (label, label, column, column).
+def _pair_correlations(df: DataFrame, pairs: list[tuple[str, str, Column, Column]]) -> DataFrame:
+    """Tall correlations of (label, label, expression, expression).
 
     One scan: each row fans out to its complete pairs, which combine at once into one partial row per
     pair and task. Fanned out, the generated code stays small; a wide aggregate of all pairs does not.
     """
-    side = lambda c: F.col(c).cast("double")
+    side = lambda c: c.cast("double")
     fan = F.array(
         *[
             F.struct(F.lit(i).alias("pair"), side(x).alias("x"), side(y).alias("y"))
@@ -54,7 +54,7 @@ def _pair_correlations(df: DataFrame, pairs: list[tuple[str, str, str, str]]) ->
 
 def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
     """All pairs in one map-side-combined scan."""
-    return _pair_correlations(df, [(a, b, a, b) for a, b in column_pairs(columns)])
+    return _pair_correlations(df, [(a, b, F.col(a), F.col(b)) for a, b in column_pairs(columns)])
 
 
 def _nullable(df: DataFrame, columns: list[str]) -> set[str]:
@@ -62,43 +62,30 @@ def _nullable(df: DataFrame, columns: list[str]) -> set[str]:
     return {c for c in columns if gaps[c] > 0}
 
 
-def average_ranks(values: DataFrame, key: str, value: str) -> DataFrame:
-    """``key, value, n, rank``: mean 1-based rank of each distinct value inside its key."""
-    counts = values.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
-    ranked = prefix_counts(counts, [key], value, ["n"])
-    return ranked.select(key, value, "n", (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"))
-
-
 def spearman(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:
-    """Pearson correlation of average ranks.
+    """Pearson correlation of average ranks over the pair-complete rows.
 
-    Ranks belong to the pair-complete rows, so a column needs its own ranking for every partner
-    that has gaps, and one shared ranking for all partners without gaps.
+    A column's ranks differ from partner to partner only by which partners with gaps are there. So each
+    value is counted once, together with how many of its rows have each such partner, and one running sum per
+    partner gives the value's ranks among all partners at once. Rows meet their values' ranks in one join of
+    (row, column) cells, whatever the number of columns with gaps.
     """
-    gaps = _nullable(df, columns)
-    partner = lambda a, b: b if b in gaps else None
-    variables = sorted(
-        {(a, partner(a, b)) for a in columns for b in columns if a != b}, key=lambda v: (v[0], v[1] or "")
-    )
-    name = {v: f"r{i}" for i, v in enumerate(variables)}
-    shown = df.select(
-        row_id,
-        *[
-            (F.col(a) if b is None else F.when(F.col(b).isNotNull(), F.col(a))).cast("double").alias(name[a, b])
-            for a, b in variables
-        ],
-    )
-    values = stage(
-        long_values(shown, list(name.values()), [row_id], "double").where(F.col("value").isNotNull()), "values"
-    )
-    ranks = stage(average_ranks(values, "column", "value"), "ranks")
-    ranked = lookup(values, ranks, ["column", "value"], "n")
-    wide = ranked.groupBy(row_id).agg(
-        *[F.max(F.when(F.col("column") == v, F.col("rank"))).alias(v) for v in name.values()]
-    )
-    return _pair_correlations(
-        wide, [(a, b, name[a, partner(a, b)], name[b, partner(b, a)]) for a, b in column_pairs(columns)]
-    )
+    gaps = sorted(_nullable(df, columns))
+    place = {b: i + 1 for i, b in enumerate(gaps)}
+    there = F.array(F.lit(1), *[F.col(b).isNotNull().cast("int") for b in gaps])
+    shown = df.withColumn("_there", there)
+    values = stage(long_values(shown, columns, [row_id, "_there"], "double").where(F.col("value").isNotNull()), "values")
+    names = [f"n_{i}" for i in range(len(gaps) + 1)]
+    counts = values.groupBy("column", "value").agg(*[F.sum(F.col("_there")[i]).alias(n) for i, n in enumerate(names)])
+    ranked = prefix_counts(counts, ["column"], "value", names)
+    rank = lambda n: F.col(f"cum_{n}") - F.col(n) + (F.col(n) + 1) / 2
+    ranks = stage(ranked.select("column", "value", F.col("n_0").alias("n"), F.array(*[rank(n) for n in names]).alias("ranks")), "ranks")
+    met = lookup(values.select(row_id, "column", "value"), ranks, ["column", "value"], "n")
+    wide = met.groupBy(row_id).agg(*[F.max(F.when(F.col("column") == c, F.col("ranks"))).alias(f"r{i}") for i, c in enumerate(columns)])
+    number = {c: f"r{i}" for i, c in enumerate(columns)}
+    of = lambda a, b: F.col(number[a])[place.get(b, 0)]
+    # a row without the partner has no rank of it, so it drops out of the pair
+    return _pair_correlations(wide, [(a, b, of(a, b), of(b, a)) for a, b in column_pairs(columns)])
 
 
 def dense_codes(values: DataFrame, key: str, value: str) -> DataFrame:

@@ -27,6 +27,10 @@ MONTH_NAMES = [
     "Julio", "Agosto", "Septiembre", "Octubre", "Noviembre", "Diciembre",
 ]
 
+#: Up to so many bins a column's empty ones are listed too.
+DENSE_BINS = 1 << 16
+#: A double tells no more places of a range apart.
+MAX_BINS = 1 << 53
 DENSITY_POINTS = 200
 DENSITY_CUT = 3.0
 # Beyond this many bandwidths exp(-z*z/2) is exactly 0 in double precision.
@@ -76,7 +80,7 @@ def histogram_bins(df: DataFrame, columns: list[str], rule: int | str) -> dict[s
                 width = sturges_width
             else:
                 width = fd_width if rule == "fd" else min(sturges_width, fd_width)
-            bins = max(1, math.ceil((high - low) / width))
+            bins = max(1, min(MAX_BINS, math.ceil((high - low) / width)))
         else:
             raise ValueError(f"unknown bin rule '{rule}': use a number, 'sturges', 'fd' or 'auto'")
         plans[c] = (low, high, bins)
@@ -84,48 +88,59 @@ def histogram_bins(df: DataFrame, columns: list[str], rule: int | str) -> dict[s
 
 
 def histogram(df: DataFrame, columns: list[str], rule: int | str = "auto", by: str | None = None) -> DataFrame:
-    """Counts per equal-width bin, empty bins included; the last bin is closed on the right.
+    """Counts per equal-width bin; the last bin is closed on the right.
 
-    The counting is one scan with map-side combine: at most bins x columns x classes groups.
+    Bins are numbers of 64 bits and their edges follow from them, so a rule may ask for any number of bins.
+    A column of at most ``DENSE_BINS`` has its empty bins too, a wider one those with rows only. The counting is
+    one scan with map-side combine. Columns without finite ends have no bins.
     """
     plans = histogram_bins(df, columns, rule)
     keys = [by] if by else []
     source = df.where(F.col(by).isNotNull()) if by else df
+    if not plans:
+        kinds = "".join(f"{k} {dict(df.dtypes)[k]}, " for k in keys)
+        return df.sparkSession.createDataFrame([], f"{kinds}column string, bin bigint, from_value double, to_value double, n bigint")
 
     def place(c: str) -> Column:
         low, high, bins = plans[c]
-        at = F.floor((F.col(c).cast("double") - low) / (high - low) * bins).cast("int")
-        inside = F.when(F.col(c).isNotNull(), F.least(at, F.lit(bins - 1)))
+        at = F.floor((F.col(c).cast("double") - low) / (high - low) * float(bins))
+        inside = F.when(F.col(c).isNotNull(), F.least(at, F.lit(bins - 1).cast("bigint")))
         return F.struct(F.lit(c).alias("column"), inside.alias("bin"))
 
     placed = source.select(*keys, F.explode(F.array(*[place(c) for c in plans])).alias("p")).select(*keys, "p.*")
     counts = placed.where(F.col("bin").isNotNull()).groupBy(*keys, "column", "bin").agg(F.count(F.lit(1)).alias("n"))
-    frame = small_table(
-        df.sparkSession,
-        [(c, low, high, bins) for c, (low, high, bins) in plans.items()],
-        "column string, low double, high double, bins int",
-    ).select("*", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
+    edges = small_table(
+        df.sparkSession, [(c, low, high, bins) for c, (low, high, bins) in plans.items()], "column string, low double, high double, bins bigint"
+    )
+    frame = edges.where(F.col("bins") <= DENSE_BINS).select("column", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bins") - 1)).alias("bin"))
     if by:
         classes = [F.lit(c) for c in classes_of(df, by)]
         frame = frame.select("*", F.explode(F.array(*classes)).alias(by))
+    # empty bins count zero; they add up with the counted ones, so no join is needed
+    every = counts.unionByName(frame.select(*keys, "column", "bin", F.lit(0).cast("bigint").alias("n")))
+    summed = every.groupBy(*keys, "column", "bin").agg(F.sum("n").alias("n"))
     width = (F.col("high") - F.col("low")) / F.col("bins")
-    return frame.join(counts, [*keys, "column", "bin"], "left").select(
+    return summed.join(edges, "column").select(
         *keys,
         "column",
         "bin",
         (F.col("low") + F.col("bin") * width).alias("from_value"),
         (F.col("low") + (F.col("bin") + 1) * width).alias("to_value"),
-        F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
+        "n",
     )
 
 
-def density(df: DataFrame, columns: list[str], by: str) -> DataFrame:
-    """Gaussian kernel density per column and class on a grid of 200 points (Scott bandwidth).
+def density(df: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
+    """Gaussian kernel density per column (and class of ``by``) on a grid of 200 points (Scott bandwidth).
 
-    Every value only reaches the grid points where its kernel is not exactly zero, and its
-    contributions combine map-side per grid point, so no values are shuffled.
+    Rows are first reduced to one per distinct value, so a repeated value costs once. A value only reaches
+    the grid points where its kernel is not exactly zero, and its contributions combine map-side per
+    grid point. Columns without spread or with infinite ends have no density.
     """
     spark = df.sparkSession
+    keys = [by] if by else []
+    source = df.where(F.col(by).isNotNull()) if by else df
+    group = F.col(by) if by else F.lit(0)
     grids = []
     for row in numeric_summary(df, columns, by).collect():
         if row["n"] < 2 or not is_finite(row["std"]) or row["std"] == 0:
@@ -133,20 +148,20 @@ def density(df: DataFrame, columns: list[str], by: str) -> DataFrame:
         width = row["std"] * row["n"] ** -0.2
         low = row["min"] - DENSITY_CUT * width
         step = (row["max"] + DENSITY_CUT * width - low) / (DENSITY_POINTS - 1)
-        grids.append((row[by], row["column"], row["n"], width, low, step))
-    by_type = dict(df.dtypes)[by]
-    plan = small_table(spark, grids, f"g {by_type}, k string, n bigint, h double, low double, step double")
-    values = long_values(df, columns, [by], "double").where(F.col("value").isNotNull())
-    placed = values.join(plan, (F.col(by) == F.col("g")) & (F.col("column") == F.col("k")))
+        grids.append((row[by] if by else 0, row["column"], row["n"], width, low, step))
+    kind = dict(df.dtypes)[by] if by else "int"
+    plan = small_table(spark, grids, f"g {kind}, k string, n bigint, h double, low double, step double")
+    counts = frequencies(source, columns, keys, "double").where(F.col("value").isNotNull()).withColumnRenamed("n", "w")
+    placed = counts.join(plan, (group == F.col("g")) & (F.col("column") == F.col("k")))
     reach = F.lit(KERNEL_REACH) * F.col("h")
     first = F.greatest(F.lit(0), F.ceil((F.col("value") - reach - F.col("low")) / F.col("step")))
     last = F.least(F.lit(DENSITY_POINTS - 1), F.floor((F.col("value") + reach - F.col("low")) / F.col("step")))
     spread = placed.select(
-        "g", "column", "n", "h", "low", "step", "value", F.explode(F.sequence(first, last)).alias("point")
+        "g", "column", "n", "h", "low", "step", "value", "w", F.explode(F.sequence(first, last)).alias("point")
     )
     z = (F.col("low") + F.col("point") * F.col("step") - F.col("value")) / F.col("h")
     sums = spread.groupBy("g", "column", "n", "h", "low", "step", "point").agg(
-        F.sum(F.exp(F.lit(-0.5) * z * z)).alias("mass")
+        F.sum(F.col("w") * F.exp(F.lit(-0.5) * z * z)).alias("mass")
     )
     points = plan.select("*", F.explode(F.sequence(F.lit(0), F.lit(DENSITY_POINTS - 1))).alias("p"))
     filled = points.join(
@@ -157,7 +172,7 @@ def density(df: DataFrame, columns: list[str], by: str) -> DataFrame:
     norm = F.col("n") * F.col("h") * math.sqrt(2 * math.pi)
     return filled.select(
         F.col("k").alias("column"),
-        F.col("g").alias(by),
+        *([F.col("g").alias(by)] if by else []),
         F.col("p").alias("point"),
         (F.col("low") + F.col("p") * F.col("step")).alias("at_value"),
         (F.coalesce("mass", F.lit(0.0)) / norm).alias("density"),

@@ -7,6 +7,7 @@ like any other Spark ML stage and every transform is a plain projection.
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, Transformer
@@ -166,16 +167,23 @@ class OneHotColumns(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWri
         labels = long_values(dataset, columns, [], "string").select(
             "column", F.coalesce("value", F.lit(fill)).alias("value")
         )
-        # one column per category is schema-sized by nature; anything larger is not a category
-        found = labels.distinct().limit(MAX_CATEGORIES + 1).collect()
-        if len(found) > MAX_CATEGORIES:
-            raise ValueError(f"more than {MAX_CATEGORIES} categories in {columns}: not one-hot columns")
+        # a column per category is part of the schema; more categories are for ``sparse_encoding``
+        sizes = labels.groupBy("column").agg(F.count_distinct("value").alias("n")).collect()
+        wide = sorted(r["column"] for r in sizes if r["n"] > MAX_CATEGORIES)
+        if wide:
+            raise ValueError(f"more than {MAX_CATEGORIES} categories in {wide}: encode them with sparse_encoding")
+        found = labels.distinct().collect()
         state = {c: sorted(r["value"] for r in found if r["column"] == c) for c in columns}
         flags = {c: [] for c in columns}
         if self.getOrDefault(self.encodeFlags):
             gaps, total = missing_counts(dataset, columns)
             flags = {c: [s for s, n in ((0, total - gaps[c]), (1, gaps[c])) if n > 0] for c in columns}
-        return OneHotColumnsModel(inputCols=columns, state=json.dumps(state), flags=json.dumps(flags), fillValue=fill)
+        model = OneHotColumnsModel(inputCols=columns, state=json.dumps(state), flags=json.dumps(flags), fillValue=fill)
+        names = Counter(n.lower() for n in model.output_columns())
+        twice = sorted(n for n, k in names.items() if k > 1)
+        if twice:
+            raise ValueError(f"two categories would share the column names {twice[:5]}: rename the columns {columns}")
+        return model
 
 
 class OneHotColumnsModel(Model, _Columns, DefaultParamsReadable, DefaultParamsWritable):

@@ -24,8 +24,7 @@ def eda_report(df: DataFrame, target: str = "pago", exempt: list[str] | None = N
         report["binary"] = distributions.binary_counts(df, target if target in df.columns else None, exempt)
     if continuous:
         report["histograms"] = distributions.histogram(df, continuous)
-        if target in df.columns:
-            report["densities"] = distributions.density(df, continuous, target)
+        report["densities"] = distributions.density(df, continuous, target if target in df.columns else None)
     if classes.categorical:
         named = freq.where(freq["column"].isin(classes.categorical))
         report["categories"] = quality.top_values(named, 10)

@@ -21,10 +21,11 @@ from moralens.operators.metrics import (
     tall_metrics,
     train_test_table,
 )
-from moralens.operators.models import FULL, MODEL_ORDER, ModelSettings, fit_model, run_parallel, score
+from moralens.operators.models import FULL, MODEL_ORDER, ModelSettings, score
 from moralens.operators.preparation import create_preprocessor, feature_names
 from moralens.operators.selection import combine_features, feature_importance, in_schema_order, recursive_elimination, top_features
-from moralens.operators.splitting import class_sizes, split_data
+from moralens.operators.splitting import split_data
+from moralens.operators.training_matrix import FitPool, TrainingMatrix, fit_on, score_all, training_matrix
 from moralens.plans.eda import eda_report
 from moralens.sources.panel import EXEMPT, ROW_ID, TARGET
 from moralens.sources.readers import load_data
@@ -79,25 +80,28 @@ def fit_grid(
     balanced_data: bool,
 ) -> tuple[DataFrame, dict[tuple[str, str], PipelineModel]]:
     """Fit every model on every named (train, test, features) and evaluate both splits in one job."""
-    sizes = {method: class_sizes(train, label) for method, (train, _, _) in data.items()}
+    # sets of features over one table share its matrix
+    matrices: dict[tuple[int, int], tuple[TrainingMatrix, TrainingMatrix]] = {}
+    for train, test, _ in data.values():
+        if (id(train), id(test)) not in matrices:
+            used = {f for t, _, features in data.values() if t is train for f in features}
+            order = [f for f in train.columns if f in used]
+            matrices[id(train), id(test)] = tuple(training_matrix(t, label, order) for t in (train, test))
+    shared = {method: matrices[id(train), id(test)] for method, (train, test, _) in data.items()}
     jobs = [(method, model) for method in data for model in models]
 
-    def fit(method: str, model: str) -> PipelineModel:
-        train, _, features = data[method]
-        return fit_model(model, train, label, features, settings, balanced_data, sizes[method])
-
     spark = next(iter(data.values()))[0].sparkSession
-    fitted = run_parallel(spark, [lambda j=j: fit(*j) for j in jobs], settings.parallel_fits)
-    scored = [
-        score(model, rows, label).select(
-            F.lit(method).alias("method"), F.lit(name).alias("model"), F.lit(split).alias("split"), "label", "score"
-        )
-        for (method, name), model in zip(jobs, fitted)
-        for split, rows in (("train", data[method][0]), ("test", data[method][1]))
-    ]
+    with FitPool(spark, settings.parallel_fits) as pool:
+        started = {j: pool.submit(lambda m=j[0], n=j[1]: fit_on(shared[m][0], n, data[m][2], settings, balanced_data)) for j in jobs}
+        fitted = {j: started[j].result() for j in jobs}
+    scored = []
+    for own in matrices.values():
+        keyed = {j: (fitted[j], data[j[0]][2]) for j in jobs if shared[j[0]] is own}
+        for split, matrix in zip(("train", "test"), own):
+            scored.append(score_all(keyed, matrix, ["method", "model"]).withColumn("split", F.lit(split)))
     every = reduce(lambda a, b: a.unionByName(b), scored)
     metrics = stage(binary_metrics(every, ["method", "model", "split"]), "metrics")
-    return metrics, dict(zip(jobs, fitted))
+    return metrics, fitted
 
 
 def pick_best(metrics: DataFrame, methods: list[str], models: list[str], metric: str) -> tuple[str, str]:
@@ -235,8 +239,9 @@ def run(
         write_json(table, f"{output}/eda_report/{name}")
     ready = prepare(df, binary, target, row_id)
     save_model(ready.preprocessor, f"{output}/preprocessor")
-    importance = top_features(feature_importance(ready.train, target, ready.features, settings), top_n)
-    elimination = top_features(recursive_elimination(ready.train, target, ready.features, settings), top_n)
+    matrix = training_matrix(ready.train, target, ready.features)
+    importance = top_features(feature_importance(matrix, target, ready.features, settings), top_n)
+    elimination = top_features(recursive_elimination(matrix, target, ready.features, settings), top_n)
     base = train_and_evaluate_models(
         ready.train, ready.test, target, ready.features, importance, elimination, settings, output=f"{output}/base"
     )

@@ -2,10 +2,11 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from moralens.operators import balancing, splitting
+from moralens.operators import balancing, neighbours, splitting
 from moralens.operators.neighbours import nearest_neighbours
 
 FEATURES = ["a", "b"]
@@ -107,3 +108,37 @@ def test_balancing_errors(spark, rows):
         balancing.smote(few, "row_id", "pago", FEATURES)
     with pytest.raises(ValueError, match="classes 0 and 1"):
         balancing.undersample(rows.where("pago = 0"), "row_id", "pago")
+
+
+def test_neighbours_in_a_tree_of_many_levels(spark):
+    rng = np.random.default_rng(9)
+    clustered = np.concatenate([rng.normal(0, 1, (900, 3)), rng.normal(50, 0.01, (500, 3)), np.zeros((200, 3)), [[1e6, 0, 0]]]).round(2)
+    frame = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(clustered)], "row_id bigint, a double, b double, c double")
+    found = {}
+    for r in nearest_neighbours(frame, "row_id", ["a", "b", "c"], 4, 12).collect():
+        found.setdefault(r["row_id"], {})[r["pos"]] = r["neighbour"]
+    assert len(found) == len(clustered)
+    gaps = ((clustered[:, None, :] - clustered[None, :, :]) ** 2).sum(axis=2)
+    for i, near in found.items():
+        order = sorted((gaps[i, j], j) for j in range(len(clustered)) if j != i)[:4]
+        got = [near[k] for k in range(4)]
+        # sums in another order may swap neighbours that are equally far but for the last bit
+        assert [gaps[i, j] for j in got] == pytest.approx([g for g, _ in order], abs=1e-9)
+
+
+def test_leaves_are_bounded(spark):
+    # one value holds half of the rows in every feature
+    frame = spark.range(6000).select(
+        F.col("id").alias("point_id"),
+        F.array(*[F.when(F.col("id") % 2 == 0, 0.0).otherwise((F.col("id") * m % 4999).cast("double")) for m in (1, 7)], F.col("id").cast("double")).alias("x"),
+        F.array("id").alias("ids"),
+    )
+    assigned, levels = neighbours.space_tree(frame, 3, 100)
+    sizes = [r["count"] for r in assigned.groupBy("node").count().collect()]
+    assert sum(sizes) == 6000 and max(sizes) <= 100 and len(levels) <= 5
+
+
+def test_neighbours_of_missing_values_raise(spark):
+    frame = spark.createDataFrame([(1, 1.0), (2, None), (3, float("nan"))], "row_id bigint, a double")
+    with pytest.raises(ValueError, match="missing values in"):
+        nearest_neighbours(frame, "row_id", ["a"], 1)

@@ -57,7 +57,7 @@ def test_top_k_is_cut_before_the_shuffle(panel):
 
 
 def test_quantile_search_broadcasts_only_its_brackets(panel):
-    text = plan(exact_quantiles(panel, ["saldo_capital", "dias_mora"], [0.25, 0.75], whole_below=0))
+    text = plan(exact_quantiles(panel, ["saldo_capital", "dias_mora"], [0.25, 0.75]))
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "SinglePartition" not in text
 
 

@@ -1,8 +1,10 @@
 """Imputation, scaling, encoding, the load gate and the sinks."""
 
 import pytest
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import functions as F
 
+from moralens.operators import preparation, sparse_encoding
 from moralens.operators import preparation as prep
 from moralens.sources import readers, sinks
 
@@ -137,3 +139,40 @@ def test_panel_sink_prunes_months(spark, panel, tmp_path):
     plan = spark.read.parquet(path).where(F.col("mes") == "1996-03")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(mes" in plan
     assert spark.read.parquet(path).count() == panel.count()
+
+
+def test_a_column_of_many_categories_encodes(spark):
+    n = 300_000
+    table = spark.range(n).select(
+        F.col("id").alias("row_id"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("v"), F.col("id").cast("string"))).alias("many"),
+        F.when(F.col("id") % 2 == 0, "x").alias("few"),
+    )
+    encoder = sparse_encoding.fit_categories(table, ["many", "few"])
+    assert encoder.size == 200_001 + 2
+    vectors = encoder.transform(table, "row_id")
+    assert isinstance(vectors.schema["categories"].dataType, VectorUDT) and vectors.count() == n
+    places = {r["name"]: r["pos"] for r in encoder.names().where(F.col("name").isin("many_hot", "few_x", "few_missing", "many_v1")).collect()}
+    assert places["few_missing"] == encoder.size - 2 and places["few_x"] == encoder.size - 1 and places["many_hot"] == 0
+    for r in vectors.where(F.col("row_id").isin(0, 1, 3)).collect():
+        own = {0: ("many_hot", "few_x"), 1: ("many_v1", "few_missing"), 3: ("many_hot", "few_missing")}[r["row_id"]]
+        assert sorted(r["categories"].indices) == sorted(places[k] for k in own) and r["categories"].size == encoder.size
+    new = spark.createDataFrame([(7, "never seen", None), (8, None, "nor this")], "row_id bigint, many string, few string")
+    found = {r["row_id"]: list(r["categories"].indices) for r in encoder.transform(new, "row_id").collect()}
+    assert found == {7: [places["few_missing"]], 8: []}
+    assert encoder.transform(new.where("row_id > 9"), "row_id").count() == 0
+
+
+def test_names_of_categories_are_unique(spark):
+    table = spark.createDataFrame([("b_c", "x"), ("d", "c")], "a string, a_b string")
+    with pytest.raises(ValueError, match="share the column names"):
+        preparation.OneHotColumns(inputCols=["a", "a_b"]).fit(table)
+    assert sparse_encoding.fit_categories(table, ["a", "a_b"]).size == 4
+
+
+def test_wide_columns_are_sent_to_the_sparse_encoder(spark, monkeypatch):
+    monkeypatch.setattr(preparation, "MAX_CATEGORIES", 3)
+    table = spark.range(6).select(F.col("id").cast("string").alias("a"), (F.col("id") % 3).cast("string").alias("b"))
+    assert preparation.OneHotColumns(inputCols=["b"]).fit(table).output_columns()[:3] == ["b_0", "b_1", "b_2"]
+    with pytest.raises(ValueError, match="sparse_encoding"):
+        preparation.OneHotColumns(inputCols=["a", "b"]).fit(table)

@@ -2,11 +2,13 @@
 
 import math
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from moralens.operators import bivariate, cleaning, correlation, distributions, outliers, quality
+from moralens.plans import eda
 
 
 def by_column(df, value):
@@ -193,3 +195,68 @@ def test_crosstab_of_names_with_dots(spark):
     assert table["y"]["pct_D.C."] == 0
     months = distributions.month_crosstab(df, "clase").collect()
     assert [r["n_D.C."] for r in months] == [1, 1]
+
+
+def test_one_far_value_makes_no_dense_histogram(spark):
+    near = spark.range(100_000).select((F.col("id") % 1000).cast("double").alias("x"))
+    table = near.unionByName(spark.createDataFrame([(1e12,), (None,)], "x double"))
+    rows = distributions.histogram(table, ["x"], "fd").collect()
+    assert sum(r["n"] for r in rows) == 100_001 and all(r["n"] > 0 for r in rows)
+    last = max(rows, key=lambda r: r["bin"])
+    assert last["bin"] > 1 << 31 and last["n"] == 1 and last["to_value"] == pytest.approx(1e12)
+    assert all(r["from_value"] <= r["to_value"] for r in rows)
+    infinite = spark.createDataFrame([(float("inf"),), (1.0,)], "x double")
+    assert distributions.histogram(infinite, ["x"]).count() == 0
+
+
+def test_density_without_classes_weighs_repeats(spark):
+    values = [1.0] * 500 + [2.0] * 300 + [5.0]
+    points = distributions.density(spark.createDataFrame([(v,) for v in values], "x double"), ["x"]).toPandas().sort_values("point")
+    data = np.array(values)
+    width = data.std(ddof=1) * len(data) ** -0.2
+    at = points["at_value"].to_numpy()
+    expected = np.exp(-0.5 * ((at[:, None] - data[None, :]) / width) ** 2).sum(axis=1) / (len(data) * width * np.sqrt(2 * np.pi))
+    assert points.columns.tolist() == ["column", "point", "at_value", "density"]
+    assert np.allclose(points["density"], expected, rtol=1e-9)
+
+
+def test_report_without_a_target_has_densities(panel):
+    report = eda.eda_report(panel.drop("pago"), "pago", ["identificacion", "mes", "row_id"])
+    assert "densities" in report and "target" not in report and report["densities"].count() > 0
+
+
+def test_text_targets_are_binary_too(spark):
+    rows = [(float(k % 7), None if k % 5 == 0 else float(k), "yes" if k % 7 > 3 else "no", "ab"[k % 2]) for k in range(60)]
+    table = spark.createDataFrame(rows, "x double, z double, y string, c string")
+    found = {r["column"]: r for r in bivariate.numeric_vs_binary(table, "y").collect()}
+    assert found["x"]["auc"] == 1.0 and found["x"]["mean_yes"] > found["x"]["mean_no"] and found["z"]["missing_rate"] == 0.2
+    data = pd.DataFrame(rows, columns=["x", "z", "y", "c"])
+    assert found["z"]["correlation"] == pytest.approx(data["z"].corr((data["y"] == "yes").astype(float)))
+    numbers = table.withColumn("y", (F.col("y") == "yes").cast("int"))
+    same = {r["column"]: r for r in bivariate.numeric_vs_binary(numbers, "y").collect()}
+    assert [found[c][1:8] for c in "xz"] == [same[c][1:8] for c in "xz"]
+    report = {(r["column"], r["statistic"]): r["value"] for r in bivariate.bivariate_report(table, "y").collect()}
+    assert report["c", "n|a|yes"] + report["c", "n|b|yes"] == sum(r[2] == "yes" for r in rows)
+
+
+def test_relation_to_classes_takes_few_jobs(spark, panel):
+    bivariate.numeric_vs_binary(panel, "pago", ["identificacion", "mes", "row_id"]).collect()
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("counted", "numeric_vs_binary")
+    bivariate.numeric_vs_binary(panel, "pago", ["identificacion", "mes", "row_id"]).collect()
+    jobs = len(tracker.getJobIdsForGroup("counted"))
+    spark.sparkContext.setJobGroup("", "")
+    # adaptive plans run a job per shuffle; a figure per column would take more than a hundred
+    assert jobs <= 20
+
+
+def test_spearman_ranks_every_pair_on_its_complete_rows(spark):
+    rng = np.random.default_rng(5)
+    data = pd.DataFrame({c: rng.integers(0, 30, 400).astype(float) for c in "abcd"})
+    for c, every in (("b", 3), ("c", 4), ("d", 7)):
+        data.loc[data.index % every == 0, c] = np.nan
+    table = spark.createDataFrame(data.reset_index(names="row_id")).replace(float("nan"), None)
+    found = {(r["var_1"], r["var_2"]): r["r"] for r in correlation.spearman(table, list("abcd"), "row_id").collect()}
+    assert len(found) == 6
+    for (a, b), r in found.items():
+        assert r == pytest.approx(data[[a, b]].dropna().rank().corr().iloc[0, 1])
