@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from moralens.functions.hashing import HASH_SPAN, digest, hash_number
 from moralens.functions.ranking import bucketed_prefix
+from moralens.llm.text import free_name
 from moralens.staging import row_count, stage
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -101,13 +102,31 @@ def mixture(
     A document is taken as often as its source's target reaches past its middle: between 0 and
     ``max_repeats`` times, whole, so a source's taken words differ from its target by at most half
     a document. ``positions`` lists the times of its draws (empty if none). NULL text has no words,
-    NULL sources are one source that sorts last, NULL ids queue together; repeated rows are drawn
-    each on their own. Reruns give the same rows. Sorted by first position, undrawn documents last.
+    NULL sources are one source that sorts last, rows without an id queue by their text; repeated rows are
+    drawn each on their own. Reruns give the same rows. Sorted by first position, undrawn documents last.
     """
-    sized = stage(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    return _queued(documents, weights, share, max_repeats, schedules, seed).drop("_print")
+
+
+def _print(documents: DataFrame) -> Column:
+    return F.md5(F.coalesce(F.col("text"), F.lit("")))
+
+
+def _queued(
+    documents: DataFrame,
+    weights: Sequence[int] = WEIGHTS,
+    share: float = SHARE,
+    max_repeats: int = MAX_REPEATS,
+    schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES,
+    seed: str = SEED,
+) -> DataFrame:
+    """``mixture`` with a digest of the text, which tells rows of one id apart."""
+    sized = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), _print(documents).alias("_print"))
+    sized = stage(sized, "sizes")
     targets = stage(source_targets(sized, weights, share, max_repeats), "targets")
     n_buckets = max(1, math.ceil(math.sqrt(row_count(sized))))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    # rows without an id queue by their text, else they would all be in one bucket
+    key = F.coalesce(F.col("doc_id").cast("string"), F.col("_print"))
     known = sized.withColumnRenamed("source", "_source").join(targets, F.col("_source").eqNullSafe(F.col("source")))
     queued = known.select(
         "doc_id",
@@ -116,11 +135,12 @@ def mixture(
         "source_size",
         "target",
         "_nr",
+        "_print",
         digest(seed, key).alias("_order"),
         F.floor(hash_number(seed, key).cast("double") / F.lit(HASH_SPAN) * n_buckets).alias("_bucket"),
     )
-    # rows in full order, so that equal ids always queue alike
-    order = F.struct("_order", "size", F.monotonically_increasing_id())
+    # in full order, so that equal ids always queue alike; rows alike in all of these are interchangeable
+    order = F.struct("_order", "size", "_print", F.monotonically_increasing_id())
     queued = stage(queued.withColumn("_at", order), "queue")
     summed = bucketed_prefix(queued, ["_nr"], "_bucket", "_at", ["size"])
     ahead = F.col("cum_size") - F.col("size")
@@ -138,7 +158,7 @@ def mixture(
     return (
         summed.withColumn("positions", positions)
         .withColumn("taken", F.col("size") * F.size("positions"))
-        .select("doc_id", "source", "size", "source_size", "target", "taken", "positions")
+        .select("doc_id", "source", "size", "source_size", "target", "taken", "positions", "_print")
         .orderBy(F.asc_nulls_last(F.try_element_at("positions", F.lit(1))), "doc_id")
     )
 
@@ -147,26 +167,22 @@ def training_order(documents: DataFrame, **settings) -> DataFrame:
     """The documents as training reads them: one row per draw, range-sorted by position.
 
     Adds ``position`` (0..1) to the documents' columns (``mix_position`` if they have one already).
-    Rows that share a doc_id are told apart by source and size.
+    Rows that share a doc_id are told apart by their texts, then by source; rows alike in all three are
+    interchangeable, so reruns give the same rows.
     """
     name = "position"
     while name.lower() in {c.lower() for c in documents.columns}:
         name = f"mix_{name}"
-    nth = Window.partitionBy("_mix_id").orderBy("_mix_source", "_mix_size")
-    placed = mixture(documents, **settings).select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_mix_id"),
-        F.col("source").alias("_mix_source"),
-        F.col("size").alias("_mix_size"),
-        F.col("positions").alias("_mix_at"),
-    )
-    placed = placed.withColumn("_mix_nth", F.row_number().over(nth)).where(F.size("_mix_at") > 0)
-    tagged = (
-        documents.withColumn("_mix_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-        .withColumn("_mix_source", F.col("source"))
-        .withColumn("_mix_size", word_count(F.col("text")))
-        .withColumn("_mix_nth", F.row_number().over(nth))
-        .drop("_mix_source", "_mix_size")
+    row, text, nth, at, source = (free_name(f"_mix_{n}", documents) for n in ("id", "print", "nth", "at", "source"))
+    number = Window.partitionBy(row, text).orderBy(source)
+    placed = _queued(documents, **settings).select(
+        F.col("doc_id").cast("string").alias(row), F.col("_print").alias(text), F.col("source").alias(source), F.col("positions").alias(at)
     )
-    drawn = tagged.join(placed.drop("_mix_source", "_mix_size"), ["_mix_id", "_mix_nth"])
-    own = [F.col(f"`{c}`") for c in documents.columns]
-    return drawn.select(*own, F.explode("_mix_at").alias(name)).orderBy(name, "doc_id")
+    placed = placed.withColumn(nth, F.row_number().over(number)).where(F.size(at) > 0).drop(source)
+    tagged = documents.withColumn(row, F.col("doc_id").cast("string")).withColumn(text, _print(documents)).withColumn(source, F.col("source"))
+    tagged = tagged.withColumn(nth, F.row_number().over(number)).drop(source)
+    left, right = tagged.alias("l"), placed.alias("r")
+    same = F.col(f"l.{text}").eqNullSafe(F.col(f"r.{text}")) & F.col(f"l.{row}").eqNullSafe(F.col(f"r.{row}")) & (F.col(f"l.{nth}") == F.col(f"r.{nth}"))
+    own = [F.col(f"l.`{c}`") for c in documents.columns]
+    drawn = left.join(right, same).select(*own, F.explode(F.col(f"r.{at}")).alias(name))
+    return drawn.orderBy(name, "doc_id")

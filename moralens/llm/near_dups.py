@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from moralens.llm.components import components
-from moralens.llm.text import bytes_of, mixed, normalised, slices, windows_of, word_hashes
+from moralens.llm.text import bytes_of, free_name, mixed, normalised, slices, windows_of, word_hashes
 from moralens.staging import release, row_count, stage
 
 SHINGLE_WORDS = 5
@@ -190,14 +190,15 @@ def _bitmap_bit(key: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.xxhash64(key).bitwiseAND(F.lit(63)).cast("int"))
 
 
-def _maybe_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """``df`` with ``_maybe``: false only where the key is not in ``wanted`` (one column)."""
-    name = F.col(wanted.columns[0])
-    bits = wanted.select(_bitmap_word(name).alias("_word"), _bitmap_bit(name).alias("_bit"))
-    bitmap = bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    tested = df.withColumn("_word", _bitmap_word(F.col(key))).join(F.broadcast(bitmap), "_word", "left")
-    maybe = F.coalesce(F.col("_bits").bitwiseAND(_bitmap_bit(F.col(key))) != 0, F.lit(False))
-    return tested.withColumn("_maybe", maybe).drop("_word", "_bits")
+def _maybe_in(df: DataFrame, key: str, wanted: DataFrame, name: str = "_maybe") -> DataFrame:
+    """``df`` with the column ``name``: false only where the key is not in ``wanted`` (one column)."""
+    column = F.col(wanted.columns[0])
+    word, bits, one = (free_name(f"{name}_{n}", df) for n in ("word", "bits", "bit"))
+    marked = wanted.select(_bitmap_word(column).alias(word), _bitmap_bit(column).alias(one))
+    bitmap = marked.groupBy(word).agg(F.bit_or(one).alias(bits))
+    tested = df.withColumn(word, _bitmap_word(F.col(key))).join(F.broadcast(bitmap), word, "left")
+    maybe = F.coalesce(F.col(bits).bitwiseAND(_bitmap_bit(F.col(key))) != 0, F.lit(False))
+    return tested.withColumn(name, maybe).drop(word, bits)
 
 
 def _only(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -302,7 +303,9 @@ def classes(nodes: DataFrame, shingles: DataFrame, threshold: float) -> DataFram
     exploded = nodes.select("node", F.explode("bands").alias("bucket")).distinct()
     shared = exploded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = stage(exploded.join(shared, "bucket"), "members")
-    known = stage(_only(shingles, "node", members.select(F.col("node").alias("_wanted")).distinct()), "shingles")
+    known = _only(shingles, "node", members.select(F.col("node").alias("_wanted")).distinct())
+    # repeated rows have one name and one text
+    known = stage(known.dropDuplicates(["node"]), "shingles")
     labels: DataFrame | None = None
     for number in range(BAND_ROUNDS):
         facing = facing_leaders(members, labels, 2**number)
@@ -345,6 +348,44 @@ def joined_components(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return components(links)
 
 
+def node_of(documents: DataFrame) -> Column:
+    """A name of a row's text that sorts as its doc_id: the id's bytes, then eight of the text's print.
+
+    Different texts have different names, also where they share an id.
+    """
+    mark = F.substring("print", 1, 8)
+    if isinstance(documents.schema["doc_id"].dataType, IntegralType):
+        # with the sign bit turned, hex digits sort as the numbers
+        turned = F.col("doc_id").cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))
+        return F.concat(F.unhex(F.lpad(F.hex(turned), 16, "0")), mark)
+    return F.concat(F.encode(F.col("doc_id").cast("string"), "utf-8"), F.unhex(F.lit("00")), mark)
+
+
+def id_of(node: Column, documents: DataFrame) -> Column:
+    """The doc_id in a node's name."""
+    kind = documents.schema["doc_id"].dataType
+    if isinstance(kind, IntegralType):
+        number = F.conv(F.hex(F.substring(node, 1, 8)), 16, 10).cast("decimal(20,0)") - F.lit(1 << 63).cast("decimal(20,0)")
+        return number.cast("bigint").cast(kind)
+    return F.decode(F.substring(node, F.lit(1), F.octet_length(node) - 9), "utf-8")
+
+
+def _placed(documents: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, text_digest, node (the row's own name), class (the least node of its class); both NULL without an id."""
+    signed = signed_documents(documents.select("doc_id", "text"))
+    signed = stage(signed.withColumn("row_node", node_of(documents)), "signed")
+    named = signed.where(F.col("doc_id").isNotNull())
+    texts = stage(named.groupBy("print").agg(F.min("row_node").alias("node"), F.first("bands").alias("bands")), "texts")
+    names = stage(signed.select("doc_id", "text_digest", "print", "row_node"), "names")
+    linked = classes(texts.select("node", "bands"), named.select(F.col("row_node").alias("node"), "shingles"), threshold)
+    # the result needs neither signatures nor shingles, the largest of the tables
+    release(signed)
+    of_print = texts.join(linked, "node", "left").select("print", F.coalesce("component", "node").alias("class"))
+    placed = names.join(of_print, "print", "left")
+    known = F.col("doc_id").isNotNull()
+    return placed.select("doc_id", "text_digest", F.when(known, F.col("row_node")).alias("node"), F.when(known, F.col("class")).alias("class"))
+
+
 def near_duplicates(documents: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, text_digest: one row per input row; class_id is the least doc_id of the class.
 
@@ -352,16 +393,8 @@ def near_duplicates(documents: DataFrame, threshold: float = SIMILARITY) -> Data
     are equal when their characters are, and NULL equals ''. Rows that share a doc_id each carry the
     class of their own text. Rows with a NULL doc_id have a NULL class.
     """
-    signed = stage(signed_documents(documents.select("doc_id", "text")), "signed")
-    named = signed.where(F.col("doc_id").isNotNull())
-    texts = stage(named.groupBy("print").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "texts")
-    names = stage(signed.select("doc_id", "text_digest", "print"), "names")
-    linked = classes(texts.select("node", "bands"), named.select(F.col("doc_id").alias("node"), "shingles"), threshold)
-    # the result needs neither signatures nor shingles, the largest of the tables
-    release(signed)
-    of_print = texts.join(linked, "node", "left").select("print", F.coalesce("component", "node").alias("class_id"))
-    placed = names.join(of_print, "print", "left")
-    return placed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "text_digest")
+    placed = _placed(documents, threshold)
+    return placed.select("doc_id", id_of(F.col("class"), documents).alias("class_id"), "text_digest")
 
 
 def row_name(documents: DataFrame) -> Column:
@@ -376,22 +409,26 @@ def row_name(documents: DataFrame) -> Column:
 def first_of_each_class(documents: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """One document of each class, that with the least doc_id, with its own columns.
 
-    Of repeated rows one stays. Rows with a NULL doc_id are named by their text and come after all others.
+    Of rows that share the least id and the class one stays, by text digest, source and lang. Rows that share an
+    id but not the class are judged apart. Rows with a NULL doc_id are named by their text and come after
+    all others.
     """
     name = row_name(documents)
-    found = near_duplicates(documents.select(name.alias("doc_id"), "text"), threshold)
-    found = found.groupBy("doc_id", "text_digest").agg(F.count("*").alias("_dup_rows"), F.first("class_id").alias("_dup_class"))
-    # most documents are alone and never reach a shuffle
-    special = found.where((F.col("_dup_rows") > 1) | (F.col("doc_id") != F.col("_dup_class")))
-    special = stage(special.withColumnRenamed("doc_id", "_dup_id").withColumnRenamed("text_digest", "_dup_digest"), "special")
+    key, digest, maybe, rows = (free_name(f"_dup_{n}", documents) for n in ("key", "text", "maybe", "nth"))
+    found = _placed(documents.select(name.alias("doc_id"), "text"), threshold)
+    counted = found.groupBy("node", "class", "doc_id", "text_digest").agg(F.count("*").alias("n"))
+    all_rows = F.sum("n").over(Window.partitionBy("node"))
+    # most documents are alone and never reach the joins below
+    special = counted.withColumn("n", all_rows).where((F.col("n") > 1) | (F.col("node") != F.col("class")))
+    special = special.select(F.col("doc_id").alias(f"{key}_"), F.col("text_digest").alias(f"{digest}_"), F.col("node").alias(f"{key}_node"), F.col("class").alias(f"{key}_class"))
+    special = stage(special, "special")
     own = [F.col(f"`{c}`") for c in documents.columns]
-    tested = _maybe_in(documents.withColumn("_dup_key", name), "_dup_key", special.select("_dup_id"))
-    digest = F.md5(F.coalesce("text", F.lit("")))
+    tested = _maybe_in(documents.withColumn(key, name), key, special.select(f"{key}_"), maybe)
     order = [F.col(f"`{c}`") for c in ("source", "lang") if c in documents.columns]
-    nth = Window.partitionBy("_dup_id", "_dup_digest").orderBy(*order, F.lit(0))
-    matched = tested.where("_maybe").withColumn("_dup_text", digest)
-    matched = matched.join(special, (F.col("_dup_key") == F.col("_dup_id")) & (F.col("_dup_text") == F.col("_dup_digest")), "left")
-    alone = matched.where(F.col("_dup_id").isNull()).select(*own)
-    several = matched.where(F.col("_dup_id") == F.col("_dup_class")).withColumn("_dup_nth", F.row_number().over(nth))
-    kept = several.where("_dup_nth = 1").select(*own)
-    return tested.where("NOT _maybe").select(*own).unionByName(alone).unionByName(kept)
+    nth = Window.partitionBy(f"{key}_class").orderBy(digest, *order, F.lit(0))
+    matched = tested.where(maybe).withColumn(digest, F.md5(F.coalesce("text", F.lit(""))))
+    matched = matched.join(special, (F.col(key) == F.col(f"{key}_")) & (F.col(digest) == F.col(f"{digest}_")), "left")
+    alone = matched.where(F.col(f"{key}_").isNull()).select(*own)
+    several = matched.where(F.col(f"{key}_node") == F.col(f"{key}_class")).withColumn(rows, F.row_number().over(nth))
+    kept = several.where(F.col(rows) == 1).select(*own)
+    return tested.where(~F.col(maybe)).select(*own).unionByName(alone).unionByName(kept)

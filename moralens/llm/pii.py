@@ -1,9 +1,9 @@
 """Personal data by anchor expansion.
 
-An Aho-Corasick automaton finds the anchors of a text: at-signs, plus signs, schemes and identifier
-cues. From each anchor a local parser expands to the left and right as far as its grammar allows and
-validates the result. Every parser is linear in the text, so a text without spaces costs no more than
-prose. Addresses (ip) and cards are found by plain patterns over the whole text.
+An Aho-Corasick automaton finds the anchors of a text: at-signs, plus signs, schemes, identifier cues and
+digits. From each anchor a local parser expands to the left and right as far as its grammar allows and
+validates the result. Every parser is linear in the text and none starts inside what it has read, so a
+text without spaces costs no more than prose.
 
 The base kinds equal the leftmost non-overlapping matches of their published patterns. A filter on
 the JVM lets only texts with a cue reach Python.
@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moralens.llm.text import free_name
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("login", "iban", "account")
 KINDS = BASE_KINDS + EXTRA_KINDS
@@ -31,7 +33,11 @@ PHONE_TAIL = frozenset(DIGITS + " ().-")
 #: Anchors and the parser that each starts.
 ANCHORS = {"@": "email", "+": "phone", "://": "login"} | {
     cue: "account" for cue in ("account number", "account no", "acct", "passport", "ssn", "social security")
-} | {"iban": "iban"}
+} | {"iban": "iban"} | {d: "digit" for d in DIGITS}
+
+FOUR_GROUPS = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+GROUP = re.compile(r"[0-9]++")
+SPACED_DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])*+")
 
 #: What must occur in a text (on the JVM) for any kind to be found.
 CUES = (
@@ -115,12 +121,42 @@ def account_at(text: str, at: int) -> tuple[int, int] | None:
     return m.span(1) if m else None
 
 
+def ip_at(text: str, at: int) -> tuple[tuple[int, int] | None, int]:
+    """Four groups of digits from ``at`` on, and where the next search may begin.
+
+    Where they fail they fail from every other digit of the first group.
+    """
+    m = FOUR_GROUPS.match(text, at)
+    if not m:
+        return None, GROUP.match(text, at).end()
+    # any number of zeros may stand before a part
+    fits = all(len(d) <= 3 and int(d or 0) <= 255 for d in (part.lstrip("0") for part in m[0].split(".")))
+    return (m.span() if fits else None), m.end()
+
+
+def card_at(text: str, at: int) -> tuple[tuple[int, int] | None, int]:
+    """The run of digits, spaced or not, from ``at`` on if it is a card number, and where the next search may begin."""
+    m = SPACED_DIGITS.match(text, at)
+    digits = m[0].replace(" ", "").replace("-", "")
+    return (m.span() if 16 <= len(digits) <= 19 and passes_luhn(digits) else None), m.end()
+
+
 def spans_of(text: str, anchors) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, by kind as listed, then start."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     # one code point stays one, so that offsets hold
     low = text.lower() if text.isascii() else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    # where the next ip and card may begin: matches do not overlap, failed ones are not tried again
+    next_ip = next_card = 0
     for last, (kind, width) in anchors.iter(low):
+        if kind == "digit":
+            if last >= next_ip:
+                span, next_ip = ip_at(text, last)
+                found["ip"] += [span] if span else []
+            if last >= next_card:
+                span, next_card = card_at(text, last)
+                found["card"] += [span] if span else []
+            continue
         own = found[kind]
         floor = own[-1][1] if own else 0
         if kind == "email":
@@ -136,14 +172,6 @@ def spans_of(text: str, anchors) -> list[tuple[int, int, str]]:
         if span:
             own.append(span)
     found["phone"] = [s for s in found["phone"] if 8 <= sum(c in DIGITS for c in text[s[0] : s[1]]) <= 15]
-    # a match never begins inside a run of digits: where the run's start fails, so does the rest
-    for m in re.finditer(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)", text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
-            found["ip"].append(m.span())
-    for m in re.finditer(r"[0-9](?:[ -]?[0-9])+", text):
-        digits = m[0].replace(" ", "").replace("-", "")
-        if 16 <= len(digits) <= 19 and passes_luhn(digits):
-            found["card"].append(m.span())
     return [(s, e, kind) for kind in KINDS for s, e in found[kind]]
 
 
@@ -170,12 +198,13 @@ def personal_spans(documents: DataFrame) -> DataFrame:
         raise ValueError("the input already has a column pii_spans")
     scanner = F.pandas_udf(scan, "starts array<int>, ends array<int>, kinds array<string>")
     found = scanner(F.when(F.col("text").rlike(CUES), F.col("text")))
+    name = free_name("_s", documents)
     zipped = F.transform(
-        F.arrays_zip(F.col("_s.starts"), F.col("_s.ends"), F.col("_s.kinds")),
+        F.arrays_zip(F.col(f"{name}.starts"), F.col(f"{name}.ends"), F.col(f"{name}.kinds")),
         lambda x: F.struct(x["starts"].alias("start"), x["ends"].alias("end"), x["kinds"].alias("kind")),
     )
     own = [F.col(f"`{c}`") for c in documents.columns]
-    return documents.withColumn("_s", found).select(*own, zipped.alias("pii_spans"))
+    return documents.select(*own, found.alias(name)).select(*own, zipped.alias("pii_spans"))
 
 
 def joined(spans: Column) -> Column:

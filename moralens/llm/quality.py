@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moralens.functions.hashing import hash_unit
-from moralens.llm.text import bytes_of, slices, word_hashes
+from moralens.llm.text import bytes_of, free_name, slices, word_hashes
 from moralens.staging import row_count, stage
 
 THRESHOLD = 0.3
@@ -169,6 +169,23 @@ def tree_rules(root) -> list[tuple[tuple[str, float, float], ...]]:
     return found
 
 
+def rules_held(rules: list[Rule]):
+    """An Arrow function: statistics to one 0/1 value per rule; hundreds of candidates make no column expression."""
+    place = {name: k for k, name in enumerate(STATISTICS)}
+
+    def held(stats: pa.Array) -> pa.Array:
+        matrix = np.column_stack([stats.field(name).to_numpy(zero_copy_only=False) for name in STATISTICS])
+        out = np.ones((len(matrix), len(rules)))
+        for k, rule in enumerate(rules):
+            for name, low, high in rule.ranges:
+                value = matrix[:, place[name]]
+                out[:, k] *= (value > low) & (value <= high)
+        offsets = pa.array(np.arange(0, out.size + 1, max(len(rules), 1), dtype=np.int32)[: len(matrix) + 1])
+        return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
+
+    return F.arrow_udf(held, "array<double>")
+
+
 def fit_rules(measured: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> RuleEnsemble:
     """Learn from ``measured`` (doc_id, stats) and ``labels`` (doc_id, quality).
 
@@ -196,7 +213,7 @@ def fit_rules(measured: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINI
     ).fit(vectors)
     paths = list(dict.fromkeys(p for tree in forest.trees for p in tree_rules(tree._call_java("rootNode"))))
     candidates = [Rule(p) for p in paths]
-    held = F.array(*[rule.holds(F.col("stats")).cast("double") for rule in candidates])
+    held = rules_held(candidates)(F.col("stats"))
     lasso = LogisticRegression(labelCol="label", elasticNetParam=1.0, regParam=PENALTY, maxIter=60, standardization=False)
     model = lasso.fit(stage(train.select("label", held.alias("_held")), "quality_rules").select("label", array_to_vector("_held").alias("features")))
     weights = model.coefficients.toArray()
@@ -222,9 +239,5 @@ def good_documents(documents: DataFrame, labels: DataFrame, threshold: float = T
     own = [F.col(f"`{c}`") for c in documents.columns]
     measured = documents.select("doc_id", text_statistics(F.col("text")).alias("stats"))
     ensemble = fit_rules(measured, labels)
-    stats = F.col("_quality_stats")
-    return (
-        documents.withColumn("_quality_stats", text_statistics(F.col("text")))
-        .where(ensemble.score(stats) >= threshold)
-        .select(*own)
-    )
+    stats = free_name("_quality_stats", documents)
+    return documents.withColumn(stats, text_statistics(F.col("text"))).where(ensemble.score(F.col(stats)) >= threshold).select(*own)

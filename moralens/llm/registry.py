@@ -34,8 +34,8 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mixture(read(spark, sf_dir, "documents"))
-    first = F.round(F.try_element_at("positions", F.lit(1)), 6).alias("position")
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", first)
+    draws = [F.round(F.try_element_at("positions", F.lit(k)), 6).alias(n) for k, n in ((1, "position"), (2, "second_position"))]
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", *draws)
 
 
 def op4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +164,7 @@ WITH sized AS (
 ), drawn AS (
   SELECT *, (ahead + size / 2.0::DOUBLE <= target)::INT AS once,
          (source_size + ahead + size / 2.0::DOUBLE <= target)::INT AS twice,
-         ahead::DOUBLE / target AS q
+         ahead::DOUBLE / target AS q, (source_size + ahead)::DOUBLE / target AS q2
   FROM queued
 )
 SELECT doc_id, size, source_size, target, (size * (once + twice))::BIGINT AS taken,
@@ -174,7 +174,14 @@ SELECT doc_id, size, source_size, target, (size * (once + twice))::BIGINT AS tak
                           ELSE 0.5 + 2 * (q * 0.75 - 0.25) / (0.5 + sqrt(0.25 + 4 * (q * 0.75 - 0.25))) END
          ELSE CASE WHEN q * 0.75 <= 0.5 THEN 2 * (q * 0.75) / (1.5 + sqrt(2.25 - 4 * (q * 0.75)))
                    ELSE 0.5 + 2 * (q * 0.75 - 0.5) / (0.5 + sqrt(0.25)) END
-       END, 6) END AS position
+       END, 6) END AS position,
+       CASE WHEN size > 0 AND twice = 1 THEN round(CASE (nr - 1) % 3
+         WHEN 0 THEN q2
+         WHEN 1 THEN CASE WHEN q2 * 0.75 <= 0.25 THEN 2 * (q2 * 0.75) / (0.5 + sqrt(0.25))
+                          ELSE 0.5 + 2 * (q2 * 0.75 - 0.25) / (0.5 + sqrt(0.25 + 4 * (q2 * 0.75 - 0.25))) END
+         ELSE CASE WHEN q2 * 0.75 <= 0.5 THEN 2 * (q2 * 0.75) / (1.5 + sqrt(2.25 - 4 * (q2 * 0.75)))
+                   ELSE 0.5 + 2 * (q2 * 0.75 - 0.5) / (0.5 + sqrt(0.25)) END
+       END, 6) END AS second_position
 FROM drawn
 """,
     "op6_url_filter": r"""

@@ -10,6 +10,7 @@ A filter on the JVM lets only texts with a cue reach Python.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -18,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moralens.llm.text import free_name
+
 KINDS = ("assign", "access", "hex", "guess")
 BASE_KINDS = KINDS[:3]
 MIN_VALUE = 6
@@ -25,6 +28,7 @@ MIN_ACCESS = 20
 MIN_HEX = 24
 MIN_GUESS_VALUE = 8
 GUESSES = 10.0  # log10 guesses from which a value in context counts as a secret
+CAPITAL = 0.9  # a capital at an odd place: the case and the place of one letter
 UNLISTED_WORD = 5.0  # a run of letters is taken for a word of a list of 10^5
 
 #: Words that passwords are made of, the commonest first.
@@ -34,6 +38,9 @@ WORDS = (
     "summer winter spring autumn hunter killer soccer hockey ginger pepper cookie cheese computer internet "
     "server database default changeme temp demo sample example public private token key access account"
 ).split()
+VOWELS = frozenset("aeiouy")
+RARE = frozenset("jkqvwxz")
+MIN_VOWELS, LONGEST_WORD = 0.2, 24
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz")
 
 #: What must occur in a text (on the JVM) for any kind to be found.
@@ -43,6 +50,18 @@ CUES = (
 )
 
 
+def word_like(run: str) -> bool:
+    """Whether lower-case letters could be a word of some language: not without vowels, nor with pairs no language has.
+
+    Runs that could not are left to the brute-force cost of each letter.
+    """
+    vowels = [c in VOWELS or c > "\u00bf" for c in run]
+    share = sum(vowels) / len(run)
+    longest = max(len(list(same)) for _, same in itertools.groupby(vowels))
+    odd = any(a in RARE and b in RARE and a + b not in ("zz",) or a == "q" and b not in "u" for a, b in itertools.pairwise(run))
+    return len(run) <= LONGEST_WORD and MIN_VOWELS <= share and longest <= 5 and not odd
+
+
 def guess_cost(value: str) -> float:
     """log10 of the guesses that the cheapest segmentation of ``value`` needs; 0 for ''."""
     n = len(value)
@@ -55,8 +74,9 @@ def guess_cost(value: str) -> float:
         card = 10 if c in "0123456789" else 26 if c.isalpha() else 33
         best[end] = best[end - 1] + math.log10(card)
         for start, cost in segments.get(end, ()):
-            # capitals inside a segment double the guesses
-            extra = 0.30103 if value[start:end] != low[start:end] else 0.0
+            # a capital first or throughout doubles the guesses, each one elsewhere counts for a place
+            own = value[start:end]
+            extra = 0.0 if own == low[start:end] else 0.30103 if own[1:].islower() or own.isupper() else CAPITAL * sum(map(str.isupper, own))
             best[end] = min(best[end], best[start] + cost + extra)
     return best[n]
 
@@ -74,7 +94,8 @@ def matched_segments(low: str, words: dict[str, float]) -> dict[int, list[tuple[
             if low[start:end] in words:
                 add(start, end, words[low[start:end]])
     for m in re.finditer(r"[^\W\d_]{3,}", low):
-        add(m.start(), m.end(), UNLISTED_WORD)
+        if word_like(m[0]):
+            add(m.start(), m.end(), UNLISTED_WORD)
     date = r"(?=((?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\2(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\3(?:19|20)\d\d))"
     for m in re.finditer(date, low):
         add(m.start(), m.end(1), math.log10(366 * 200))
@@ -139,12 +160,13 @@ def secret_spans(documents: DataFrame) -> DataFrame:
         raise ValueError("the input already has a column secret_spans")
     scanner = F.pandas_udf(scan, "starts array<int>, ends array<int>, kinds array<string>")
     found = scanner(F.when(F.col("text").rlike(CUES), F.col("text")))
+    name = free_name("_s", documents)
     zipped = F.transform(
-        F.arrays_zip(F.col("_s.starts"), F.col("_s.ends"), F.col("_s.kinds")),
+        F.arrays_zip(F.col(f"{name}.starts"), F.col(f"{name}.ends"), F.col(f"{name}.kinds")),
         lambda x: F.struct(x["starts"].alias("start"), x["ends"].alias("end"), x["kinds"].alias("kind")),
     )
     own = [F.col(f"`{c}`") for c in documents.columns]
-    return documents.withColumn("_s", found).select(*own, zipped.alias("secret_spans"))
+    return documents.select(*own, found.alias(name)).select(*own, zipped.alias("secret_spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -197,12 +219,13 @@ def masked(documents: DataFrame) -> DataFrame:
 
     masker = F.pandas_udf(apply, "string")
     clean = F.coalesce(masker(F.when(F.col("text").rlike(CUES), F.col("text"))), F.col("text"))
-    changed = documents.withColumn("_clean", clean)
+    name = free_name("_clean", documents)
+    changed = documents.withColumn(name, clean)
     if "n_chars" in documents.columns:
-        kept = F.col("_clean").eqNullSafe(F.col("text"))
-        length = F.length("_clean").cast(documents.schema["n_chars"].dataType)
+        kept = F.col(name).eqNullSafe(F.col("text"))
+        length = F.length(name).cast(documents.schema["n_chars"].dataType)
         changed = changed.withColumn("n_chars", F.when(kept, F.col("n_chars")).otherwise(length))
-    changed = changed.withColumn("text", F.col("_clean"))
+    changed = changed.withColumn("text", F.col(name))
     return changed.select(*[F.col(f"`{c}`") for c in documents.columns])
 
 

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
@@ -17,6 +17,14 @@ BASE = 0x9E3779B97F4A7C15  # odd, so powers of it have inverses modulo 2^64
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """``name``, lengthened until no column of ``df`` has it, so that a helper column takes no one's place."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def normalised(text: Column) -> Column:
     """Lower-cased words (letters, marks and digits) joined by single spaces; NULL becomes ''."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+", " "))

@@ -140,3 +140,11 @@ def personal(text):
         if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
             out.append(("phone", m))
     return ",".join(f"{k}:{m.start()}:{m.end()}" for k, m in out)
+
+
+def md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
+def sha256(text):
+    return hashlib.sha256(text.encode()).hexdigest()

@@ -312,3 +312,54 @@ def test_pipeline_stages(spark):
     assert not any(secret_scan.spans_of(r.text) for r in docs.collect())
     rows = corpus_pipeline.run(spark, SMALL).collect()
     assert {r.doc_id for r in rows} <= ids and [r.position for r in rows] == sorted(r.position for r in rows)
+
+
+def test_texts_that_share_an_id_keep_their_own_class(spark):
+    base = [f"w{k}" for k in range(120)]
+    near, other = " ".join([*base, "x"]), " ".join(f"v{w}" for w in base)
+    rows = [(3, " ".join(base)), (7, near), (7, other), (9, f"{other} y"), (5, "alone here"), (5, "Alone, here"), (5, "quite another text")]
+    for kind in ("bigint", "string"):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+        found = near_dups.near_duplicates(docs)
+        assert dict(found.dtypes)["class_id"] == kind
+        classes = sorted((int(r.doc_id), int(r.class_id)) for r in found.collect())
+        assert classes == [(3, 3), (5, 5), (5, 5), (5, 5), (7, 3), (7, 7), (9, 7)]
+        kept = near_dups.first_of_each_class(docs).collect()
+        assert sorted((int(r.doc_id), r.text) for r in kept) == sorted([rows[0], rows[2], rows[6], min(rows[4:6], key=lambda r: plain.md5(r[1]))])
+    ids = [(-5, "a b c d e f g"), (5, "A b c d e f g"), (-(1 << 63), "h i"), ((1 << 63) - 1, "H I")]
+    found = near_dups.near_duplicates(spark.createDataFrame(ids, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.class_id for r in found} == {-5: -5, 5: -5, -(1 << 63): -(1 << 63), (1 << 63) - 1: -(1 << 63)}
+
+
+def test_helper_columns_take_no_place(spark, odd):
+    names = ["_s", "_clean", "_maybe", "_word", "_bits", "_dup_key", "_dup_text", "_dup_nth"]
+    marked = odd.select("*", *[F.lit(n).alias(n) for n in names])
+    for frame in (secret_scan.secret_spans(marked), pii.personal_spans(marked), secret_scan.masked(marked), near_dups.first_of_each_class(marked)):
+        assert frame.select(*names).distinct().collect() == [tuple(names)]
+
+
+def test_hostile_personal_texts(spark):
+    texts = ["0" * 5000 + ".1.2.3", "1." * 50_000, "1 " * 50_000, "9" * 100_000 + "@", "+1" * 50_000, "a@" * 50_000]
+    rows = pii.personal_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.n_ip for r in rows} == {0: 1, 1: 12_500, 2: 0, 3: 0, 4: 0, 5: 0}
+
+
+def test_digests_equal_the_plain_forms(spark, docs):
+    for name, spans in (("op2_secrets", plain.secrets), ("op8_personal_data", plain.personal)):
+        for r in QUERIES[name](spark, SMALL).collect():
+            base = spans(dict(docs)[r.doc_id] or "")
+            assert r.base_sha256 == plain.sha256(base), (name, r.doc_id)
+            counts = {k: sum(s.startswith(f"{k}:") for s in base.split(",")) for k in ("assign", "access", "hex", "email", "ip", "card", "phone")}
+            assert all(r[f"n_{k}"] == n for k, n in counts.items() if f"n_{k}" in r)
+            assert {s for s in base.split(",") if s} <= set(r.spans.split(","))
+
+
+def test_token_query_equals_the_library(spark, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    found = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in QUERIES["op9_token_counts"](spark, SMALL).collect()}
+    for i, text in docs:
+        n = len(tokenizer.encode(text or "", add_special_tokens=False).ids)
+        assert found[i] == (len((text or "").encode()), n, n > 2048)
