@@ -365,7 +365,7 @@ def id_of(node: Column, documents: DataFrame) -> Column:
     """The doc_id in a node's name."""
     kind = documents.schema["doc_id"].dataType
     if isinstance(kind, IntegralType):
-        number = F.conv(F.hex(F.substring(node, 1, 8)), 16, 10).cast("decimal(20,0)") - F.lit(1 << 63).cast("decimal(20,0)")
+        number = F.conv(F.hex(F.substring(node, 1, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")
         return number.cast("bigint").cast(kind)
     return F.decode(F.substring(node, F.lit(1), F.octet_length(node) - 9), "utf-8")
 
