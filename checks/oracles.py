@@ -787,6 +787,7 @@ FROM q WHERE missing > 0 QUALIFY ROW_NUMBER() OVER (ORDER BY pct_missing DESC, "
 oracle("sink_panel", "SELECT row_id, mes, saldo_capital FROM clientes WHERE mes BETWEEN '1996-01' AND '1996-12'")
 oracle("sink_model", f", {scaling('clientes')} SELECT row_id, {SCALED}, {FILLED}, {ONE_HOT} FROM clientes, {FITS}")
 ORACLES["load_gate"] = ORACLES["quality_rules"]
+ORACLES["load_report"] = ORACLES["profile_numeric"]
 
 # The exploratory report: each table's SQL, its numbers summed per label
 

@@ -589,6 +589,16 @@ def load_gate(panel):
     return readers.load_data(panel.sparkSession, path, EXEMPT).findings
 
 
+@query
+def load_report(panel):
+    """The numeric statistics of the gate's report, written and read back."""
+    path, report = (_target_path(panel.sparkSession, name) for name in ("clientes.parquet", "report"))
+    panel.write.parquet(path)
+    loaded = readers.load_data(panel.sparkSession, path, EXEMPT, report_path=report)
+    schema = loaded.statistics()["numeric"].schema
+    return rounded(panel.sparkSession.read.schema(schema).json(f"{report}/numeric"), 4)
+
+
 # Models: fits are compared by their properties in the tests, here they must run on the whole panel
 
 _prepared: dict[str, training.Prepared] = {}

@@ -9,7 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from moralens.operators.cleaning import nan_to_null
-from moralens.operators.quality import column_quality, rules_of, table_profile
+from moralens.operators.columns import classify
+from moralens.operators.quality import (
+    categorical_profile,
+    column_quality,
+    date_profile,
+    exempt_profile,
+    numeric_profile,
+    rules_of,
+    table_profile,
+)
 from moralens.sources.sinks import write_json
 from moralens.staging import stage
 
@@ -26,6 +35,28 @@ class Loaded:
     profile: DataFrame
     columns: DataFrame
     findings: DataFrame
+    exempt_fields: tuple[str, ...] = ()
+    row_id: str = "row_id"
+
+    def statistics(self) -> dict[str, DataFrame]:
+        """Statistics of the columns by kind; exempt fields are only counted and sampled."""
+        return column_statistics(self.data, list(self.exempt_fields), self.row_id)
+
+
+def column_statistics(df: DataFrame, exempt_fields: list[str] | None = None, row_id: str = "row_id") -> dict[str, DataFrame]:
+    """``numeric``, ``categorical``, ``dates`` and ``exempt`` profiles of a table; kinds without columns are left out."""
+    exempt = [c for c in exempt_fields or [] if c in df.columns]
+    classes = classify(df.schema, [*exempt, row_id])
+    found = {}
+    if classes.numeric:
+        found["numeric"] = numeric_profile(df, [*exempt, row_id])
+    if classes.categorical:
+        found["categorical"] = categorical_profile(df, [*exempt, row_id])
+    if classes.date:
+        found["dates"] = date_profile(df, [*exempt, row_id])
+    if exempt and row_id in df.columns:
+        found["exempt"] = exempt_profile(df, exempt, row_id)
+    return found
 
 
 def check_path(spark: SparkSession, path: str, max_bytes: int | None = None) -> str:
@@ -78,7 +109,11 @@ def load_data(
     max_bytes: int | None = None,
     report_path: str | None = None,
 ) -> Loaded:
-    """Read a table, check names and content, and raise if a rule of severity ``error`` fires."""
+    """Read a table, check names and content, and raise if a rule of severity ``error`` fires.
+
+    A report has the table's profile, the columns' quality, the findings and the columns' statistics, those
+    of ``exempt_fields`` apart.
+    """
     kind = check_path(spark, path, max_bytes)
     reader = spark.read.schema(schema) if schema else spark.read
     if kind == "csv":
@@ -96,7 +131,9 @@ def load_data(
         write_json(profile, f"{report_path}/profile")
         write_json(columns, f"{report_path}/columns")
         write_json(findings, f"{report_path}/findings")
+        for name, table in column_statistics(df, exempt_fields, row_id).items():
+            write_json(table, f"{report_path}/{name}")
     errors = findings.where("severity = 'error'").collect()
     if errors:
         raise ValueError("quality errors: " + "; ".join(f"{e['rule']} ({e['column']})" for e in errors))
-    return Loaded(df, profile, columns, findings)
+    return Loaded(df, profile, columns, findings, tuple(exempt_fields or ()), row_id)
