@@ -1,38 +1,45 @@
-"""A training corpus from raw documents: five stages, each written as Parquet and read by the next."""
+"""A training corpus from raw documents: five stages, each written as Parquet and read by the next.
 
-from __future__ import annotations
+Rows are judged by their own text, also where several share a doc_id or have none; a NULL text is an empty one.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from moralens.llm import decontaminate, mixing, near_dups, quality, secret_scan
 from moralens.llm.registry import read
-from moralens.staging import staging_root
+from moralens.staging import release, stage
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality classifier rejects."""
+    """Without the documents that the quality classifier rejects; repeated rows all stay or all go, empty texts have a score too."""
     return quality.good_documents(docs, read(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, that of the least doc_id."""
+    """One document of each class of near-duplicates, that of the least doc_id.
+
+    Rows of that id and class but of another text digest, and repeated rows, leave one; rows without an id come last.
+    """
     return near_dups.first_of_each_class(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold half of a benchmark item or more."""
+    """Without the documents that hold half of a benchmark item or more; of rows that share an id only those with such a text go."""
     return decontaminate.clean_documents(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts masked."""
+    """All documents, secrets in their texts masked; NULL texts stay NULL, n_chars follows the text."""
     return secret_scan.masked(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per draw of the mixture, with its training position, sorted by it."""
+    """One row per draw of the mixture, with its training position, sorted by it, ties by doc_id.
+
+    Documents without words are not drawn; a NULL source is a source of its own.
+    """
     return mixing.training_order(docs)
 
 
@@ -44,16 +51,16 @@ STAGES = [
     ("mix", mix_sources),
 ]
 
-#: Models, signatures and segmentation costs are beyond SQL; tests hold the stages against brute force.
+#: Models, signatures and segmentation costs are beyond SQL; tests hold every stage against a plain form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents; every stage reads what the one before has written."""
-    folder = f"{staging_root(spark).rstrip('/')}/corpus/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-    docs = read(spark, sf_dir, "documents")
-    for number, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """Apply all stages to the documents; every stage reads what the one before has written, which then goes."""
+    docs, written = read(spark, sf_dir, "documents"), None
+    for name, function in STAGES:
+        docs = stage(function(spark, docs, sf_dir), name)
+        if written is not None:
+            release(written)
+        written = docs
     return docs

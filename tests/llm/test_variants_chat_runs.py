@@ -231,7 +231,7 @@ def test_cover_has_all_differences():
     assert {(a - b) % periodic_runs.V for a in periodic_runs.COVER for b in periodic_runs.COVER} == set(range(periodic_runs.V))
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=50, deadline=None)
 @given(st.lists(st.lists(st.tuples(st.lists(st.integers(1, 3), min_size=1, max_size=40), st.sampled_from([1, 2, 4, 5, 9, 30])), max_size=5), min_size=1, max_size=4))
 def test_runs_equal_the_plain_form(parts):
     texts = [[w for unit, times in text for w in unit * times] for text in parts]
