@@ -371,19 +371,29 @@ def id_of(node: Column, documents: DataFrame) -> Column:
 
 
 def _placed(documents: DataFrame, threshold: float) -> DataFrame:
-    """doc_id, text_digest, node (the row's own name), class (the least node of its class); both NULL without an id."""
-    signed = signed_documents(documents.select("doc_id", "text"))
-    signed = stage(signed.withColumn("row_node", node_of(documents)), "signed")
-    named = signed.where(F.col("doc_id").isNotNull())
+    """doc_id, text_digest, node (the row's own name), class (the least node of its class), class_id (its id); all NULL without an id."""
+    signed = stage(signed_documents(documents.select("doc_id", "text")), "signed")
+    # where every id has one text the ids are names enough, and cheaper to compare than bytes
+    texts_of_id = signed.where(F.col("doc_id").isNotNull()).select("doc_id", "print").distinct().groupBy("doc_id").count()
+    unique = texts_of_id.where("count > 1").isEmpty()
+    named = signed.withColumn("row_node", F.col("doc_id") if unique else node_of(documents))
+    names = stage(named.select("doc_id", "text_digest", "print", "row_node"), "names")
+    named = named.where(F.col("doc_id").isNotNull())
     texts = stage(named.groupBy("print").agg(F.min("row_node").alias("node"), F.first("bands").alias("bands")), "texts")
-    names = stage(signed.select("doc_id", "text_digest", "print", "row_node"), "names")
     linked = classes(texts.select("node", "bands"), named.select(F.col("row_node").alias("node"), "shingles"), threshold)
     # the result needs neither signatures nor shingles, the largest of the tables
     release(signed)
     of_print = texts.join(linked, "node", "left").select("print", F.coalesce("component", "node").alias("class"))
     placed = names.join(of_print, "print", "left")
     known = F.col("doc_id").isNotNull()
-    return placed.select("doc_id", "text_digest", F.when(known, F.col("row_node")).alias("node"), F.when(known, F.col("class")).alias("class"))
+    named_class = F.col("class") if unique else id_of(F.col("class"), documents)
+    return placed.select(
+        "doc_id",
+        "text_digest",
+        F.when(known, F.col("row_node")).alias("node"),
+        F.when(known, F.col("class")).alias("class"),
+        F.when(known, named_class).alias("class_id"),
+    )
 
 
 def near_duplicates(documents: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -393,8 +403,7 @@ def near_duplicates(documents: DataFrame, threshold: float = SIMILARITY) -> Data
     are equal when their characters are, and NULL equals ''. Rows that share a doc_id each carry the
     class of their own text. Rows with a NULL doc_id have a NULL class.
     """
-    placed = _placed(documents, threshold)
-    return placed.select("doc_id", id_of(F.col("class"), documents).alias("class_id"), "text_digest")
+    return _placed(documents, threshold).select("doc_id", "class_id", "text_digest")
 
 
 def row_name(documents: DataFrame) -> Column:
