@@ -246,8 +246,8 @@ def test_relation_to_classes_takes_few_jobs(spark, panel):
     bivariate.numeric_vs_binary(panel, "pago", ["identificacion", "mes", "row_id"]).collect()
     jobs = len(tracker.getJobIdsForGroup("counted"))
     spark.sparkContext.setJobGroup("", "")
-    # adaptive plans run a job per shuffle; a figure per column would take more than a hundred
-    assert jobs <= 20
+    # adaptive plans run a job per shuffle, so their number varies a little; it does not grow with the columns
+    assert jobs <= 24
 
 
 def test_spearman_ranks_every_pair_on_its_complete_rows(spark):
