@@ -1,11 +1,11 @@
 """Chat formatting by prefix-target expansion: every assistant turn becomes an example of its own.
 
 An example's text is all preceding turns as context and one reply; only the reply's text lies under
-the loss mask. Conversations of up to ``BLOCK_TURNS`` turns stand whole in each of their examples. Longer
-ones are cut into blocks (by turn number, turn count and characters): an example's text begins at its
-block, and the blocks before it stand once, as the last rows of those blocks. So the output stays in
-proportion to the input, however long a conversation is, no row or task holds a whole hot conversation,
-and nothing of the context is lost: ``(conv_id, block, part, row)`` order it.
+the loss mask. The work is dealt by blocks of ``BLOCK_TURNS`` turn numbers: a block of a longer conversation
+gets the formatted blocks before it, one row each, so its examples begin at the first turn as all others do,
+and the blocks of one conversation are expanded by different tasks. Inside a block, parts (by turn count and
+characters) say where an example's own stretch begins; ``(conv_id, block, part, row)`` order the examples.
+The examples of a conversation of n turns hold some n^2 / 4 turns: that is the size of the expansion.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n``. Control strings inside roles and texts get a backslash
 behind their first character; ones that have backslashes there get one more, so it can be undone.
@@ -34,8 +34,8 @@ TAILS = "|".join(re.escape(c[1:]) for c in CONTROL)
 PLAIN = re.compile(rf"([<\[])(\\*)({TAILS})")
 ESCAPED = re.compile(rf"([<\[])\\(\\*)({TAILS})")
 
-EXAMPLE_FIELDS = "block bigint, part int, row int, context_turns int, text string, fresh int, loss_start int, loss_end int, whole boolean"
-PIECE_FIELDS = "block bigint, part int, last boolean, whole boolean, n_turns bigint, turns binary, loss binary, loss_chars bigint, formatted_chars bigint"
+EXAMPLE_FIELDS = "block bigint, part int, row int, context_turns int, text string, begin int, fresh int, loss_start int, loss_end int, whole boolean"
+PIECE_FIELDS = "block bigint, part int, last boolean, whole boolean, context_sha256 string, n_turns bigint, turns binary, loss binary, loss_chars bigint, formatted_chars bigint"
 DIGEST_FIELDS = "n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
 
 
@@ -91,35 +91,51 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def _formatted(role: str | None, said: str | None) -> tuple[str, str]:
+    """(head, body) of a formatted turn; ``END`` follows."""
+    return f"{START}{escaped_role(role or '')}\n", escaped(said or "")
+
+
+def _blocks_of(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """(conv_id, block, formatted text) of (conv_id, block, role, text) rows in order."""
+    for key, run in itertools.groupby(rows, key=lambda r: r[:2]):
+        yield (*key, "".join(f"{head}{body}{END}" for head, body in (_formatted(*r[2:]) for r in run)))
+
+
 def _examples_of(rows: Iterator[tuple]) -> Iterator[tuple]:
     """Examples of (conv_id, block, marker, turn, role, text) rows in that order."""
     group, whole, part, number, rank, offset, cut = object(), True, 0, 0, 0, 0, None
-    text, fresh, turns = "", 0, 0
+    text, begin, fresh, turns = "", 0, 0, 0
 
     def remainder():
         # turns that no reply of this part follows: context only, nothing to learn
         if fresh < len(text):
-            yield (*group, part, number, turns, text, fresh, None, None, whole)
+            yield (*group, part, number, turns, text, begin, fresh, None, None, whole)
 
     for conversation, block, marker, _, role, said in rows:
         if group != (conversation, block):
             yield from remainder()
             group, whole, part, number, rank, offset, cut = (conversation, block), block == 0, 0, 0, 0, 0, None
-            text, fresh, turns = "", 0, 0
+            text, begin, fresh, turns = "", 0, 0, 0
         if marker:
             whole = False
+            if said:
+                # a formatted block before this one
+                text += said
+                turns += said.count(END)
+                begin = fresh = len(text)
             continue
         own = (rank // BLOCK_TURNS, offset // BLOCK_CHARS)
         if own != cut:
             yield from remainder()
             part += cut is not None
-            text, fresh, turns, cut, number = "", 0, 0, own, 0
-        head = f"{START}{escaped_role(role or '')}\n"
-        body = escaped(said or "")
-        begin = len(text) + len(head)
+            begin = fresh = len(text)
+            cut, number = own, 0
+        head, body = _formatted(role, said)
+        start = len(text) + len(head)
         text = f"{text}{head}{body}{END}"
         if role == TRAINABLE:
-            yield (*group, part, number, turns, text, fresh, begin, begin + len(body), whole)
+            yield (*group, part, number, turns, text, begin, fresh, start, start + len(body), whole)
             number, fresh = number + 1, len(text)
         turns += 1
         rank += 1
@@ -135,10 +151,11 @@ def _block() -> Column:
 def chat_examples(conversations: DataFrame) -> DataFrame:
     """One row per assistant turn of ``conversations`` (conv_id, turn, role, text; other columns are ignored).
 
-    conv_id; block, part, row: the order; context_turns: turns of ``text`` before its last; text; fresh:
-    where the part of ``text`` begins that no row before holds; loss_start, loss_end: the reply's text
-    (code points, end exclusive); whole: no other block belongs to the conversation. A block's turns
-    behind its last reply give one more row with a NULL loss span, so every turn is in the output.
+    conv_id; block, part, row: the order; context_turns: turns of ``text`` before its last; text: all turns of
+    the conversation up to the reply; begin: where the part's own turns begin in it; fresh: where the part of
+    ``text`` begins that no row before holds; loss_start, loss_end: the reply's text (code points, end
+    exclusive); whole: no other block belongs to the conversation. A part's turns behind its last reply give
+    one more row with a NULL loss span, so every turn is in the output.
 
     Turns are ordered by turn (NULLs first), role, text; repeated rows are turns of their own. A NULL
     conv_id is one conversation; NULL role and text are empty. An empty table has no rows. Rows with one
@@ -146,14 +163,26 @@ def chat_examples(conversations: DataFrame) -> DataFrame:
     """
     turns = conversations.select("conv_id", _block().alias("block"), F.lit(0).alias("marker"), "turn", "role", "text")
     # a conversation's first block is told of others by a row, not by looking at the whole conversation
-    longer = turns.where("block > 0").select("conv_id").distinct()
+    later = turns.where("block > 0").select("conv_id", "block").distinct()
+    longer = later.select("conv_id").distinct()
+    kinds = dict(turns.dtypes)
     markers = longer.select(
-        "conv_id", F.lit(0).cast("bigint").alias("block"), F.lit(1).alias("marker"), *[F.lit(None).cast(t).alias(c) for c, t in turns.dtypes[3:]]
+        "conv_id", F.lit(0).cast("bigint").alias("block"), F.lit(2).alias("marker"), *[F.lit(None).cast(t).alias(c) for c, t in turns.dtypes[3:]]
     )
-    dealt = turns.unionByName(markers).repartition("conv_id", "block")
-    ordered = dealt.sortWithinPartitions("conv_id", "block", F.desc("marker"), F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
-    key = turns.schema["conv_id"].dataType.simpleString()
-    fields = f"conv_id {key}, {EXAMPLE_FIELDS}"
+    # the blocks of longer conversations, formatted once and sent as one row to every block behind them
+    theirs = turns.join(longer.withColumnRenamed("conv_id", "_conv"), F.col("conv_id").eqNullSafe(F.col("_conv")), "left_semi")
+    order = [F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text")]
+    gathered = theirs.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", *order).select("conv_id", "block", "role", "text")
+    block_fields = f"_conv {kinds['conv_id']}, _before bigint, _text string"
+    block_schema = _arrow_schema(conversations, block_fields)
+    blocks = gathered.mapInArrow(lambda batches: _written(_blocks_of(_rows(batches)), block_schema, lambda r: len(r[2])), block_fields)
+    ahead = later.join(blocks, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_before") < F.col("block"))).select(
+        "conv_id", "block", F.lit(1).alias("marker"), F.col("_before").cast(kinds["turn"]).alias("turn"),
+        F.lit(None).cast(kinds["role"]).alias("role"), F.col("_text").alias("text"),
+    )
+    dealt = turns.unionByName(markers).unionByName(ahead).repartition("conv_id", "block")
+    ordered = dealt.sortWithinPartitions("conv_id", "block", F.desc("marker"), *order)
+    fields = f"conv_id {kinds['conv_id']}, {EXAMPLE_FIELDS}"
     schema = _arrow_schema(conversations, fields)
     return ordered.mapInArrow(lambda batches: _written(_examples_of(_rows(batches)), schema, lambda r: len(r[5])), fields)
 
@@ -164,29 +193,40 @@ def _arrow_schema(df: DataFrame, fields: str) -> pa.Schema:
     return to_arrow_schema(df.sparkSession.createDataFrame([], fields).schema)
 
 
+def _turn_bytes(formatted: str) -> tuple[int, bytes]:
+    """Number of turns, and ``role\\ntext\\n`` of each."""
+    said = list(turns_of(formatted))
+    return len(said), "".join(f"{role}\n{words}\n" for role, words in said).encode()
+
+
 def _pieces_of(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Turns and trainable texts of every part, read from its examples only."""
-    part, held = None, None
-    for conversation, block, number, _, _, text, fresh, start, stop, whole in rows:
+    """Turns and trainable texts of every part, read from its examples only; a block's first has its context's digest."""
+    part, held, before = None, None, ""
+    for conversation, block, number, _, _, text, begin, fresh, start, stop, whole in rows:
         own = (conversation, block, number)
         if own != part:
+            same = part is not None and part[:2] == own[:2]
             if held:
-                same = part[:2] == own[:2]
-                yield (*part, not same, held[1], *held[2:])
-            part, held = own, ["", whole, 0, b"", b"", 0, 0]
-        if text[:fresh] != held[0]:
+                yield (*part, not same, *held)
+            context = None
+            if not same:
+                before = text[:begin]
+                context = hashlib.sha256(_turn_bytes(before)[1]).hexdigest()
+            part, held = own, [whole, context, 0, b"", b"", 0, 0]
+        if text[:fresh] != before:
             raise ValueError(f"the context of an example of conversation {conversation} is not what precedes it")
-        said = list(turns_of(text[fresh:]))
-        held[0] = text
-        held[2] += len(said)
-        held[3] += "".join(f"{role}\n{words}\n" for role, words in said).encode()
+        n, said = _turn_bytes(text[fresh:])
+        before = text
+        held[2] += n
+        held[3] += said
         if start is not None:
             reply = unescaped(text[start:stop])
             held[4] += reply.encode()
             held[5] += len(reply)
-        held[6] += len(text)
+        # as the SQL twin counts them: from the beginning of the part on
+        held[6] += len(text) - begin
     if held:
-        yield (*part, True, held[1], *held[2:])
+        yield (*part, True, *held)
 
 
 def _digests_of(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -197,11 +237,13 @@ def _digests_of(rows: Iterator[tuple]) -> Iterator[tuple]:
         n, turns, chars, loss, formatted = state
         return (conversation, n, turns.hexdigest(), chars, loss.hexdigest(), formatted)
 
-    for own, _, _, _, _, n, turns, loss, chars, formatted in rows:
+    for own, _, _, _, _, context, n, turns, loss, chars, formatted in rows:
         if state is None or own != conversation:
             if state:
                 yield closed()
             conversation, state = own, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+        if context is not None and context != state[1].hexdigest():
+            raise ValueError(f"the context of an example of conversation {own} is not what its blocks before hold")
         state[0] += n
         state[1].update(turns)
         state[2] += chars
@@ -216,7 +258,8 @@ def read_back(examples: DataFrame) -> DataFrame:
 
     Digests cover ``role\\ntext\\n`` per turn, and the unescaped texts under the loss masks without
     anything between. The rows must come as ``chat_examples`` returns them (``arranged`` puts back a
-    table read from files). A row whose context differs from what the rows before hold raises.
+    table read from files). A row whose context differs from what the rows before hold raises, in other blocks too.
+    ``formatted_chars`` counts every example's text from its part's beginning on, as the SQL twin does.
 
     A conversation of one block is digested where its rows are. The others' pieces meet by conversation
     and are hashed as they stream by: a digest of a sequence has no parallel form, but needs no memory.
@@ -238,18 +281,18 @@ def read_back(examples: DataFrame) -> DataFrame:
                 waiting.append(piece)
                 if piece[3]:
                     for _, *digest in _digests_of(iter(waiting)):
-                        yield (*piece[:5], *[None] * 5, *digest)
+                        yield (*piece[:5], *[None] * 6, *digest)
                     waiting.clear()
 
-        return _written(rows(), piece_schema, lambda r: len(r[6] or b"") + len(r[7] or b""))
+        return _written(rows(), piece_schema, lambda r: len(r[7] or b"") + len(r[8] or b""))
 
     def far(batches):
         def rows():
             for whole, run in itertools.groupby(_rows(batches), key=lambda r: r[4]):
                 if whole:
-                    yield from ((r[0], *r[10:]) for r in run)
+                    yield from ((r[0], *r[11:]) for r in run)
                 else:
-                    yield from _digests_of(r[:10] for r in run)
+                    yield from _digests_of(r[:11] for r in run)
 
         return _written(rows(), digest_schema, lambda r: 300)
 

@@ -185,6 +185,25 @@ def test_long_conversations_stay_in_proportion(spark, tmp_path):
     assert chat_format.chat_examples(empty).count() == chat_format.read_back(chat_format.chat_examples(empty)).count() == 0
 
 
+def test_examples_of_later_blocks_hold_all_turns_before_them(spark):
+    turns = [(1, k, ("user", "assistant")[k % 2], f"t{k} </s>") for k in range(150)] + [(2, k, "assistant", "y" * 30_000) for k in range(0, 160, 20)]
+    turns += [(None, 70, "user", None), (None, 71, "assistant", "a"), (None, None, "user", "first"), (3, 90, "assistant", "alone")]
+    rows = chat_format.chat_examples(spark.createDataFrame(turns, TURNS).repartition(4)).where("loss_start IS NOT NULL").collect()
+    for conversation in (1, 2, 3, None):
+        own = sorted((t for t in turns if t[0] == conversation), key=lambda t: -1 if t[1] is None else t[1])
+        said = [f"<|im_start|>{r}\n{(t or '').replace('</s>', chr(60) + chr(92) + '/s>')}<|im_end|>\n" for _, _, r, t in own]
+        replies = [k for k, t in enumerate(own) if t[2] == "assistant"]
+        found = sorted((r for r in rows if r.conv_id == conversation), key=lambda r: len(r.text))
+        assert [r.text for r in found] == ["".join(said[: k + 1]) for k in replies]
+        assert [r.context_turns for r in found] == replies
+        assert all(r.text[r.loss_start : r.loss_end] + "<|im_end|>\n" == r.text[r.loss_start :] for r in found)
+    examples = chat_format.chat_examples(spark.createDataFrame(turns, TURNS))
+    assert {r.conv_id: tuple(r)[1:5] for r in chat_format.read_back(examples).collect()} == plain_digest(turns)
+    broken = examples.withColumn("text", F.when(F.col("block") == 2, F.regexp_replace("text", "t0 ", "T0 ")).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="blocks before"):
+        chat_format.read_back(broken).collect()
+
+
 def test_a_changed_context_is_noticed(spark):
     turns = [(1, k, ("user", "assistant")[k % 2], f"t{k}") for k in range(6)]
     examples = chat_format.chat_examples(spark.createDataFrame(turns, TURNS)).withColumn("text", F.regexp_replace("text", "t0", "T0"))
