@@ -20,6 +20,7 @@ from pyspark.ml.classification import GBTClassificationModel, RandomForestClassi
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moralens.operators.models import fit_tasks
 from moralens.staging import staging_root
 
 #: Up to so many features on a path, the contributions of all subsets are kept.
@@ -159,6 +160,10 @@ def tree_contributions(fitted: PipelineModel, df: DataFrame, row_id: str, featur
     leaves = ensemble_leaves(df.sparkSession, fitted)
     kind = df.schema[row_id].dataType.simpleString()
     shown = df.select(F.col(row_id).alias("id"), *[F.col(f"`{f}`").cast("double") for f in features])
+    # every row meets every leaf: more than a few rows are worth a core of their own
+    tasks = fit_tasks(df.count(), df.sparkSession.sparkContext.defaultParallelism)
+    if tasks > 1:
+        shown = shown.repartition(tasks)
     scanned = shown.mapInArrow(
         _scan(leaves, len(features), expected_margin(leaves)), f"id {kind}, margin double, contributions array<double>"
     )
