@@ -260,3 +260,83 @@ def test_spearman_ranks_every_pair_on_its_complete_rows(spark):
     assert len(found) == 6
     for (a, b), r in found.items():
         assert r == pytest.approx(data[[a, b]].dropna().rank().corr().iloc[0, 1])
+
+
+def test_rank_correlations_shuffle_only_columns_of_many_values(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    data = pd.DataFrame({c: rng.integers(0, k, 300).astype(float) for c, k in zip("abcd", (200, 4, 9, 120), strict=True)})
+    data["c"] += data["a"] // 30
+    data.loc[data.index % 5 == 0, "b"] = np.nan
+    data.loc[data.index % 7 == 0, "d"] = np.nan
+    table = spark.createDataFrame(data.reset_index(names="row_id")).replace(float("nan"), None)
+    monkeypatch.setattr(correlation, "BROADCAST_VALUES", 50)
+    monkeypatch.setattr(correlation, "CELLS_AT_ONCE", 40)
+    looked, met = [], correlation.lookup
+    watched = lambda rows, dictionary, *a: looked.append({r[0] for r in rows.select("column").distinct().collect()}) or met(rows, dictionary, *a)
+    monkeypatch.setattr(correlation, "lookup", watched)
+    staged, write = {}, correlation.stage
+    monkeypatch.setattr(correlation, "stage", lambda df, label: staged.update({label: write(df, label)}) or staged[label])
+    for method in ("spearman", "kendall"):
+        found = {(r["var_1"], r["var_2"]): r["r"] for r in correlation.correlation_matrix(table, list("abcd"), method).collect()}
+        assert len(found) == 6
+        for (x, y), r in found.items():
+            if method == "kendall":
+                both = data[[x, y]].dropna().to_numpy()
+                signs = [np.sign(both[:, None, k] - both[None, :, k]) for k in (0, 1)]
+                want = (signs[0] * signs[1]).sum() / np.sqrt((signs[0] ** 2).sum() * (signs[1] ** 2).sum())
+            else:
+                want = data[[x, y]].dropna().rank().corr().iloc[0, 1]
+            assert r == pytest.approx(want, abs=1e-12)
+    assert looked == [{"a", "d"}] * 2
+    # what goes through the windows is the frequencies of buckets, not the cells
+    assert "values" not in staged and staged["orders"].groupBy("pair", "bucket").count().count() > 6
+
+
+def test_pairs_in_order_equal_pairwise_counting():
+    rng = np.random.default_rng(2)
+    for n_x, n_y in ((1, 1), (5, 1), (1, 5), (6, 9), (40, 3), (40, 50)):
+        x, y, n = rng.integers(0, n_x, 60), rng.integers(0, n_y, 60), rng.integers(1, 4, 60)
+        both = np.sign(x[:, None] - x) * np.sign(y[:, None] - y) * 1.0
+        pairs = n[:, None] * n
+        rows = np.bincount(x, n)
+        want = (pairs[both > 0].sum() / 2, pairs[both < 0].sum() / 2, (rows * (rows - 1) / 2).sum())
+        assert correlation.ordered_pairs(x, y, n) == pytest.approx(want)
+
+
+def test_the_report_finds_its_quartiles_once(panel, monkeypatch):
+    asked, find = [], eda.quantile_values
+    watched = lambda *a: asked.append(a[1:]) or find(*a)
+    for module in (eda, distributions, outliers):
+        monkeypatch.setattr(module, "quantile_values", watched)
+    exempt = ["identificacion", "mes", "row_id"]
+    few = panel.select("row_id", "saldo_capital", "dias_mora", "contacto_mes_actual", "pago")
+    report = eda.eda_report(few, "pago", exempt)
+    assert len(asked) == 1
+    alone = {"histograms": distributions.histogram(few, ["saldo_capital", "dias_mora"]), "outliers": outliers.outlier_counts(few, exempt)}
+    alone["boxes"] = outliers.box_statistics(few, report["boxes"].toPandas()["column"].tolist())
+    for name, table in alone.items():
+        assert sorted(report[name].collect()) == sorted(table.collect())
+
+
+def test_density_of_several_classes_and_batches(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    data = pd.DataFrame({"x": rng.normal(size=500), "z": rng.integers(0, 4, 500) * 1.5, "y": [f"c{k % 2}" for k in range(500)]})
+    monkeypatch.setattr(distributions, "VALUES_AT_ONCE", 16)
+    points = distributions.density(spark.createDataFrame(data).repartition(3), ["x", "z"], "y").toPandas()
+    assert len(points) == 4 * distributions.DENSITY_POINTS
+    for (column, label), own in points.groupby(["column", "y"]):
+        values = data.loc[data["y"] == label, column].to_numpy()
+        width = values.std(ddof=1) * len(values) ** -0.2
+        z = (own["at_value"].to_numpy()[:, None] - values) / width
+        assert np.allclose(own["density"], np.exp(-0.5 * z * z).sum(axis=1) / (len(values) * width * np.sqrt(2 * np.pi)), rtol=1e-9)
+
+
+def test_correlations_of_odd_columns_over_many_tasks(spark):
+    rows = [(i, 0.1, 1e6 + i % 7, None if i % 3 else float(i), float("nan") if i == 5 else 1.0 * i, None) for i in range(90)]
+    table = spark.createDataFrame(rows, "row_id bigint, k double, a double, b double, c double, e double")
+    for parts in (1, 7):
+        found = {(r[0], r[1]): r[2] for r in correlation.pearson(table.repartition(parts), list("kabce")).collect()}
+        # values all alike have no correlation, in one task or several; NaN is a value, NULL is none
+        assert [found[p] for p in (("a", "k"), ("b", "k"), ("e", "a"))] == [None] * 3 and math.isnan(found["c", "a"])
+        some = pd.DataFrame(rows, columns=["row_id", *"kabce"])[["a", "b"]].dropna().astype(float)
+        assert found["b", "a"] == pytest.approx(some.corr().iloc[0, 1], abs=1e-9)
