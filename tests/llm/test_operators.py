@@ -1,14 +1,18 @@
 """The operators on Spark against plain forms, with NULLs, empty tables, repeats and clashing columns."""
 
 import random
+from types import SimpleNamespace
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from moralens.llm import components, decontaminate, mixing, near_dups, pii, quality, search, secret_scan
 from moralens.llm import substring_dups, token_counts, url_filter
 from moralens.llm.registry import QUERIES, read
+from moralens.llm.text import bytes_of, word_hashes
 
 from . import reference_forms as plain
 
@@ -160,6 +164,35 @@ def test_search_of_short_queries_over_many_shards(spark, docs):
     assert sorted((r.query_id, r.doc_id, r["rank"]) for r in found) == sorted(plain.bm25(docs, queries, 3))
 
 
+@pytest.mark.parametrize("cells, postings", [(search.CELLS_AT_ONCE, search.POSTINGS_AT_ONCE), (2_000, 50)])
+def test_search_adds_long_queries_up_together(docs, monkeypatch, cells, postings):
+    monkeypatch.setattr(search, "CELLS_AT_ONCE", cells)
+    monkeypatch.setattr(search, "POSTINGS_AT_ONCE", postings)
+    alone, one_by_one = [], search.Shard.search
+    monkeypatch.setattr(search.Shard, "search", lambda self, lists, *rest: alone.append(len(lists)) or one_by_one(self, lists, *rest))
+    texts = [(i, " ".join(plain.words(t))) for i, t in docs]
+    flat, offsets = bytes_of(pa.array([t for _, t in texts]))
+    ids, half = np.array([i for i, _ in texts]), len(texts) // 2
+    blobs = [search.pack_shard(ids[a:b], flat, offsets[a : b + 1])[0] for a, b in ((0, half), (half, len(texts)))]
+    asked = [*texts[::7], (-1, "the"), (-2, "the of and")]
+    cuts = [np.unique(word_hashes(*bytes_of(pa.array([t])))[0]) for _, t in asked]
+    terms, which = np.unique(np.concatenate(cuts), return_inverse=True)
+    bounds = np.concatenate([[0], np.cumsum([len(c) for c in cuts])])
+    weights = search.inverse_frequency(sum(search.Shard(b).local_counts(terms) for b in blobs), len(docs))
+    names, mean = np.array([i for i, _ in asked]), sum(len(t.split()) for _, t in texts) / len(texts)
+    floors = np.zeros(len(names))
+    for _ in range(2):  # without floors, then with the 10th best score as floor
+        alone.clear()
+        shared = SimpleNamespace(value=(names, bounds, terms, which, weights, floors))
+        shards = pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary())], names=["shard"])
+        hits = pa.Table.from_batches(search._searcher(shared, mean, 10, 0, 2, 2)(iter([shards]))).to_pylist()
+        best = {q: sorted((-round(h["score"], 9), h["doc_id"]) for h in hits if h["query_id"] == q)[:10] for q in names.tolist()}
+        found = [(q, i, k + 1) for q, own in best.items() for k, (_, i) in enumerate(own)]
+        assert sorted(found) == sorted(plain.bm25(docs, asked))
+        floors = np.array([-own[9][0] - 1e-8 if len(own) > 9 else 0.0 for own in best.values()])
+        assert 0 < len(alone) < len(asked) and max(alone) <= search.SHORT_QUERY
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     scored = QUERIES["op10_quality"](spark, sf)
