@@ -149,7 +149,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     # a place beside the partner's end, or before its beginning, has keys of one side only
     both = f"concat(if(at + 2 <= length(word) - delta, {right}, array()), if(at >= delta, {left}, array()))"
     index = places.select(F.explode(F.expr(both)).alias("key"), F.struct("word", "n", "last").alias("y"))
-    found = probes.join(index, "key").where(
+    # Spark sizes both sides as the staged table before its rows are exploded, which may seem small enough to broadcast
+    found = probes.hint("merge").join(index, "key").where(
         "x.last <= y.last AND x.word != y.word AND abs(length(x.word) - length(y.word)) <= 1 AND levenshtein(x.word, y.word, 1) = 1"
     )
     first = F.col("x.word") < F.col("y.word")
@@ -165,7 +166,8 @@ def _rooted(forms: DataFrame) -> DataFrame:
     state = stage(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         onward = state.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = stage(state.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        # a staged table of words is several times larger in memory than its files, by which Spark would broadcast it
+        moved = stage(state.join(onward.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         release(state)
         state = moved.select("word", "root")
         if moved.where("moved").isEmpty():
@@ -196,7 +198,7 @@ def variants(words: DataFrame) -> DataFrame:
         "forms",
     )
     roots = _rooted(table.where("form IS NOT NULL"))
-    return table.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return table.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def spelling_variants(documents: DataFrame, typo_rate: int | None = None) -> DataFrame:

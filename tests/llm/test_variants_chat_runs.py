@@ -92,6 +92,19 @@ def test_all_near_words_are_found(spark, letters):
     assert as_rows(spelling.variants(frame)) == plain_variants(counts)
 
 
+def test_spelling_broadcasts_no_words(spark):
+    counts = {f"{a}{b}word{c}": 3 + k for k, (a, b, c) in enumerate((a, b, c) for a in "abcd" for b in "efgh" for c in "klmn")}
+    frame = spark.createDataFrame(list(counts.items()), "word string, n bigint")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    pairs = spelling.near_pairs(frame)
+    assert "SortMergeJoin" in plan(pairs) and "Broadcast" not in plan(pairs)
+    pairs.collect()
+    assert "Broadcast" not in plan(pairs)
+    found = spelling.variants(frame)
+    assert "Broadcast" not in plan(found)
+    assert as_rows(found) == plain_variants(counts)
+
+
 def test_spelling_of_odd_rows(spark):
     long = "Zebra" * 4000
     rows = [
